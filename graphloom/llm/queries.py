@@ -9,6 +9,7 @@ from graphloom.llm.docpairs import documented_pairs
 from graphloom.llm.frequent import frequent_values, top_values
 from graphloom.llm.handwritten import classify_files
 from graphloom.llm.leakage import leaked_items
+from graphloom.llm.pii import personal_information, redacted
 from graphloom.llm.tokenize import encode
 from graphloom.sources.tables import table
 
@@ -53,6 +54,14 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_information(table(spark, d, "documents"), table(spark, d, "name_list")).select("doc_id", "pii_kind", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redacted(table(spark, d, "documents"), table(spark, d, "name_list"))
+
+
 W = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(8239) || chr(12288) || chr(65279)"
 _VALUES = f"""
 with v as (
@@ -62,7 +71,7 @@ c as (select item_field, item_value, count(*) n_rows from v where item_value <>
 
 QUERIES = {
     "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_top_values": p4_top_values,
-    "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items,
+    "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_redacted": p8_redacted,
 }
 ORACLE = {
     "p4_found": _VALUES + "select item_field, item_value from c where n_rows >= 0.005 * (select sum(n_rows) from c x where x.item_field = c.item_field)",
