@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.operators.orphans import orphan_references, orphan_report
 from graphloom.operators.skewed_keys import edge_key_statistics, heavy_keys
+from graphloom.plans.sql import W, sql_id, sql_path
 from graphloom.sources.tables import table
 
 
@@ -30,29 +31,18 @@ def p5_key_statistics(spark: SparkSession, d: str) -> DataFrame:
     return edge_key_statistics(table(spark, d, "edges"))
 
 
-W = r"' \t\n\r' || chr(11) || chr(12) || chr(160) || chr(12288) || chr(65279)".replace(r"\t", "' || chr(9) || '").replace(r"\n", "' || chr(10) || '").replace(r"\r", "' || chr(13) || '")
-
-
-def _id(c: str) -> str:
-    return f"nullif(lower(trim({c}, {W})), '')"
-
-
-def _path(c: str) -> str:
-    return f"case when trim({c}, {W}) <> '' then regexp_replace(replace({c}, chr(92), '/'), '^(\\./)+', '') end"
-
-
 _ORPHANS = f"""
-with t as (select {_id("node_id")} id, max(removed_at) removed from tombstones group by 1),
+with t as (select {sql_id("node_id")} id, max(removed_at) removed from tombstones group by 1),
 live as (
-  select {_id("n.id")} id, min(n.loaded_at) first_at from nodes n left join t on t.id = {_id("n.id")}
+  select {sql_id("n.id")} id, min(n.loaded_at) first_at from nodes n left join t on t.id = {sql_id("n.id")}
   where t.removed is null or n.loaded_at > t.removed group by 1
-  union all select {_id("id")}, min(loaded_at) from shared_nodes group by 1),
+  union all select {sql_id("id")}, min(loaded_at) from shared_nodes group by 1),
 first_live as (select id, min(first_at) first_at from live group by 1),
-f as (select repo_id, {_path("path")} path, min(make_timestamp(cast(round(indexed_at * 1000000) as bigint))) first_at from files group by 1, 2),
+f as (select repo_id, {sql_path("path")} path, min(make_timestamp(cast(round(indexed_at * 1000000) as bigint))) first_at from files group by 1, 2),
 refs as (
-  select 'src' ref_field, repo_id, {_id("src")} ref_value, loaded_at from edges
-  union all select 'dst', repo_id, {_id("dst")}, loaded_at from edges
-  union all select 'owner_path', repo_id, {_path("owner_path")}, loaded_at from edges),
+  select 'src' ref_field, repo_id, {sql_id("src")} ref_value, loaded_at from edges
+  union all select 'dst', repo_id, {sql_id("dst")}, loaded_at from edges
+  union all select 'owner_path', repo_id, {sql_path("owner_path")}, loaded_at from edges),
 grouped as (
   select ref_field, repo_id, ref_value, strftime(loaded_at, '%Y-%m') ref_month, min(loaded_at) edge_at, count(*) n_refs
   from refs where ref_value is not null group by all),
@@ -66,8 +56,8 @@ stated as (
 
 _KEYS = f"""
 with rows as (
-  select 'dst' key_field, {_id("dst")} key_value, {_id("src")} src, nullif(trim(repo_id, {W}), '') repo, loaded_at from edges
-  union all select 'kind', nullif(upper(trim(kind, {W})), ''), {_id("src")}, nullif(trim(repo_id, {W}), ''), loaded_at from edges)
+  select 'dst' key_field, {sql_id("dst")} key_value, {sql_id("src")} src, nullif(trim(repo_id, {W}), '') repo, loaded_at from edges
+  union all select 'kind', nullif(upper(trim(kind, {W})), ''), {sql_id("src")}, nullif(trim(repo_id, {W}), ''), loaded_at from edges)
 """
 
 QUERIES = {"p1_found": p1_found, "p1_orphan_report": p1_orphan_report, "p5_found": p5_found, "p5_key_statistics": p5_key_statistics}
