@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,38 +35,46 @@ CHUNK_ROWS = 200_000
 PAIR = ["field", "what", "key", "member"]
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up equal (key, member) pairs of a few batches at a time; memory stays bounded."""
-    pending: list[pa.RecordBatch] = []
+PAIRS = "field tinyint, what tinyint, key binary, member binary, n bigint, first_us bigint, last_us bigint"
+#: Input rows that a task combines at a time.
+COMBINE_ROWS = 100_000
 
-    def merged() -> list[pa.RecordBatch]:
-        t = pa.Table.from_batches(pending).group_by(PAIR, use_threads=False).aggregate([("n", "sum"), ("first_us", "min"), ("last_us", "max")])
-        return t.rename_columns([*PAIR, "n", "first_us", "last_us"]).combine_chunks().to_batches()
 
-    for b in batches:
-        pending.append(b)
-        if sum(x.num_rows for x in pending) >= 100_000:
-            yield from merged()
-            pending = []
-    if pending:
-        yield from merged()
+def _combiner(n_keys: int, n_members: int):
+    """Pairs each key with each member, and adds up equal pairs of COMBINE_ROWS rows at a time: memory stays bounded."""
+
+    def merged(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        for i in range(n_keys):
+            for j in range(n_members):
+                pair = pa.table({"key": t.column(i), "member": t.column(n_keys + j), "us": t.column(t.num_columns - 1)})
+                pair = pair.filter(pc.is_valid(pair["key"]) if j == 0 else pc.and_(pc.is_valid(pair["key"]), pc.is_valid(pair["member"])))
+                # Only the first member kind carries rows and times; the others say which members there are.
+                what = [([], "count_all"), ("us", "min"), ("us", "max")] if j == 0 else []
+                g = pair.group_by(["key", "member"], use_threads=False).aggregate(what)
+                none = pa.nulls(g.num_rows, pa.int64())
+                counts = [g["count_all"], g["us_min"], g["us_max"]] if j == 0 else [none] * 3
+                consts = [pa.repeat(pa.scalar(x, pa.int8()), g.num_rows) for x in (i, j)]
+                out = pa.table([*consts, g["key"], g["member"], *counts], names=[*PAIR, "n", "first_us", "last_us"])
+                yield from out.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[pa.RecordBatch] = []
+        for b in batches:
+            pending.append(b)
+            if sum(x.num_rows for x in pending) >= COMBINE_ROWS:
+                yield from merged(pending)
+                pending = []
+        if pending:
+            yield from merged(pending)
+
+    return run
 
 
 def sorted_pairs(edges: DataFrame, keys: dict[str, Column], members: dict[str, Column], time: str) -> DataFrame:
-    """Distinct (field, what, key, member) with n, first_us, last_us, written sorted by range.
-
-    The first member kind carries n and the times; the others only say which members there are.
-    """
-    first = next(iter(members))
-    rows = [
-        F.struct(
-            F.lit(i).cast("byte").alias("field"), F.lit(j).cast("byte").alias("what"), packed_id(k).alias("key"), packed_id(m).alias("member"),
-            *[(x if name == first else F.lit(None).cast("long")).alias(a) for a, x in (("n", F.lit(1).cast("long")), ("first_us", micros(time)), ("last_us", micros(time)))],
-        )
-        for i, k in enumerate(keys.values()) for j, (name, m) in enumerate(members.items())
-    ]
-    flat = edges.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter(F.col("key").isNotNull() & (F.col("member").isNotNull() | (F.col("what") == 0)))
-    combined = flat.mapInArrow(_combine, flat.schema)
+    """Distinct (field, what, key, member) with n, first_us, last_us, written sorted by range."""
+    clean = edges.select(*[packed_id(c).alias(f"k_{k}") for k, c in keys.items()], *[packed_id(c).alias(f"m_{m}") for m, c in members.items()], micros(time).alias("us"))
+    combined = clean.mapInArrow(_combiner(len(keys), len(members)), PAIRS)
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     # A range partitioning by exactly these columns is what the grouping needs, so it adds no exchange of its own.
     pairs = combined.repartitionByRange(n, *PAIR).groupBy(*PAIR).agg(F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
