@@ -58,7 +58,7 @@ def embedding_text(nodes: DataFrame, size: int = 384) -> DataFrame:
     """(id, text): qualified name, signature and doc, one a line, at most ``size`` characters, without a dangling line end."""
     parts = F.filter(F.array("qname", "signature", "doc"), lambda x: F.length(F.trim(F.coalesce(x, F.lit("")))) > 0)
     text = F.left(F.array_join(parts, "\n"), F.lit(size))
-    return nodes.filter(F.col("kind").isin(*EMBEDDABLE)).select("id", F.regexp_replace(text, r"\n$", "").alias("text"))
+    return nodes.filter(F.col("kind").isin(*EMBEDDABLE)).select("id", F.regexp_replace(text, r"\n+\z", "").alias("text"))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
