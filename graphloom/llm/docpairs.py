@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.normalize import clean_id, clean_kind, clean_path
 from graphloom.llm.gll import parse
+from graphloom.session import stored
 
 #: Content words that a documentation needs.
 LEAST_WORDS = 3
@@ -28,6 +29,8 @@ LEAST_WORDS = 3
 TEMPLATE_SHARE = 0.001
 #: ... if besides the function's own words it has at most so many content words.
 TEMPLATE_WORDS = 4
+#: Fewer equal templates than this are no template, however small the corpus is.
+TEMPLATE_LEAST = 20
 #: Characters of a file that are kept; a text of that length was cut off.
 KEPT = 4000
 
@@ -201,32 +204,37 @@ def valid_functions(nodes: DataFrame) -> DataFrame:
 
 
 def described(functions: DataFrame) -> DataFrame:
-    """The functions with telling documentation, with their description; null-safe in every column."""
+    """The functions with telling documentation, with their description; null-safe in every column.
+
+    What is a function's own name and parameters is known from its signature and from the header that the parser found.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = zip(b.column("signature").to_pylist(), b.column("qname").to_pylist())
-            told = [telling_words(d, f"{s or ''} {(q or '').rsplit('.', 1)[-1]}") for d, (s, q) in zip(b.column("doc").to_pylist(), own)]
+            own = zip(*[b.column(c).to_pylist() for c in ("signature", "qname", "header")])
+            told = [telling_words(d, f"{s or ''} {(q or '').rsplit('.', 1)[-1]} {h or ''}") for d, (s, q, h) in zip(b.column("doc").to_pylist(), own)]
             more = [pa.array([t[0] for t in told], pa.int32()), pa.array([t[1] for t in told], pa.string()), pa.array([t[2] or None for t in told], pa.string())]
             out = pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "n_words", "description", "template"])
             yield out.filter(pa.array([t[0] >= LEAST_WORDS for t in told]))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in functions.schema.fields)
-    return functions.filter(F.length(F.trim("doc")) >= 3).mapInArrow(run, f"{schema}, n_words int, description string, template string")
+    return functions.mapInArrow(run, f"{schema}, n_words int, description string, template string")
 
 
-def without_templates(told: DataFrame, share: float = TEMPLATE_SHARE) -> DataFrame:
+def without_templates(told: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_LEAST) -> DataFrame:
     """Drops descriptions whose template recurs all over the corpus. At most 1/share hashes can, so their set is broadcast."""
     hashed = told.withColumn("template", F.when(F.col("template").isNotNull(), F.xxhash64("template")))
     counts = hashed.filter("template is not null").groupBy("template").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "template").limit(int(1 / share))
     total = told.agg(F.count("*").alias("total")).scalar()
-    frequent = counts.filter(F.col("n") >= F.greatest(F.lit(share) * total, F.lit(20))).select("template")
+    frequent = counts.filter(F.col("n") >= F.greatest(F.lit(share) * total, F.lit(least))).select("template")
     return hashed.join(F.broadcast(frequent), "template", "left_anti").drop("template")
 
 
 def parsed_functions(texts: DataFrame, kept: int = KEPT) -> DataFrame:
-    """(repo_id, path, start_line, name, code, whole): the functions of each source text."""
+    """(repo_id, path, start_line, name, header, code, whole): the functions of each source text; header is the part of the code up to its parameters' end."""
     source = r"(?i)\.(pyi?|pyx|[cm]?jsx?|[cm]?tsx?|java|kt|go|rs|c|h|cc|cpp|hpp|cs|php|swift|scala|dart)$"
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
+    names = ["repo_id", "path", "start_line", "name", "header", "code", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,17 +243,23 @@ def parsed_functions(texts: DataFrame, kept: int = KEPT) -> DataFrame:
                 lines = None
                 for f in parse(head, path, len(head) < kept):
                     lines = lines or head.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-                    rows.append((repo, path, f.start, f.name, "\n".join(lines[f.start - 1 : f.end]), f.valid))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_()))], names=["repo_id", "path", "start_line", "name", "code", "whole"])
+                    code = "\n".join(lines[f.start - 1 : f.end])
+                    rows.append((repo, path, f.start, f.name, code[: code.find(")") + 1], code, f.valid))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
 
     heads = texts.select("repo_id", clean_path("path").alias("path"), "head").filter("head is not null and path is not null").filter(F.col("path").rlike(source))
-    return heads.mapInArrow(run, "repo_id string, path string, start_line int, name string, code string, whole boolean")
+    return heads.mapInArrow(run, "repo_id string, path string, start_line int, name string, header string, code string, whole boolean")
 
 
-def documented_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node_id, repo_id, path, qname, signature, description, code, whole), one row per documented function. See the module's docstring."""
-    told = without_templates(described(valid_functions(nodes))).drop("doc", "n_words")
-    code = parsed_functions(texts).dropDuplicates(["repo_id", "path", "start_line"])
-    name = F.substring_index("qname", ".", -1) == F.col("name")
-    joined = told.join(code, ["repo_id", "path", "start_line"], "left")
-    return joined.select("node_id", "repo_id", "path", "qname", "signature", "description", F.when(name, F.col("code")).alias("code"), F.when(name, F.col("whole")).alias("whole"))
+def documented_pairs(nodes: DataFrame, texts: DataFrame, with_code: bool = True) -> DataFrame:
+    """(node_id, repo_id, path, qname, signature, description[, code, whole]), one row per documented function. See the module's docstring.
+
+    The functions of the corpus are parsed once and joined with the valid nodes by file and first line; what is told is written once, since it is
+    needed for the templates' counts and for the result.
+    """
+    documented = valid_functions(nodes).filter(F.length(F.trim("doc")) >= 3).withColumn("name", F.substring_index("qname", ".", -1))
+    cols = ["header", "code", "whole"] if with_code else ["header"]
+    key = ["repo_id", "path", "start_line", "name"]
+    code = parsed_functions(texts).groupBy(*key).agg(*[F.max(c).alias(c) for c in cols])
+    told = stored(described(documented.join(code, key, "left")), "told")
+    return without_templates(told).select("node_id", "repo_id", "path", "qname", "signature", "description", *cols[1:])

@@ -29,7 +29,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return documented_pairs(table(spark, d, "nodes"), table(spark, d, "file_texts")).select("node_id")
+    return documented_pairs(table(spark, d, "nodes"), table(spark, d, "file_texts"), with_code=False).select("node_id")
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
