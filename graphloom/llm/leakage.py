@@ -104,7 +104,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, least: int = LEAST, block_ch
     items = items.select("item_id", "text").filter("text is not null").distinct()
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     schema = f"item_id {items.schema['item_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
-    texts = docs.select("doc_id", "text").filter(F.length("text") >= 2 * least - 1)
+    texts = docs.select("doc_id", "text").filter(F.length("text") > 0)
 
     def part(k: int) -> DataFrame:
         shared = spark.sparkContext.broadcast([tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()])

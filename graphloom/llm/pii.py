@@ -42,7 +42,7 @@ _EMAIL = re.compile(
     rf"|(?P<mask>[\w.+%-]*[\w+%-]{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)*{_DOT}[^\W\d_]{{2,}})"
     rf"|(?P<said>[\w.+%-]*[\w+%-] (?:at|AT|ät|arroba|arobase) [^\W_][\w-]*(?: (?:dot|DOT|punkt|punto|point) [^\W_][\w-]*)* (?:dot|DOT|punkt|punto|point) [^\W\d_]{{2,}}))(?![\w-])"
 )
-_DIGITS = re.compile(r"(?<![\w.+/:@,-])(?<!\d[ (])(?:\+ ?|\()?\d(?:[\d]|[ .\-/]{1,2}(?=[\d(])|\)[ .-]?(?=\d)|\((?=\d)){5,24}\d(?![\w@]|[.\-/]\d)")
+_DIGITS = re.compile(r"(?<![\w.+/@-])(?<!\d[:, (])(?:\+ ?|\()?\d(?:[\d]|[ .\-/]{1,2}(?=[\d(])|\)[ .-]?(?=\d)|\((?=\d)){5,24}\d(?![\w@]|[.\-/]\d)")
 _PHONE_FORMS = {
     "intl": r"\+ ?\d[\d ().\-/]*", "us_paren": r"\(\d{3}\) ?\d{3}[-. ]\d{4}", "us": r"(?:1[-. ])?\d{3}([-.])\d{3}\1\d{4}", "zero_zero": r"00[1-9]\d[ .-]?[\d ().\-/]+", "fr": r"0[1-9]([ .-])\d\d(?:\1\d\d){3}",
     "trunk": r"0[1-9]\d{1,4}[ /-]\d{3,}(?:[ -]\d{2,}){0,2}", "eu_paren": r"\(0\d{1,4}\) ?\d[\d -]{4,}",
@@ -111,7 +111,8 @@ class Names:
         if "'" in last:  # O'Name: what follows the apostrophe ends like listed names
             last = last.rpartition("'")[2]
             return int(any(last[i:] in tails for i in range(1, len(last) - 3)))
-        if len(last) >= 5 and any(last[:i] in heads and last[i:] in tails for i in range(2, len(last) - 2)):
+        # Beginnings of one letter say little, so they need an ending of four.
+        if len(last) >= 5 and any(last[:i] in heads and last[i:] in tails for i in range(1, len(last) - 2) if i > 1 or len(last) > 4):
             return 1
         return 0
 
