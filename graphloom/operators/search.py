@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.model import EXTERNAL
+from graphloom.session import stored
 
 #: Searched columns.
 FIELDS = ("qname", "name", "signature", "doc", "path")
@@ -29,6 +30,11 @@ def postings(nodes: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return words.groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
 
 
+def index(nodes: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """The postings, written once to the shared folder: a search reads them several times."""
+    return stored(postings(nodes, fields), "postings")
+
+
 def corpus_stats(posts: DataFrame) -> DataFrame:
     """(n_docs, n_tokens, avg_len) of the searchable nodes that have words at all."""
     return posts.agg(F.countDistinct("id").alias("n_docs"), F.sum("tf").alias("n_tokens")).withColumn("avg_len", F.col("n_tokens") / F.col("n_docs"))
@@ -49,15 +55,22 @@ def bm25(posts: DataFrame, queries: DataFrame, every: bool, limit: int | None =
     doc_len = posts.groupBy("id").agg(F.sum("tf").alias("dl"))
     tf = posts.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(posts)
-    n, avg = stats.select("n_docs").scalar(), stats.select("avg_len").scalar()
+    n, avg = doc_len.agg(F.count("*").alias("n")).scalar(), doc_len.agg((F.sum("dl") / F.count("*")).alias("a")).scalar()
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
-    hits = tf.join(df, "term").join(doc_len, "id").join(q, "term")
-    out = hits.groupBy("qid", "id").agg(F.count("*").alias("n_hit"), F.max("n_terms").alias("n_terms"), F.round(-F.sum(gain), 6).alias("score"))
-    out = out.filter("n_hit = n_terms") if every else out
-    out = out.select("qid", "id", "n_hit", "score")
+    weighed = q.join(df, "term")
+    if every:
+        # A node with every word has the query's rarest one: only its nodes are looked up for the others. A word nobody has ends the query.
+        known = weighed.withColumn("n_known", F.count("*").over(Window.partitionBy("qid"))).filter("n_known = n_terms")
+        rarest = known.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("df", "term"))).filter("r = 1").select("qid", "term")
+        pairs = tf.join(rarest, "term").select("qid", "id").join(known.select("qid", "term", "n_terms", "df"), "qid")
+        hits = pairs.join(tf, ["id", "term"])
+        complete = hits.groupBy("qid", "id").agg(F.count("*").alias("c"), F.max("n_terms").alias("n")).filter("c = n").select("qid", "id")
+        hits = hits.join(complete, ["qid", "id"], "left_semi").join(doc_len, "id")
+    else:
+        hits = tf.join(weighed, "term").join(doc_len, "id")
+    out = hits.groupBy("qid", "id").agg(F.count("*").alias("n_hit"), F.round(-F.sum(gain), 6).alias("score"))
     return out if limit is None else first_per_query(out, [F.col("score"), F.col("id")], limit)
 
 
@@ -78,7 +91,7 @@ def tiered_search(nodes: DataFrame, queries: DataFrame, limit: int = 20, max_pro
     words, BM25), broad (any word). A tier opens for a query only while earlier ones gave too little, judged by counts per query. Queries
     of more than ``max_probe`` words go to the broad tier alone. Within a query a node keeps its first tier.
     """
-    posts = postings(nodes)
+    posts = index(nodes)
     size = queries.select("qid", "query", F.size(query_tokens("query")).alias("n"))
     short = size.filter(F.col("n") <= max_probe)
     path = any_field(posts, short.filter(F.col("n") >= 3), ("path",), limit)

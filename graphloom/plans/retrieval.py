@@ -30,19 +30,19 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_and_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(search.postings(N(spark, d)), Q(spark, d), True)
+    return search.bm25(search.index(N(spark, d)), Q(spark, d), True)
 
 
 def search_or_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(search.postings(N(spark, d)), Q(spark, d), False, 20)
+    return search.bm25(search.index(N(spark, d)), Q(spark, d), False, 20)
 
 
 def search_path_tier(spark: SparkSession, d: str) -> DataFrame:
-    return search.any_field(search.postings(N(spark, d)), Q(spark, d), ("path",), 20)
+    return search.any_field(search.index(N(spark, d)), Q(spark, d), ("path",), 20)
 
 
 def search_column_tier(spark: SparkSession, d: str) -> DataFrame:
-    return search.any_field(search.postings(N(spark, d)), Q(spark, d), ("qname", "name", "path"), 20)
+    return search.any_field(search.index(N(spark, d)), Q(spark, d), ("qname", "name", "path"), 20)
 
 
 def search_tiered(spark: SparkSession, d: str) -> DataFrame:
