@@ -1,7 +1,7 @@
 """References to records that do not exist, were removed, or arrived only after the reference.
 
 Method: a skew-aware split. References are first pre-aggregated by value and month, which also removes the repeats
-of a hot value before anything is shuffled by value. The values with most groups left (at most HEAVY of them, so the
+of a hot value before anything is shuffled by value. Values that still hold a large share of the groups (at most HEAVY can, so the
 set that is broadcast has a fixed bound) take a broadcast path; all others are joined by shuffle; both are united.
 
 Defined results
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.normalize import clean_id, clean_path, micros
 
-#: At most so many values, those with most groups, take the broadcast path.
+#: A value that holds a 1/HEAVY share of all groups takes the broadcast path; so at most HEAVY values do.
 HEAVY = 1000
 #: A value with fewer groups than this is never heavy.
 HEAVY_GROUPS = 64
@@ -64,14 +64,9 @@ def file_states(files: DataFrame) -> DataFrame:
 
 def _with_states(refs: DataFrame, states: DataFrame, keys: list[str], heavy: int, heavy_groups: int) -> DataFrame:
     """refs with first_us and gone of their value: heavy values by broadcast, the others by shuffle."""
-    top = (
-        refs.groupBy(*keys)
-        .agg(F.count("*").alias("groups"))
-        .filter(F.col("groups") >= heavy_groups)
-        .orderBy(F.desc("groups"), *keys)
-        .limit(heavy)
-        .select(*keys)
-    )
+    # A value with a 1/heavy share of all groups is heavy: at most ``heavy`` values can be, whatever the input's size.
+    least = F.greatest(F.lit(heavy_groups), refs.agg(F.count("*").alias("n")).scalar() / heavy)
+    top = refs.groupBy(*keys).agg(F.count("*").alias("groups")).filter(F.col("groups") >= least).select(*keys)
     marked = top.join(states.join(F.broadcast(top), keys, "left_semi"), keys, "left")
     hot = refs.join(F.broadcast(marked), keys, "inner")
     cold = refs.join(F.broadcast(top), keys, "left_anti").join(states, keys, "left")

@@ -48,7 +48,7 @@ def test_orphan_states(spark, make):
         ("dst", "r", "n2", "2025-03", "deleted"), ("src", "r", "n3", "2025-03", "late"), ("dst", "r", "n4", "2025-03", "late"), ("src", "r", "nope", "2025-03", "missing"),
         ("dst", "r", "gone", "2025-03", "deleted"), ("owner_path", "r", "a.py", "2025-03", "late"), ("owner_path", "r", "B.py", "2025-03", "missing"), ("src", "r", "x", None, "missing"),
     }
-    for heavy in (1000, 1):
+    for heavy in (1000, 2, 1):
         out = orphan_references(edges, nodes, shared, tombs, files, heavy=heavy, heavy_groups=1)
         assert found(out) == want
         assert out.count() == len(want)
