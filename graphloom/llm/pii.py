@@ -71,6 +71,10 @@ _ADDRESS = re.compile(_ADDRESS.pattern.replace(r"\d{1,4} ?[a-zA-Z]?(?![\w]))", r
 _WORD = rf"{_L}+(?:['’-]{_L}+)*"
 _TOKEN = re.compile(rf"(?<![\w@+.'’/-])(?:({_WORD})|)(?![\w@+/]|['’-]\w|\.[\w])".replace(f"(?:({_WORD})|)", f"({_WORD})"))
 _INITIAL = re.compile(rf"(?:[{_UP}]\.(?:[ -]?[{_UP}]\.){{0,2}})")
+#: What a line must have before it is searched for numbers, addresses and persons.
+_FIVE = re.compile(r"(?:\d\D{0,4}){4}\d")
+_DIGIT = re.compile(r"\d")
+_TWO_NAMES = re.compile(rf"[{_UP}][\w'’.-]*,? ?[{_UP}]")
 _PARTICLE = frozenset("mac mc von van de der den da di du del della la le el al bin ibn ten ter zu zur dos das san st".split())
 _BEFORE_PERSON = re.compile(
     r"(?:\b(?:by|from|with|to|author|contact|owner|maintainer|user|cc|reviewer|name|regards|thanks|cheers|reach|laut|von|par|por|an|selon|según|d['’]après|autor|auteur|contactez|gemeldet|signalé|informado)\b[\s:=\"'@(<*-]*|\bcopyright (?:\(c\) )?\d{4}(?:-\d{4})? |\b[A-Z][a-z]+(?:-[a-z]+)*-by: ?|@author |\bon \w+day )$",
@@ -143,7 +147,7 @@ def _emails(line: str) -> Iterator[Candidate]:
 
 
 def _numbers(line: str) -> Iterator[Candidate]:
-    if not re.search(r"\d", line):
+    if not _FIVE.search(line):
         return
     labels = [m.end() for m in _ID_LABEL.finditer(line)]
     for m in _DIGITS.finditer(line):
@@ -181,6 +185,8 @@ def _numbers(line: str) -> Iterator[Candidate]:
 
 
 def _addresses(line: str) -> Iterator[Candidate]:
+    if not _DIGIT.search(line):
+        return
     for m in _ADDRESS.finditer(line):
         before = line[max(0, m.start() - 30) : m.start()]
         f = ["address:any", f"address:{m.lastgroup}"]
@@ -190,6 +196,8 @@ def _addresses(line: str) -> Iterator[Candidate]:
 
 
 def _persons(line: str, names: Names) -> Iterator[Candidate]:
+    if not _TWO_NAMES.search(line):
+        return
     tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(line) if m[0][0].isupper()]
     marks: list[tuple[int, int, str]] = []
     for s, e, w in tokens:
