@@ -49,9 +49,14 @@ def search_tiered(spark: SparkSession, d: str) -> DataFrame:
     return search.tiered_search(N(spark, d), Q(spark, d), 20)
 
 
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, id, position): the 20 best nodes of each query by BM25; every node with any word of the query is scored before the limit."""
+    return search_or_bm25(spark, d).select("qid", "id", "position")
+
+
 def search_path_priority(spark: SparkSession, d: str) -> DataFrame:
     n = N(spark, d)
-    return search.promote(search_column_tier(spark, d), n)
+    return search.promote(_candidates(spark, d), n)
 
 
 def external_like_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -59,16 +64,16 @@ def external_like_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_pack_budget(spark: SparkSession, d: str) -> DataFrame:
-    return context.context_pack(search_column_tier(spark, d), N(spark, d), 1000)
+    return context.context_pack(_candidates(spark, d), N(spark, d), 1000)
 
 
 def context_summary_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return context.confidence_summary(search_column_tier(spark, d), N(spark, d))
+    return context.confidence_summary(_candidates(spark, d), N(spark, d))
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     n = N(spark, d)
-    hits = search_column_tier(spark, d)
+    hits = _candidates(spark, d)
     q = Q(spark, d).select("qid", F.array_distinct(search.terms("query")).alias("query_terms"))
     words = n.select("id", *[F.array_distinct(search.terms(F.coalesce(c, F.lit("")))).alias(f"{k}_terms") for k, c in (("name", "name"), ("path", "path"), ("body", "doc"))])
     return evaluation.rerank(hits.join(q, "qid").join(words, "id"))
