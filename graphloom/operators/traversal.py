@@ -18,28 +18,25 @@ def steps(edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
     return e.join(n, "next")
 
 
-def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, direction: str = "down", depth: int = 3) -> DataFrame:
-    """(seed, id, distance, rank): nodes within ``depth`` moves of each seed, with the least distance and, over the paths of that distance, the weakest
-    confidence of the best path. seeds: (seed, id). Nodes that are not expandable are reached, not left.
+def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, direction: str = "down", depth: int | None = 3) -> DataFrame:
+    """(seed, id, distance, rank): nodes within ``depth`` moves of each seed (None: all that can be reached), with the least distance and, over the paths of that
+    distance, the weakest confidence of the best path. seeds: (seed, id). Nodes that are not expandable are reached, not left.
 
     Each level is written to the shared folder, so the plan stays short and a lost executor costs one level.
     """
     moves = stored(steps(edges, nodes, direction), "steps")
     found = seeds.select("seed", "id").distinct().withColumn("distance", F.lit(0)).withColumn("rank", F.lit(0)).withColumn("expand", F.lit(True))
-    found = stored(found, "reach-0")
-    frontier, parts = found, [found]
-    for level in range(1, depth + 1):
-        out = frontier.filter("expand").select("seed", "id", F.col("rank").alias("so_far")).join(moves, "id")
-        new = out.groupBy("seed", F.col("next").alias("id")).agg(F.min(F.greatest("so_far", "rank")).alias("rank"), F.max(F.col("next_kind").isin(*EXPANDABLE)).alias("expand"))
-        for p in parts:
-            new = new.join(p.select("seed", "id"), ["seed", "id"], "left_anti")
+    frontier = out = stored(found, "reach-0")
+    level = 0
+    while depth is None or level < depth:
+        level += 1
+        near = frontier.filter("expand").select("seed", "id", F.col("rank").alias("so_far")).join(moves, "id")
+        new = near.groupBy("seed", F.col("next").alias("id")).agg(F.min(F.greatest("so_far", "rank")).alias("rank"), F.max(F.col("next_kind").isin(*EXPANDABLE)).alias("expand"))
+        new = new.join(out.select("seed", "id"), ["seed", "id"], "left_anti")
         frontier = stored(new.select("seed", "id", F.lit(level).alias("distance"), "rank", F.coalesce("expand", F.lit(False)).alias("expand")), f"reach-{level}")
         if frontier.isEmpty():
             break
-        parts.append(frontier)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(frontier)
     return out.drop("expand")
 
 
@@ -49,7 +46,7 @@ def radius_files(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     return reached.join(n, "id").filter("path is not null").groupBy("seed", "path").agg(F.min("distance").alias("distance"))
 
 
-def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 3, max_nodes: int = 1000) -> DataFrame:
+def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int | None = None, max_nodes: int = 1000) -> DataFrame:
     """(seed, direction, id, kind, qname, path, distance, confidence, position): both directions, at most ``max_nodes`` a seed and direction.
 
     The limit is the operator's feature: nearest first, then better confidence, path, line and id.

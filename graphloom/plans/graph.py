@@ -90,7 +90,7 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bfs_distance_down(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.reach(E(spark, d), N(spark, d), _seeds(spark, d), "down", 3).select("seed", "id", "distance")
+    return traversal.reach(E(spark, d), N(spark, d), _seeds(spark, d), "down", None).select("seed", "id", "distance")
 
 
 def _sinks(spark: SparkSession, d: str) -> DataFrame:
@@ -98,21 +98,21 @@ def _sinks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bfs_distance_up(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.reach(E(spark, d), N(spark, d), _sinks(spark, d), "up", 3).select("seed", "id", "distance")
+    return traversal.reach(E(spark, d), N(spark, d), _sinks(spark, d), "up", None).select("seed", "id", "distance")
 
 
 def bfs_weakest_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.reach(E(spark, d), N(spark, d), _seeds(spark, d), "down", 2).select("seed", "id", "distance", "rank")
+    return traversal.reach(E(spark, d), N(spark, d), _seeds(spark, d), "down", None).select("seed", "id", "distance", "rank")
 
 
 def bfs_files(spark: SparkSession, d: str) -> DataFrame:
     n = N(spark, d)
-    return traversal.radius_files(traversal.reach(E(spark, d), n, _seeds(spark, d), "down", 3), n)
+    return traversal.radius_files(traversal.reach(E(spark, d), n, _seeds(spark, d), "down", None), n)
 
 
 def impact_blast_radius(spark: SparkSession, d: str) -> DataFrame:
     n = N(spark, d)
-    return traversal.blast_radius(E(spark, d), n, _sinks(spark, d), 3, 1000)
+    return traversal.blast_radius(E(spark, d), n, _sinks(spark, d), None, 1000)
 
 
 def impact_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -120,9 +120,11 @@ def impact_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impact_entrypoints(spark: SparkSession, d: str) -> DataFrame:
+    """Routes above functions. Walked down from the routes, which are few: a way up passes the same nodes."""
     n = N(spark, d)
-    up = traversal.reach(E(spark, d), n, n.filter("kind = 'FUNCTION'").select(F.col("id").alias("seed"), "id"), "up", 2)
-    return up.filter("distance > 0").join(n.filter("kind = 'ROUTE'").select("id", "qname"), "id").select("seed", "id", "qname", "distance")
+    down = traversal.reach(E(spark, d), n, _seeds(spark, d), "down", None).filter("distance > 0").select(F.col("seed").alias("route"), F.col("id").alias("seed"), "distance")
+    found = down.join(n.filter("kind = 'FUNCTION'").select(F.col("id").alias("seed")), "seed")
+    return found.join(n.select(F.col("id").alias("route"), "qname"), "route").select("seed", F.col("route").alias("id"), "qname", "distance")
 
 
 _NEIGHBORS = BASE + """, b as (select e.{near} center_id, e.{far} node_id, e.kind, e.confidence, e.detail, e.owner_path, n.name node_name, n.kind node_kind, n.path node_path, n.start_line node_line from e left join n on n.id = e.{far}),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from conftest import NODES
+from conftest import EDGES, NODES
 
-from graphloom.plans import retrieval
+from graphloom.plans import graph, retrieval
 
 T = datetime(2025, 1, 1)
 
@@ -26,3 +26,14 @@ def test_candidates_are_ranked_before_the_limit(spark, make, tmp_path):
     for q in (retrieval.rerank_scores, retrieval.context_pack_budget, retrieval.search_path_priority):
         assert q(spark, d).filter("id = qid").count() == 40
     assert retrieval.context_summary_confidence(spark, d).filter("n_hits = 20").count() == 40
+
+
+def test_traversal_has_no_depth(spark, make, tmp_path):
+    nodes = [dict(id="r", repo_id="r", kind="Route", name="GET /", qname="route:GET /", path="a.py", start_line=1, loaded_at=T)]
+    nodes += [dict(id=f"f{i}", repo_id="r", kind="Function", name=f"f{i}", qname=f"a.f{i}", path=f"p{i}.py", start_line=i + 1, loaded_at=T) for i in range(6)]
+    edges = [dict(repo_id="r", src=a, dst=b, kind="CALLS", confidence="strong", loaded_at=T) for a, b in [("r", "f0"), *((f"f{i}", f"f{i + 1}") for i in range(5)), ("f5", "f0")]]
+    d = folder(make, tmp_path, nodes=(NODES, nodes), edges=(EDGES, edges))
+    assert {(r.id, r.distance) for r in graph.bfs_distance_down(spark, d).collect()} == {("r", 0), *((f"f{i}", i + 1) for i in range(6))}
+    assert graph.bfs_weakest_confidence(spark, d).filter("rank = 1").count() == 6
+    assert {r.path: r.distance for r in graph.bfs_files(spark, d).collect()} == {"a.py": 0, **{f"p{i}.py": i + 1 for i in range(6)}}
+    assert {(r.seed, r.id, r.distance) for r in graph.impact_entrypoints(spark, d).collect()} == {(f"f{i}", "r", i + 1) for i in range(6)}
