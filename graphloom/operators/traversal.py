@@ -18,10 +18,11 @@ def steps(edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
     return e.join(n, "next")
 
 
-def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, direction: str = "down", depth: int | None = 3) -> DataFrame:
+def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, direction: str = "down", depth: int | None = 3, max_nodes: int | None = None) -> DataFrame:
     """(seed, id, distance, rank): nodes within ``depth`` moves of each seed (None: all that can be reached), with the least distance and, over the paths of that
     distance, the weakest confidence of the best path. seeds: (seed, id). Nodes that are not expandable are reached, not left.
 
+    A seed that has ``max_nodes`` after a level takes no further one: whatever came later would be farther than these.
     Each level is written to the shared folder, so the plan stays short and a lost executor costs one level.
     """
     moves = stored(steps(edges, nodes, direction), "steps")
@@ -37,9 +38,24 @@ def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, direction: str =
         if frontier.isEmpty():
             break
         out = out.unionByName(frontier)
+        if max_nodes is not None:
+            full = out.filter("distance > 0").groupBy("seed").agg(F.count("*").alias("c")).filter(F.col("c") >= max_nodes)
+            frontier = frontier.join(full, "seed", "left_anti")
     return out.drop("expand")
 
 
+def radius_starts(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, direction: str) -> DataFrame:
+    """(seed, id): seeds with what stands for them: a file has the nodes it DEFINES in both directions, anything else its file upwards."""
+    at = seeds.select("seed", "id").distinct().join(nodes.select("id", "repo_id", "kind", "path"), "id")
+    defined = edges.filter("kind = 'DEFINES'").select("repo_id", F.col("src").alias("id"), "dst")
+    out = seeds.select("seed", "id").unionByName(at.filter("kind = 'FILE'").join(defined, ["repo_id", "id"]).select("seed", F.col("dst").alias("id")))
+    if direction == "up":
+        files = nodes.filter("kind = 'FILE'").groupBy("repo_id", "path").agg(F.min("id").alias("file"))
+        inside = at.filter(F.coalesce(F.col("kind") != "FILE", F.lit(True))).join(files, ["repo_id", "path"])
+        out = out.unionByName(inside.select("seed", F.col("file").alias("id")))
+    return out.distinct()
+
+
 def radius_files(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     """(seed, path, distance): the files of reached nodes, each at its least distance."""
     n = nodes.filter(F.col("kind").isin(*EXPANDABLE)).select("id", "path")
@@ -49,12 +65,12 @@ def radius_files(reached: DataFrame, nodes: DataFrame) -> DataFrame:
 def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int | None = None, max_nodes: int = 1000) -> DataFrame:
     """(seed, direction, id, kind, qname, path, distance, confidence, position): both directions, at most ``max_nodes`` a seed and direction.
 
-    The limit is the operator's feature: nearest first, then better confidence, path, line and id.
+    Starts are those of ``radius_starts``. The limit is the operator's feature: nearest first, then better confidence, path, line and id.
     """
     names = F.array(*[F.lit(x) for x in ("exact", "strong", "resolved", "heuristic")])
     parts = []
     for direction in ("up", "down"):
-        r = reach(edges, nodes, seeds, direction, depth).filter("distance > 0").join(nodes.select("id", "kind", "qname", "path", "start_line"), "id")
+        r = reach(edges, nodes, radius_starts(edges, nodes, seeds, direction), direction, depth, max_nodes).filter("distance > 0").join(nodes.select("id", "kind", "qname", "path", "start_line"), "id")
         w = Window.partitionBy("seed").orderBy("distance", "rank", F.coalesce("path", F.lit("")), "start_line", "id")
         r = r.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= max_nodes)
         parts.append(r.select("seed", F.lit(direction).alias("direction"), "id", "kind", "qname", "path", "distance", F.element_at(names, F.col("rank") + 1).alias("confidence"), "position"))

@@ -94,7 +94,8 @@ def bfs_distance_down(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sinks(spark: SparkSession, d: str) -> DataFrame:
-    return N(spark, d).filter("kind = 'CLASS'").select(F.col("id").alias("seed"), "id")
+    """Whatever code may change: files and definitions."""
+    return N(spark, d).filter("kind in ('FILE', 'FUNCTION', 'METHOD', 'CLASS')").select(F.col("id").alias("seed"), "id")
 
 
 def bfs_distance_up(spark: SparkSession, d: str) -> DataFrame:

@@ -37,3 +37,16 @@ def test_traversal_has_no_depth(spark, make, tmp_path):
     assert graph.bfs_weakest_confidence(spark, d).filter("rank = 1").count() == 6
     assert {r.path: r.distance for r in graph.bfs_files(spark, d).collect()} == {"a.py": 0, **{f"p{i}.py": i + 1 for i in range(6)}}
     assert {(r.seed, r.id, r.distance) for r in graph.impact_entrypoints(spark, d).collect()} == {(f"f{i}", "r", i + 1) for i in range(6)}
+
+
+def test_radius_starts_at_files_and_definitions(spark, make, tmp_path):
+    row = lambda i, kind, path: dict(id=i, repo_id="r", kind=kind, name=i, qname=i, path=path, start_line=1, loaded_at=T)
+    nodes = [row("fa", "File", "a.py"), row("fb", "File", "b.py"), row("g", "Function", "a.py"), row("h", "Function", "b.py"), row("x", "Function", "c.py")]
+    edges = [dict(repo_id="r", src=a, dst=b, kind=k, confidence="strong", loaded_at=T) for a, k, b in [("fa", "DEFINES", "g"), ("fb", "DEFINES", "h"), ("fb", "IMPORTS", "fa"), ("h", "CALLS", "g"), ("g", "CALLS", "x")]]
+    d = folder(make, tmp_path, nodes=(NODES, nodes), edges=(EDGES, edges))
+    got = {}
+    for r in graph.impact_blast_radius(spark, d).collect():
+        got.setdefault((r.seed, r.direction), set()).add(r.id)
+    assert got == {("fa", "up"): {"fb", "h"}, ("fa", "down"): {"x"}, ("fb", "down"): {"fa", "g", "x"}, ("g", "up"): {"fb", "h"}, ("g", "down"): {"x"}, ("h", "down"): {"g", "x"}, ("x", "up"): {"g", "h"}}
+    assert {r.seed: (r.n_upstream, r.n_downstream) for r in graph.impact_summary(spark, d).collect()} == {"fa": (2, 1), "fb": (0, 3), "g": (2, 1), "h": (0, 2), "x": (2, 0)}
+    assert {(r.seed, r.id) for r in graph.bfs_distance_up(spark, d).filter("distance > 0").collect()} == {("g", "h"), ("x", "g"), ("x", "h"), ("fa", "fb")}
