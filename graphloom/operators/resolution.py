@@ -43,6 +43,11 @@ def resolve_imports(bindings: DataFrame, files: DataFrame) -> DataFrame:
 
     exact: a candidate path is a file of the repo. suffix: for an absolute module, exactly one file ends with a candidate. Self-imports are dropped.
     """
+    return module_files(bindings, files).filter(F.col("target") != F.col("path"))
+
+
+def module_files(bindings: DataFrame, files: DataFrame) -> DataFrame:
+    """As ``resolve_imports``, with a file's imports of itself."""
     key = ["repo_id", "path", "module", "name"]
     f = files.select("repo_id", F.col("path").alias("target")).distinct()
     c = module_candidates(bindings)
@@ -51,45 +56,88 @@ def resolve_imports(bindings: DataFrame, files: DataFrame) -> DataFrame:
     one = ends.groupBy("repo_id", "candidate").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1")
     suffix = c.filter("absolute").join(one.select("repo_id", "candidate", "target"), ["repo_id", "candidate"]).withColumn("how", F.lit("suffix"))
     pick = exact.select(*key, "priority", "target", "how").unionByName(suffix.select(*key, (F.col("priority") + 100).alias("priority"), "target", "how"))
-    best = pick.groupBy(*key).agg(F.min(F.struct("priority", "target", "how")).alias("b")).select(*key, "b.target", "b.how")
-    return best.filter(F.col("target") != F.col("path"))
+    return pick.groupBy(*key).agg(F.min(F.struct("priority", "target", "how")).alias("b")).select(*key, "b.target", "b.how")
 
 
-def unique_names(nodes: DataFrame) -> DataFrame:
+def unique_names(nodes: DataFrame, prefer: tuple[str, ...] = ("FUNCTION", "CLASS"), keys: tuple[str, ...] = ("repo_id", "name")) -> DataFrame:
     """(repo_id, name, id): simple names that exactly one function or class has; if those are none, exactly one definition."""
     d = nodes.filter(F.col("kind").isin(*DEFINITIONS) & F.col("name").isNotNull())
-    top = F.col("kind").isin("FUNCTION", "CLASS")
-    g = d.groupBy("repo_id", "name").agg(F.count_if(top).alias("n_top"), F.count("*").alias("n_all"), F.min(F.when(top, F.col("id"))).alias("top_id"), F.min("id").alias("any_id"))
+    top = F.col("kind").isin(*prefer)
+    g = d.groupBy(*keys).agg(F.count_if(top).alias("n_top"), F.count("*").alias("n_all"), F.min(F.when(top, F.col("id"))).alias("top_id"), F.min("id").alias("any_id"))
     pick = F.when(F.col("n_top") == 1, F.col("top_id")).when((F.col("n_top") == 0) & (F.col("n_all") == 1), F.col("any_id"))
-    return g.select("repo_id", "name", pick.alias("id")).filter("id is not null")
+    return g.select(*keys, pick.alias("id")).filter("id is not null")
 
 
-def resolve_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(repo_id, src, detail, target, rule): definitions that calls to external symbols really mean.
+def through_imports(calls: DataFrame, nodes: DataFrame, prefer: tuple[str, ...]) -> DataFrame:
+    """calls with target: the definition that an import of the caller's file leads to. calls: (repo_id, src, detail, path).
 
-    Rules, in order: 1 the dotted name is a qualified name; 2 ``self.``, ``cls.`` or ``this.`` and a method of the caller's class; 3 exactly one qualified name ends
-    with the dotted name; 4 the last part is a unique simple name. Names of rule 2 take no later rule. Calls to oneself are dropped.
+    The longest dotted prefix that is an alias and leads anywhere decides, by one definition or not at all; then star imports, for names of one part.
     """
-    ext = nodes.filter("kind = 'EXTERNALSYMBOL'").select(F.col("id").alias("dst"))
-    caller = nodes.filter(F.col("kind").isin(*DEFINITIONS)).select(F.col("id").alias("src"), F.substring_index("qname", ".", -1).alias("own"), F.regexp_replace("qname", r"\.[^.]*$", "").alias("scope"))
-    calls = edges.filter("kind = 'CALLS' and detail <> ''").select("repo_id", "src", "dst", "detail").join(ext, "dst", "left_semi").select("repo_id", "src", "detail").distinct().join(caller, "src")
+    b = import_bindings(nodes).filter("module is not null").withColumn("name", F.nullif("name", F.lit("")))
+    joined = F.concat("module", F.when(F.col("module").endswith("."), F.lit("")).otherwise(F.lit(".")), "name")
+    none = F.lit(None).cast("string").alias("name")
+    modules = b.select("repo_id", "path", "module", none).unionByName(b.filter("name is not null").select("repo_id", "path", joined.alias("module"), none)).distinct()
+    files = nodes.filter("kind = 'FILE'").select("repo_id", "path").distinct()
+    at = module_files(modules, files).select("repo_id", "path", F.col("module").alias("m"), F.col("target").alias("file"))
+    picked = unique_names(nodes, prefer, ("repo_id", "path", "name")).select("repo_id", F.col("path").alias("file"), F.col("name").alias("symbol"), F.col("id").alias("target"))
+    key = ["repo_id", "src", "detail"]
+    parts = calls.withColumn("parts", F.split("detail", r"\."))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("parts", F.lit(1), i), ".").alias("alias"), F.get("parts", i).alias("rest")))
+    named = parts.select(*key, "path", F.explode(prefixes).alias("p")).select(*key, "path", "p.i", "p.alias", "p.rest").join(b.filter("coalesce(name, '') <> '*'"), ["repo_id", "path", "alias"])
+    stars = parts.filter(F.size("parts") == 1).select(*key, "path", F.lit(0).alias("i"), F.col("detail").alias("alias"), none.alias("rest")).join(b.filter("name = '*'").drop("alias"), ["repo_id", "path"])
+    look = lambda k, m, symbol: F.struct(F.lit(k).alias("k"), m.alias("m"), symbol.alias("symbol"))
+    module, rest, alias = F.col("module"), F.col("rest"), F.col("alias")
+    looks = (
+        F.when(F.col("name").isNull(), F.array(look(0, module, rest)))
+        .when(F.col("name").isin("default", "*"), F.array(look(0, module, F.coalesce(rest, alias))))
+        .when(rest.isNotNull(), F.array(look(0, joined, rest), look(1, module, rest)))
+        .otherwise(F.array(look(0, module, F.col("name"))))
+    )
+    each = named.unionByName(stars).select(*key, "path", "i", "module", "name", F.explode(looks).alias("l")).select(*key, "path", "i", "module", "name", "l.*")
+    found = each.join(at, ["repo_id", "path", "m"]).join(picked, ["repo_id", "file", "symbol"])
+    per_binding = found.groupBy(*key, "i", "module", "name").agg(F.min_by("target", "k").alias("target"))
+    per_prefix = per_binding.groupBy(*key, "i").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))
+    best = per_prefix.groupBy(*key).agg(F.max(F.struct("i", "n", "target")).alias("b"))
+    return best.filter("b.n = 1").select(*key, "b.target")
+
+
+def _resolve(edges: DataFrame, nodes: DataFrame, kind: str, prefer: tuple[str, ...]) -> DataFrame:
+    ext = nodes.filter("kind = 'EXTERNALSYMBOL'").select(F.col("id").alias("dst"), F.col("name").alias("target_name"))
+    caller = nodes.filter(F.col("kind").isin(*DEFINITIONS)).select(F.col("id").alias("src"), "path", F.substring_index("qname", ".", -1).alias("own"), F.regexp_replace("qname", r"\.[^.]*$", "").alias("scope"))
+    said = edges.filter(F.col("kind") == kind).select("repo_id", "src", "dst", "detail").join(ext, "dst")
+    said = said.withColumn("detail", F.coalesce(F.nullif(F.trim("detail"), F.lit("")), F.nullif(F.trim("target_name"), F.lit("")))).filter("detail is not null")
+    calls = said.select("repo_id", "src", "detail").distinct().join(caller, "src")
     bound = F.col("detail").rlike(r"^(self|cls|this)\.")
     d = nodes.filter(F.col("kind").isin(*DEFINITIONS) & F.col("qname").isNotNull()).select("repo_id", "id", "qname", "kind")
     names = d.select("repo_id", F.col("qname").alias("detail"), "id")
+    cols = ["repo_id", "src", "detail", "target", "rule"]
     exact = calls.join(names.groupBy("repo_id", "detail").agg(F.max("id").alias("target")), ["repo_id", "detail"]).withColumn("rule", F.lit(1))
-    method = d.filter("kind = 'METHOD'").select("repo_id", F.col("qname").alias("q"), "id").groupBy("repo_id", "q").agg(F.count("*").alias("n"), F.min("id").alias("target")).filter("n = 1")
-    own = calls.filter(bound & (F.size(F.split("detail", r"\.")) == 2)).withColumn("q", F.concat_ws(".", "scope", F.substring_index("detail", ".", -1)))
-    own = own.join(method.drop("n"), ["repo_id", "q"]).withColumn("rule", F.lit(2))
     ends = d.select("repo_id", "id", F.explode(suffixes(F.col("qname"), ".")).alias("detail")).groupBy("repo_id", "detail").agg(F.count("*").alias("n"), F.min("id").alias("target")).filter("n = 1").drop("n")
     free = calls.filter(~bound)
+    imported = through_imports(free.select("repo_id", "src", "detail", "path"), nodes, DEFINITIONS if kind == "CALLS" else prefer).withColumn("rule", F.lit(5))
     suffix = free.filter(F.contains("detail", F.lit("."))).join(ends, ["repo_id", "detail"]).withColumn("rule", F.lit(3))
-    simple = free.withColumn("name", F.substring_index("detail", ".", -1)).join(unique_names(nodes).withColumnRenamed("id", "target"), ["repo_id", "name"]).withColumn("rule", F.lit(4))
-    cols = ["repo_id", "src", "detail", "target", "rule"]
-    every = exact.select(*cols).unionByName(own.select(*cols)).unionByName(suffix.select(*cols)).unionByName(simple.select(*cols))
-    best = every.groupBy("repo_id", "src", "detail").agg(F.min(F.struct("rule", "target")).alias("b")).select("repo_id", "src", "detail", "b.target", "b.rule")
+    simple = free.withColumn("name", F.substring_index("detail", ".", -1)).join(unique_names(nodes, prefer).withColumnRenamed("id", "target"), ["repo_id", "name"]).withColumn("rule", F.lit(4))
+    every = exact.select(*cols).unionByName(imported.select(*cols)).unionByName(suffix.select(*cols)).unionByName(simple.select(*cols))
+    if kind == "CALLS":
+        method = d.filter("kind = 'METHOD'").select("repo_id", F.col("qname").alias("q"), "id").groupBy("repo_id", "q").agg(F.count("*").alias("n"), F.min("id").alias("target")).filter("n = 1")
+        own = calls.filter(bound & (F.size(F.split("detail", r"\.")) == 2)).withColumn("q", F.concat_ws(".", "scope", F.substring_index("detail", ".", -1)))
+        every = every.unionByName(own.join(method.drop("n"), ["repo_id", "q"]).withColumn("rule", F.lit(2)).select(*cols))
+    order = F.when(F.col("rule") == 5, 2.5).otherwise(F.col("rule").cast("double")).alias("order")
+    best = every.groupBy("repo_id", "src", "detail").agg(F.min(F.struct(order, "rule", "target")).alias("b")).select("repo_id", "src", "detail", "b.target", "b.rule")
     return best.filter(F.col("target") != F.col("src"))
 
 
+def resolve_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(repo_id, src, detail, target, rule): definitions that calls to, and classes extending, external symbols really mean.
+
+    Rules, in order: 1 the dotted name is a qualified name; 2 ``self.``, ``cls.`` or ``this.`` and a method of the caller's class; 5 an import of the caller's file leads
+    to it; 3 exactly one qualified name ends with the dotted name; 4 the last part is a unique simple name. Names of rule 2 take no later rule. A missing detail is the
+    symbol's name. Bases of classes have no rule 2 and prefer classes. References to oneself are dropped.
+    """
+    calls, bases = _resolve(edges, nodes, "CALLS", ("FUNCTION", "CLASS")), _resolve(edges, nodes, "EXTENDS", ("CLASS",))
+    return calls.unionByName(bases).distinct()
+
+
 def enclosing(nodes: DataFrame, bucket: int = 64) -> DataFrame:
     """(id, owner): for each function, method or class the narrowest other definition of its file whose lines hold its first line.
 

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from conftest import EDGES, NODES
 
+from graphloom.operators import model, resolution
 from graphloom.plans import graph, retrieval
 
 T = datetime(2025, 1, 1)
@@ -50,3 +51,18 @@ def test_radius_starts_at_files_and_definitions(spark, make, tmp_path):
     assert got == {("fa", "up"): {"fb", "h"}, ("fa", "down"): {"x"}, ("fb", "down"): {"fa", "g", "x"}, ("g", "up"): {"fb", "h"}, ("g", "down"): {"x"}, ("h", "down"): {"g", "x"}, ("x", "up"): {"g", "h"}}
     assert {r.seed: (r.n_upstream, r.n_downstream) for r in graph.impact_summary(spark, d).collect()} == {"fa": (2, 1), "fb": (0, 3), "g": (2, 1), "h": (0, 2), "x": (2, 0)}
     assert {(r.seed, r.id) for r in graph.bfs_distance_up(spark, d).filter("distance > 0").collect()} == {("g", "h"), ("x", "g"), ("x", "h"), ("fa", "fb")}
+
+
+def test_resolution_goes_through_imports(spark, make):
+    imports = [dict(module="pkg.util", name=None, alias="u"), dict(module="pkg", name="other", alias=None), dict(module="pkg.util", name="save", alias="keep"), dict(module="pkg.stars", name="*", alias=None)]
+    row = lambda i, kind, name, qname, path, **k: dict(id=i, repo_id="r", kind=kind, name=name, qname=qname, path=path, start_line=1, loaded_at=T) | k
+    names = ["u.save", "keep", "other.save", "twinkle", "nowhere.save", "Base", "lonely"]
+    nodes = [
+        row("f", "File", "a.py", "a.py", "a.py", extra={"imports": imports, "language": "python"}), *[row(f"f{m}", "File", m, m, f"pkg/{m}.py") for m in ("util", "other", "stars", "far")],
+        row("me", "Function", "go", "a.go", "a.py"), row("c", "Class", "C", "a.C", "a.py"), row("s1", "Function", "save", "pkg.util.save", "pkg/util.py"), row("s2", "Function", "save", "pkg.other.save", "pkg/other.py"),
+        row("t1", "Function", "twinkle", "pkg.stars.twinkle", "pkg/stars.py"), row("t2", "Function", "twinkle", "pkg.far.twinkle", "pkg/far.py"), row("b1", "Class", "Base", "pkg.far.Base", "pkg/far.py"), row("b2", "Function", "Base", "pkg.util.Base", "pkg/util.py"),
+        row("l", "Function", "lonely", "pkg.far.lonely", "pkg/far.py"), *[row(f"x{i}", "ExternalSymbol", n, f"external:{n}", "a.py") for i, n in enumerate(names)],
+    ]
+    edges = [dict(repo_id="r", src="c" if n == "Base" else "me", dst=f"x{i}", kind="EXTENDS" if n == "Base" else "CALLS", detail=None if n == "lonely" else n, loaded_at=T) for i, n in enumerate(names)]
+    got = {r.detail: (r.target, r.rule) for r in resolution.resolve_calls(model.valid_edges(make(EDGES, edges)), model.valid_nodes(make(NODES, nodes))).collect()}
+    assert got == {"u.save": ("s1", 5), "keep": ("s1", 5), "other.save": ("s2", 5), "twinkle": ("t1", 5), "Base": ("b1", 4), "lonely": ("l", 4)}
