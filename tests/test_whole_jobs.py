@@ -8,6 +8,7 @@ from conftest import EDGES, NODES
 
 from graphloom.operators import model, resolution
 from graphloom.plans import graph, retrieval
+from graphloom.sources import parse
 
 T = datetime(2025, 1, 1)
 
@@ -66,3 +67,19 @@ def test_resolution_goes_through_imports(spark, make):
     edges = [dict(repo_id="r", src="c" if n == "Base" else "me", dst=f"x{i}", kind="EXTENDS" if n == "Base" else "CALLS", detail=None if n == "lonely" else n, loaded_at=T) for i, n in enumerate(names)]
     got = {r.detail: (r.target, r.rule) for r in resolution.resolve_calls(model.valid_edges(make(EDGES, edges)), model.valid_nodes(make(NODES, nodes))).collect()}
     assert got == {"u.save": ("s1", 5), "keep": ("s1", 5), "other.save": ("s2", 5), "twinkle": ("t1", 5), "Base": ("b1", 4), "lonely": ("l", 4)}
+
+
+def test_parsers_emit_routes_arrows_and_imports(spark):
+    py = "import os\nimport a.b as ab\nfrom .lib import helper, other as o\nfrom m import *\n@app.get('/x')\ndef show():\n    return helper()\n"
+    js = "import d, { e as f, g } from './lib';\nimport * as ns from 'far';\nconst h = require('h');\nconst one = x => far(x);\nexport const two = async y => {\n  near(y);\n};\nfunction last() { one(1); }\napp.options('/o', last);\n"
+    facts = parse.parse_file("r", "a.py", py), parse.parse_file("r", "a.ts", js)
+    edges = [{(f.nodes[e[2]][4], e[4], f.nodes[e[3]][4]) for e in f.edges.values()} for f in facts]
+    assert {("a.py", "DEFINES", "GET /x"), ("GET /x", "HANDLES", "show"), ("GET /x", "CALLS", "show"), ("show", "EXPOSES", "GET /x")} <= edges[0]
+    assert ("a.py", "EXPOSES", "GET /x") not in edges[0]
+    assert {("one", "CALLS", "far"), ("two", "CALLS", "near"), ("last", "CALLS", "one"), ("a.ts", "DEFINES", "OPTIONS /o"), ("OPTIONS /o", "HANDLES", "last")} <= edges[1]
+    assert ("one", "CALLS", "near") not in edges[1]
+    src = spark.createDataFrame([("r", "a.py", py), ("r", "a.ts", js)], "repo_id string, path string, text string")
+    got = {(r.path, r.module, r.name, r.alias) for r in resolution.import_bindings(model.valid_nodes(parse.parse_sources(src, "nodes").selectExpr("*", "timestamp_ntz'2025-01-01' loaded_at"))).collect()}
+    want = {("a.py", "os", None, "os"), ("a.py", "a.b", None, "ab"), ("a.py", ".lib", "helper", "helper"), ("a.py", ".lib", "other", "o"), ("a.py", "m", "*", "*")}
+    want |= {("a.ts", "./lib", "default", "d"), ("a.ts", "./lib", "e", "f"), ("a.ts", "./lib", "g", "g"), ("a.ts", "far", None, "ns"), ("a.ts", "h", None, "h")}
+    assert got == want
