@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +13,17 @@ from graphloom.session import stored
 #: Searched columns.
 FIELDS = ("qname", "name", "signature", "doc", "path")
 K1, B = 1.2, 0.75
+#: Letters that are a plain letter with marks, and those plain letters.
+_FOLDS = {chr(i): d[0] for i in range(0xC0, 0x2000) if unicodedata.category(chr(i))[0] == "L" and len(d := unicodedata.normalize("NFD", chr(i))) > 1 and all(unicodedata.category(x)[0] == "M" for x in d[1:])}
+_PLAIN = "".join(_FOLDS), "".join(_FOLDS.values())
 
 
 def terms(c: Column | str) -> Column:
-    """The words of a text: runs of ASCII letters or digits, in lower case (``_`` separates)."""
-    return F.regexp_extract_all(F.lower(F.col(c) if isinstance(c, str) else c), F.lit("[a-z0-9]+"), F.lit(0))
+    """The words of a text: runs of letters or digits of any script, in lower case and without marks (``_`` separates). An accented letter counts as its plain one."""
+    low = F.lower(F.col(c) if isinstance(c, str) else c)
+    words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"), F.lit(0))
+    folded = F.transform(words, lambda w: F.when(w.rlike("^[a-z0-9]+$"), w).otherwise(F.regexp_replace(F.translate(w, *_PLAIN), r"\p{M}+", "")))
+    return F.filter(folded, lambda w: w != "")
 
 
 def query_tokens(c: Column | str) -> Column:

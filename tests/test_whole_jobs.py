@@ -6,7 +6,7 @@ from datetime import datetime
 
 from conftest import EDGES, NODES
 
-from graphloom.operators import model, resolution
+from graphloom.operators import model, resolution, search
 from graphloom.plans import graph, retrieval
 from graphloom.sources import parse
 
@@ -83,3 +83,12 @@ def test_parsers_emit_routes_arrows_and_imports(spark):
     want = {("a.py", "os", None, "os"), ("a.py", "a.b", None, "ab"), ("a.py", ".lib", "helper", "helper"), ("a.py", ".lib", "other", "o"), ("a.py", "m", "*", "*")}
     want |= {("a.ts", "./lib", "default", "d"), ("a.ts", "./lib", "e", "f"), ("a.ts", "./lib", "g", "g"), ("a.ts", "far", None, "ns"), ("a.ts", "h", None, "h")}
     assert got == want
+
+
+def test_words_of_every_script_are_indexed(spark, make):
+    df = spark.createDataFrame([("Café_CAFE\u0301 naïve2 \u65e5\u672c \u041f\u0440\u0438\u0432\u0435\u0442 Ελλάδα a_b",), (None,)], "t string")
+    got = [r.w for r in df.select(search.terms("t").alias("w")).collect()]
+    assert got == [["cafe", "cafe", "naive2", "\u65e5\u672c", "\u043f\u0440\u0438\u0432\u0435\u0442", "ελλαδα", "a", "b"], None]
+    nodes = model.valid_nodes(make(NODES, [dict(id="n", kind="Function", doc="Café \u65e5\u672c", loaded_at=T)]))
+    queries = spark.createDataFrame([("q1", "cafe"), ("q2", "\u65e5\u672c")], "qid string, query string")
+    assert {r.qid for r in search.bm25(search.postings(nodes), queries, True).collect()} == {"q1", "q2"}
