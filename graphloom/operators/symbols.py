@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.model import EXTERNAL
@@ -22,16 +22,25 @@ def exact_symbols(nodes: DataFrame, names: DataFrame, limit: int = 20) -> DataFr
 
 
 def substring_symbols(nodes: DataFrame, names: DataFrame, limit: int = 20, size: int = 3) -> DataFrame:
-    """Nodes whose qualified name contains the query, which must have at least ``size`` characters.
+    """Nodes whose qualified name contains the query, however short.
 
-    Not a cross join: candidates share the query's first ``size`` characters as one of their character runs.
+    Not a cross join: candidates hold the query's rarest run of ``size`` characters; a query shorter than that is a run of its own length.
     """
     cols = ["id", "name", "qname", "kind", "path"]
-    q = names.filter(F.length("query") >= size).select("query", F.lower("query").alias("_q"), F.lower(F.substring("query", 1, size)).alias("_g")).distinct()
+    q = names.filter(F.length("query") > 0).select("query", F.lower("query").alias("_q")).distinct()
     low = F.lower("qname")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - (size - 1)), lambda i: F.substring(low, i, F.lit(size))))
-    have = nodes.filter(F.length("qname") >= size).select(*cols, F.explode(grams).alias("_g"))
-    hits = have.join(F.broadcast(q.select("_g").distinct()), "_g", "left_semi").join(q, "_g").filter(F.contains(low, F.col("_q")))
+
+    def runs(text: Column, n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    own = F.when(F.length("_q") < size, F.array("_q")).otherwise(runs(F.col("_q"), size))
+    asked = q.select("query", "_q", F.explode(own).alias("_g"))
+    every = F.array_distinct(F.concat(*[runs(low, n) for n in range(1, size + 1)]))
+    have = nodes.filter("qname is not null").select(*cols, F.explode(every).alias("_g")).join(asked.select("_g").distinct(), "_g", "left_semi")
+    rare = asked.join(have.groupBy("_g").agg(F.count("*").alias("_n")), "_g", "left")
+    rare = rare.groupBy("query", "_q").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
+    hits = have.join(rare, "_g").filter(F.contains(low, F.col("_q")))
     return _first(hits.drop("_q", "_g"), limit).select("query", *cols, "position")
 
 

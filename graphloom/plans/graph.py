@@ -74,15 +74,15 @@ def symbol_exact(spark: SparkSession, d: str) -> DataFrame:
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
     """Parts of names: the last two words of each function's name."""
-    return N(spark, d).filter("kind = 'FUNCTION'").select(F.substring_index("name", "_", -2).alias("query")).filter(F.length("query") >= 8).distinct()
+    return N(spark, d).filter("kind = 'FUNCTION'").select(F.substring_index("name", "_", -2).alias("query")).filter("query is not null").distinct()
 
 
 def symbol_substring(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.substring_symbols(N(spark, d), _parts(spark, d), 5, 8)
+    return symbols.substring_symbols(N(spark, d), _parts(spark, d), 5)
 
 
 def symbol_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.find_symbols(N(spark, d), _parts(spark, d).unionByName(_names(spark, d)).filter(F.length("query") >= 8).distinct(), 5).select("query", "id", "tier", "position")
+    return symbols.find_symbols(N(spark, d), _parts(spark, d).unionByName(_names(spark, d)).distinct(), 5).select("query", "id", "tier", "position")
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:

@@ -92,3 +92,11 @@ def test_words_of_every_script_are_indexed(spark, make):
     nodes = model.valid_nodes(make(NODES, [dict(id="n", kind="Function", doc="Café \u65e5\u672c", loaded_at=T)]))
     queries = spark.createDataFrame([("q1", "cafe"), ("q2", "\u65e5\u672c")], "qid string, query string")
     assert {r.qid for r in search.bm25(search.postings(nodes), queries, True).collect()} == {"q1", "q2"}
+
+
+def test_short_names_are_looked_up(spark, make, tmp_path):
+    names = ["go", "a", "get_edge", "run"]
+    rows = [dict(id=f"n{i}", repo_id="r", kind="Function", name=n, qname=f"pkg.{n}", path="a.py", start_line=1, loaded_at=T) for i, n in enumerate(names)] + [dict(id="m", repo_id="r", kind="Method", name="ungo", qname="pkg.K.ungo", path="a.py", start_line=9, loaded_at=T)]
+    d = folder(make, tmp_path, nodes=(NODES, rows))
+    assert {(r.query, r.id) for r in graph.symbol_substring(spark, d).collect()} == {("go", "n0"), ("go", "m"), ("a", "n1"), ("get_edge", "n2"), ("run", "n3")}
+    assert {(r.query, r.id, r.tier) for r in graph.symbol_cascade(spark, d).collect()} == {(n, f"n{i}", "exact") for i, n in enumerate(names)}
