@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.model import EXTERNAL
+from graphloom.operators.symbols import substring_hits
 from graphloom.session import stored
 
 #: Searched columns.
 FIELDS = ("qname", "name", "signature", "doc", "path")
 K1, B = 1.2, 0.75
 #: Letters that are a plain letter with marks, and those plain letters.
-_FOLDS = {chr(i): d[0] for i in range(0xC0, 0x2000) if unicodedata.category(chr(i))[0] == "L" and len(d := unicodedata.normalize("NFD", chr(i))) > 1 and all(unicodedata.category(x)[0] == "M" for x in d[1:])}
+_FOLDS = {chr(i): d[0] for i in range(0xC0, 0xAC00) if unicodedata.category(chr(i))[0] == "L" and len(d := unicodedata.normalize("NFD", chr(i))) > 1 and all(unicodedata.category(x)[0] == "M" for x in d[1:])}
 _PLAIN = "".join(_FOLDS), "".join(_FOLDS.values())
 
 
@@ -61,7 +62,7 @@ def bm25(posts: DataFrame, queries: DataFrame, every: bool, limit: int | None =
     """
     q = query_terms(queries)
     doc_len = posts.groupBy("id").agg(F.sum("tf").alias("dl"))
-    tf = posts.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+    tf = posts.join(q.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n, avg = doc_len.agg(F.count("*").alias("n")).scalar(), doc_len.agg((F.sum("dl") / F.count("*")).alias("a")).scalar()
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -87,36 +88,69 @@ def first_per_query(hits: DataFrame, order: list[Column], limit: int) -> DataFra
 
 
 def any_field(posts: DataFrame, queries: DataFrame, fields: tuple[str, ...], limit: int) -> DataFrame:
-    """(qid, id, position): the first nodes, by id, that hold any word of the query in one of the fields; unranked tiers."""
-    hits = posts.filter(F.col("field").isin(*fields)).join(query_terms(queries), "term").select("qid", "id").distinct()
-    return first_per_query(hits, [F.col("id")], limit)
+    """(qid, id, position): the first nodes, by id, that hold any word of the query in one of the fields; unranked tiers.
+
+    A query's first ``limit`` nodes are among the first ``limit`` of each of its words, so words are cut to those before queries meet them: exact,
+    and the join makes at most limit pairs for each word of a query. A hot word is cut inside the tasks, before it is shuffled.
+    """
+    held = posts.filter(F.col("field").isin(*fields)).select("term", "id").distinct()
+    first = held.withColumn("_r", F.row_number().over(Window.partitionBy("term").orderBy("id"))).filter(F.col("_r") <= limit).drop("_r")
+    return first_per_query(first.join(query_terms(queries), "term").select("qid", "id").distinct(), [F.col("id")], limit)
+
+
+TIERS = ("path", "column", "strict", "reserve", "broad", "external", "substring")
 
 
 def tiered_search(nodes: DataFrame, queries: DataFrame, limit: int = 20, max_probe: int = 8) -> DataFrame:
-    """(qid, id, tier, position): the staged search of many queries in one plan.
+    """(qid, id, tier, position): the staged search of many queries in one plan. queries: (qid, query).
+
+    Stages in order, each opened for a query only while earlier ones gave too little, judged by counts per query:
+
+    * path (three words or more; only if it fills half of the limit), column (qname, name, path; only if it fills the limit), strict (all words, BM25);
+    * reserve: the column hits after all, where there are fewer than half of the limit; broad: any word, to fill up. Queries of more than
+      ``max_probe`` words go to broad alone;
+    * of all these, the best one by path priority moves to the first place;
+    * external: external symbols fill what is left; substring: a query without any hit gets nodes whose qname, name, path or doc contains it.
 
-    Tiers in order: path (three words or more; only if it fills half of the limit), column (qname, name, path; only if it fills the limit), strict (all
-    words, BM25), broad (any word). A tier opens for a query only while earlier ones gave too little, judged by counts per query. Queries
-    of more than ``max_probe`` words go to the broad tier alone. Within a query a node keeps its first tier.
+    Within a query a node keeps its first stage. Empty queries find nothing.
     """
     posts = index(nodes)
+    half = max(1, limit // 2)
     size = queries.select("qid", "query", F.size(query_tokens("query")).alias("n"))
+    counted = lambda hits: hits.groupBy("qid").agg(F.countDistinct("id").alias("c"))
     short = size.filter(F.col("n") <= max_probe)
     path = any_field(posts, short.filter(F.col("n") >= 3), ("path",), limit)
-    enough = path.groupBy("qid").agg(F.count("*").alias("c")).filter(F.col("c") >= max(1, limit // 2)).select("qid")
+    enough = counted(path).filter(F.col("c") >= half).select("qid")
     path = path.join(enough, "qid", "left_semi")
     open_ = short.join(enough, "qid", "left_anti")
-    column = any_field(posts, open_, ("qname", "name", "path"), limit)
-    full = column.groupBy("qid").agg(F.count("*").alias("c")).filter(F.col("c") >= limit).select("qid")
-    column = column.join(full, "qid", "left_semi")
+    column = stored(any_field(posts, open_, ("qname", "name", "path"), limit), "column-tier")
+    full = counted(column).filter(F.col("c") >= limit).select("qid")
     strict = bm25(posts, open_.join(full, "qid", "left_anti"), True, limit)
-    ranked = [d.select("qid", "id", F.lit(t).alias("t"), "position") for t, d in ((1, path), (2, column), (3, strict))]
-    first = ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
-    filled = first.groupBy("qid").agg(F.count("*").alias("c")).filter(F.col("c") >= limit).select("qid")
-    broad = any_field(posts, size.join(filled, "qid", "left_anti"), FIELDS, limit).select("qid", "id", F.lit(4).alias("t"), "position")
-    best = first.unionByName(broad).groupBy("qid", "id").agg(F.min(F.struct("t", "position")).alias("b")).select("qid", "id", "b.t", F.col("b.position").alias("p"))
-    out = first_per_query(best, [F.col("t"), F.col("p"), F.col("id")], limit)
-    return out.select("qid", "id", F.element_at(F.array(*map(F.lit, ("path", "column", "strict", "broad"))), F.col("t")).alias("tier"), "position")
+    stage = lambda d, t: d.select("qid", "id", F.lit(t).alias("t"), "position")
+    first = stored(stage(path, 0).unionByName(stage(column.join(full, "qid", "left_semi"), 1)).unionByName(stage(strict, 2)), "first-tiers")
+    few = short.join(counted(first).filter(F.col("c") >= half), "qid", "left_anti")
+    first = first.unionByName(stage(column.join(few, "qid", "left_semi"), 3))
+    missing = size.join(counted(first), "qid", "left").fillna(0, ["c"]).filter(F.col("c") < limit)
+    room = missing.select("qid", F.when(F.col("c") >= half, limit - F.col("c") + 2).otherwise(limit).alias("room"))
+    broad = any_field(posts, missing, FIELDS, limit).join(room, "qid").filter(F.col("position") <= F.col("room"))
+    best = first.unionByName(stage(broad, 4)).groupBy("qid", "id").agg(F.min(F.struct("t", "position")).alias("b")).select("qid", "id", "b.t", F.col("b.position").alias("p"))
+    ranked = best.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("t", "p", "id")))
+    found = stored(promote(ranked, nodes).join(best.select("qid", "id", "t"), ["qid", "id"]).filter(F.col("place") <= limit).select("qid", "id", "t", F.col("place").alias("position")), "found")
+    open_ = queries.join(counted(found), "qid", "left").fillna(0, ["c"]).filter(F.col("c") < limit)
+    more = external_fill(nodes, open_.select("qid", "query"), limit).join(open_.select("qid", "c"), "qid").withColumn("position", F.col("position") + F.col("c")).filter(F.col("position") <= limit)
+    found = found.unionByName(stage(more, 5))
+    none = stored(queries.join(found, "qid", "left_anti").filter(F.length("query") > 0), "no-hits")
+    if not none.isEmpty():
+        found = found.unionByName(stage(containing(nodes, none, limit), 6))
+    return found.select("qid", "id", F.element_at(F.array(*map(F.lit, TIERS)), F.col("t") + 1).alias("tier"), F.col("position").cast("int").alias("position"))
+
+
+def containing(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """(qid, id, position): nodes whose qname, name, path or doc contains the query, whatever the case; external ones last, equal names first, short names before long ones."""
+    whole = nodes.select("*", F.concat_ws("\x00", "qname", "name", "path", "doc").alias("_text"))
+    hits = substring_hits(whole, queries.select("query").distinct(), "_text", ["id", "name", "qname", "kind"]).join(queries, "query")
+    order = [F.coalesce(F.col("kind").isin(*EXTERNAL), F.lit(False)).cast("int"), F.coalesce(F.lower("name") != F.lower("query"), F.lit(True)).cast("int"), F.length("qname"), F.col("id")]
+    return first_per_query(hits, order, limit).select("qid", "id", "position")
 
 
 def path_priority(path: Column | str) -> Column:

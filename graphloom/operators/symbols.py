@@ -21,27 +21,31 @@ def exact_symbols(nodes: DataFrame, names: DataFrame, limit: int = 20) -> DataFr
     return _first(keys.join(q, "_q").drop("_q"), limit).select("query", *cols, "position")
 
 
-def substring_symbols(nodes: DataFrame, names: DataFrame, limit: int = 20, size: int = 3) -> DataFrame:
-    """Nodes whose qualified name contains the query, however short.
+def substring_hits(nodes: DataFrame, names: DataFrame, text: str, cols: list[str], size: int = 3) -> DataFrame:
+    """(query, cols): rows whose text contains the query, whatever the case and however short it is.
 
     Not a cross join: candidates hold the query's rarest run of ``size`` characters; a query shorter than that is a run of its own length.
     """
-    cols = ["id", "name", "qname", "kind", "path"]
     q = names.filter(F.length("query") > 0).select("query", F.lower("query").alias("_q")).distinct()
-    low = F.lower("qname")
+    low = F.lower(text)
 
-    def runs(text: Column, n: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+    def runs(t: Column, n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) >= n, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
     own = F.when(F.length("_q") < size, F.array("_q")).otherwise(runs(F.col("_q"), size))
     asked = q.select("query", "_q", F.explode(own).alias("_g"))
     every = F.array_distinct(F.concat(*[runs(low, n) for n in range(1, size + 1)]))
-    have = nodes.filter("qname is not null").select(*cols, F.explode(every).alias("_g")).join(asked.select("_g").distinct(), "_g", "left_semi")
-    rare = asked.join(have.groupBy("_g").agg(F.count("*").alias("_n")), "_g", "left")
-    rare = rare.groupBy("query", "_q").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
-    hits = have.join(rare, "_g").filter(F.contains(low, F.col("_q")))
-    return _first(hits.drop("_q", "_g"), limit).select("query", *cols, "position")
+    grams = nodes.filter(F.col(text).isNotNull()).select(*cols, low.alias("_t"), F.explode(every).alias("_g"))
+    counts = grams.join(asked.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_n"))
+    rare = asked.join(counts, "_g", "left").groupBy("query", "_q").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
+    return grams.join(rare, "_g").filter(F.contains("_t", F.col("_q"))).select("query", *cols)
+
+
+def substring_symbols(nodes: DataFrame, names: DataFrame, limit: int = 20, size: int = 3) -> DataFrame:
+    """Nodes whose qualified name contains the query, however short. names: (query)."""
+    cols = ["id", "name", "qname", "kind", "path"]
+    return _first(substring_hits(nodes, names, "qname", cols, size), limit).select("query", *cols, "position")
 
 
 def find_symbols(nodes: DataFrame, names: DataFrame, limit: int = 20) -> DataFrame:

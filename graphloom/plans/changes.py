@@ -157,6 +157,8 @@ from o full join f on o.repo_id = f.repo_id and o.path = f.path""",
     "embedding_counts": _QUEUE + "select repo_id, count(*) filter (embedded_at is null) n_pending, count(embedded_at) n_embedded from qu group by all",
     "reconciliation_check": _QUEUE + "select repo_id, count(*) n_queued, true balanced from qu group by all",
     "embedding_text": BASE + "select id, regexp_replace(left(array_to_string([x for x in [qname, signature, doc] if length(trim(coalesce(x, ''))) > 0], chr(10)), 384), chr(10) || '+$', '') text from n where kind in ('FUNCTION','METHOD','CLASS','ROUTE','DOCSECTION')",
+    "cosine_topk": """with v as (select vec_id, embedding::double[] v from embeddings where embedding is not null), s as (select q.vec_id query_id, v.vec_id, round(list_cosine_similarity(q.v, v.v), 6) similarity from v q join v on v.vec_id <> q.vec_id where q.vec_id % 100 = 0)
+select * from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) "position" from s) where "position" <= 5""",
     "exact_duplicate_groups": "with g as (select text, min(doc_id) class_id, count(*) n_copies from documents where text is not null group by text having count(*) > 1) select doc_id, class_id, n_copies from documents join g using (text)",
     "timing_summary": """with v as (select event_type, value v, row_number() over (partition by event_type order by value) - 1 i, count(*) over (partition by event_type) n from events where value is not null)
 select event_type, any_value(n) n, round(min(v), 6) min_v, round(median(v), 6) p50, round(avg(v), 4) mean_v, round(max(v) filter (i = round_even(0.95 * (n - 1), 0)), 6) p95, round(max(v), 6) max_v from v group by event_type""",

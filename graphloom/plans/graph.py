@@ -78,11 +78,11 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_substring(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.substring_symbols(N(spark, d), _parts(spark, d), 5)
+    return symbols.substring_symbols(N(spark, d), _parts(spark, d), 20)
 
 
 def symbol_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.find_symbols(N(spark, d), _parts(spark, d).unionByName(_names(spark, d)).distinct(), 5).select("query", "id", "tier", "position")
+    return symbols.find_symbols(N(spark, d), _parts(spark, d).unionByName(_names(spark, d)).distinct(), 20).select("query", "id", "tier", "position")
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
@@ -133,24 +133,35 @@ k as (select *, node_kind is null dangling, row_number() over (partition by cent
   coalesce(node_path, ''), coalesce(node_line, 0), kind, node_id, detail, coalesce(owner_path, '')) position from b)
 select center_id, node_id, kind, confidence, detail, node_name, node_kind, node_path, node_line, dangling, position from k where position <= 16""" % EXTERNAL
 
-_MOVES = """, moves as (select e.{near} id, e.{far} nxt, min(case lower(e.confidence) when 'exact' then 0 when 'strong' then 1 when 'resolved' then 2 else 3 end) rk, any_value(n.kind) nk
-  from e join n on n.id = e.{far} where e.kind in ('CALLS', 'IMPORTS', 'EXTENDS', 'HANDLES', 'EXPOSES') group by all),
-l0 as (select id seed, id, 0 distance, 0 rk, true x from n where kind = '{kind}'),
-c1 as (select l0.seed, m.nxt id, 1 distance, min(greatest(l0.rk, m.rk)) rk, bool_or(m.nk in ('FILE','FUNCTION','METHOD','CLASS','ROUTE')) x from l0 join moves m on m.id = l0.id where l0.x group by all),
-l1 as (select * from c1 where (seed, id) not in (select (seed, id) from l0)),
-c2 as (select l1.seed, m.nxt id, 2 distance, min(greatest(l1.rk, m.rk)) rk, bool_or(m.nk in ('FILE','FUNCTION','METHOD','CLASS','ROUTE')) x from l1 join moves m on m.id = l1.id where l1.x group by all),
-l2 as (select * from c2 where (seed, id) not in (select (seed, id) from l0 union all select (seed, id) from l1)),
-c3 as (select l2.seed, m.nxt id, 3 distance, min(greatest(l2.rk, m.rk)) rk, bool_or(m.nk in ('FILE','FUNCTION','METHOD','CLASS','ROUTE')) x from l2 join moves m on m.id = l2.id where l2.x group by all),
-l3 as (select * from c3 where (seed, id) not in (select (seed, id) from l0 union all select (seed, id) from l1 union all select (seed, id) from l2)),
-reach2 as (select * from l0 union all select * from l1 union all select * from l2), reach3 as (select * from reach2 union all select * from l3)
+_RANKED = "case lower(e.confidence) when 'exact' then 0 when 'strong' then 1 when 'resolved' then 2 else 3 end"
+_WALKED = "('CALLS', 'IMPORTS', 'EXTENDS', 'HANDLES', 'EXPOSES')"
+_LEFT = "('FILE', 'FUNCTION', 'METHOD', 'CLASS', 'ROUTE')"
+
+
+def _walk(name: str, near: str, far: str, starts: str) -> str:
+    """A walk until nothing new is found, as a recursive table with one row per (seed, id)."""
+    return f""", m_{name} as (select e.{near} id, e.{far} nxt, min({_RANKED}) rk, bool_or(coalesce(n.kind in {_LEFT}, false)) x from e join n on n.id = e.{far} where e.kind in {_WALKED} group by all),
+{name} (seed, id, distance, rk, x) using key (seed, id) as (select distinct seed, id, 0, 0, true from ({starts}) union
+  select w.seed, m.nxt, min(w.distance) + 1, min(greatest(w.rk, m.rk)), bool_or(m.x) from {name} w join m_{name} m on m.id = w.id where w.x and not exists (select 1 from recurring.{name} o where o.seed = w.seed and o.id = m.nxt) group by w.seed, m.nxt)
+"""
+
+
+_RBASE = BASE.replace("with n as", "with recursive n as", 1)
+_SINKS = "('FILE', 'FUNCTION', 'METHOD', 'CLASS')"
+_DOWN = _RBASE + _walk("walk", "src", "dst", "select id seed, id from n where kind = 'ROUTE'")
+_UP = _RBASE + _walk("walk", "dst", "src", f"select id seed, id from n where kind in {_SINKS}")
+_BLAST = _RBASE + f""", sk as (select * from n where kind in {_SINKS}), df as (select sk.id seed, e.dst id from sk join e on e.src = sk.id and e.repo_id = sk.repo_id and e.kind = 'DEFINES' where sk.kind = 'FILE'),
+fl as (select repo_id, path, min(id) id from n where kind = 'FILE' group by all)
+""" + _walk("wd", "src", "dst", "select id seed, id from sk union select seed, id from df") + _walk("wu", "dst", "src", "select id seed, id from sk union select seed, id from df union select sk.id, fl.id from sk join fl on fl.repo_id = sk.repo_id and fl.path = sk.path where sk.kind <> 'FILE'") + """,
+bw as (select 'up' direction, * from wu union all select 'down', * from wd),
+bk as (select bw.*, n.kind, n.qname, n.path, row_number() over (partition by direction, seed order by distance, rk, coalesce(n.path, ''), n.start_line, n.id) "position" from bw join n using (id) where distance > 0),
+blast as (select seed, direction, id, kind, qname, path, distance, ['exact', 'strong', 'resolved', 'heuristic'][rk + 1] confidence, "position" from bk where "position" <= 1000)
 """
-_DOWN = BASE + _MOVES.format(near="src", far="dst", kind="ROUTE")
-_UP = BASE + _MOVES.format(near="dst", far="src", kind="CLASS")
-_UPF = BASE + _MOVES.format(near="dst", far="src", kind="FUNCTION")
 
 _HITS = """, {q}, k as (select distinct query, n.id, n.name, n.qname, n.kind, n.path from n join q on {on}),
 p as (select *, row_number() over (partition by query order by (kind in %s)::int, (lower(name) <> lower(query))::int, length(qname), qname, id) position from k where qname is not null)
 """ % EXTERNAL
+_PARTS = "qp as (select distinct array_to_string(list_slice(string_split(name, '_'), -2, -1), '_') query from n where kind = 'FUNCTION' and name is not null)"
 _NAMES = "qn as (select distinct upper(name) query from n where kind in ('CLASS', 'ROUTE') and name is not null)"
 
 QUERIES = {f.__name__: f for f in (
@@ -172,9 +183,15 @@ ORACLE = {
 res as (select distinct src, trim(detail) t from j where kind = 'CALLS' and lower(confidence) = 'resolved' and coalesce(nk, '') <> 'EXTERNALSYMBOL' and trim(detail) <> '')
 select repo_id, kind, count(*) n_edges from j where not (kind = 'CALLS' and coalesce(nk, '') = 'EXTERNALSYMBOL' and exists (select 1 from res where res.src = j.src and res.t = trim(j.detail))) group by all""",
     "symbol_exact": BASE + ", " + _NAMES + _HITS.format(q="q as (select query from qn)", on="lower(n.name) = lower(q.query) or lower(n.qname) = lower(q.query)") + "select query, id, name, qname, kind, path, position from p where position <= 20",
-    "bfs_distance_down": _DOWN + "select seed, id, distance from reach3",
-    "bfs_distance_up": _UP + "select seed, id, distance from reach3",
-    "bfs_weakest_confidence": _DOWN + "select seed, id, distance, rk rank from reach2",
-    "bfs_files": _DOWN + "select seed, path, min(distance) distance from reach3 join n using (id) where n.kind in ('FILE','FUNCTION','METHOD','CLASS','ROUTE') and path is not null group by all",
-    "impact_entrypoints": _UPF + "select seed, id, n.qname, distance from reach2 join n using (id) where distance > 0 and n.kind = 'ROUTE'",
+    "bfs_distance_down": _DOWN + "select seed, id, distance from walk",
+    "bfs_distance_up": _UP + "select seed, id, distance from walk",
+    "bfs_weakest_confidence": _DOWN + "select seed, id, distance, rk rank from walk",
+    "bfs_files": _DOWN + f"select seed, path, min(distance) distance from walk join n using (id) where n.kind in {_LEFT} and path is not null group by all",
+    "impact_entrypoints": _DOWN + "select walk.id seed, seed id, r.qname, distance from walk join n on n.id = walk.id join n r on r.id = seed where distance > 0 and n.kind = 'FUNCTION'",
+    "impact_blast_radius": _BLAST + "select * from blast",
+    "impact_summary": _BLAST + "select seed, count(*) filter (direction = 'up') n_upstream, count(*) filter (direction = 'down') n_downstream, count(distinct path) n_files, count(*) filter (direction = 'up' and kind = 'ROUTE') n_entrypoints, max(distance) max_distance from blast group by seed",
+    "symbol_substring": BASE + ", " + _PARTS + _HITS.format(q="q as (select query from qp)", on="contains(lower(n.qname), lower(q.query)) and q.query <> ''") + "select query, id, name, qname, kind, path, position from p where position <= 20",
+    "symbol_cascade": BASE + ", " + _PARTS + ", " + _NAMES + ", qa as (select query from qp union select query from qn)" + _HITS.format(q="q as (select query from qa)", on="lower(n.name) = lower(q.query) or lower(n.qname) = lower(q.query)")
+    + _HITS.format(q="q2 as (select query from qa where query not in (select query from p) and query <> '')", on="contains(lower(n.qname), lower(q.query))").replace(" k as", " k2 as").replace("from k ", "from k2 ").replace("join q on", "join q2 q on").replace("p as (", "p2 as (")
+    + "select query, id, 'exact' tier, position from p where position <= 20 union all select query, id, 'substring', position from p2 where position <= 20",
 }

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import context, evaluation, search
 from graphloom.plans.graph import N
-from graphloom.plans.sql import BASE, EXTERNAL
+from graphloom.plans.sql import BASE, EXTERNAL, sql_terms
+from graphloom.session import stored
 from graphloom.sources.tables import table
 
 
 def Q(spark: SparkSession, d: str) -> DataFrame:
     """(qid, query): the heading of each documentation section, once per repo and heading; an empty one asks for nothing."""
-    return N(spark, d).filter("kind = 'DOCSECTION' and name is not null").groupBy(F.lower("name").alias("query")).agg(F.min("id").alias("qid")).select("qid", "query")
+    return _sections(N(spark, d))
 
 
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -45,8 +46,24 @@ def search_column_tier(spark: SparkSession, d: str) -> DataFrame:
     return search.any_field(search.index(N(spark, d)), Q(spark, d), ("qname", "name", "path"), 20)
 
 
+def _once(spark: SparkSession, d: str) -> DataFrame:
+    """The valid nodes, written once for the stages that read them."""
+    return stored(N(spark, d).select("id", "kind", "name", "qname", "path", "start_line", "end_line", "signature", "doc", "confidence"), "valid-nodes")
+
+
+def _sections(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("kind = 'DOCSECTION' and name is not null").groupBy(F.lower("name").alias("query")).agg(F.min("id").alias("qid")).select("qid", "query")
+
+
 def search_tiered(spark: SparkSession, d: str) -> DataFrame:
-    return search.tiered_search(N(spark, d), Q(spark, d), 20)
+    n = _once(spark, d)
+    return search.tiered_search(n, _sections(n), 20)
+
+
+def substring_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that contain the address of a route as it stands, whatever the case."""
+    n = _once(spark, d)
+    return search.containing(n, n.filter("kind = 'ROUTE' and name is not null").groupBy(F.lower("name").alias("query")).agg(F.min("id").alias("qid")), 20)
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -100,44 +117,75 @@ def hit_by_bucket_level(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.hit_rates(_gold(spark, d), "bucket", "split")
 
 
+_FIELDS = ("qname", "name", "signature", "doc", "path")
 _SEARCH = BASE + f""", q as (select min(id) qid, lower(name) query from n where kind = 'DOCSECTION' and name is not null group by lower(name)),
 s as (select * from n where coalesce(kind, '') not in {EXTERNAL}),
-w as (select id, 'qname' field, unnest(regexp_extract_all(lower(coalesce(qname, '')), '[a-z0-9]+')) term from s union all select id, 'name', unnest(regexp_extract_all(lower(coalesce(name, '')), '[a-z0-9]+')) from s
-  union all select id, 'signature', unnest(regexp_extract_all(lower(coalesce(signature, '')), '[a-z0-9]+')) from s union all select id, 'doc', unnest(regexp_extract_all(lower(coalesce(doc, '')), '[a-z0-9]+')) from s
-  union all select id, 'path', unnest(regexp_extract_all(lower(coalesce(path, '')), '[a-z0-9]+')) from s),
-p as (select id, field, term, count(*) tf from w group by all),
-qt as (select distinct qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) term from q)
+w as ({" union all ".join(f"select id, '{c}' field, unnest({sql_terms(c)}) term from s" for c in _FIELDS)}),
+p as (select id, field, term, count(*) tf from w where term <> '' group by all),
+qt as (select distinct qid, term from (select qid, unnest({sql_terms("query")}) term from q) where term <> '')
 """
 _BM25 = _SEARCH + """, t as (select id, term, sum(tf) tf from p where term in (select term from qt) group by all), dl as (select id, sum(tf) dl from p group by all), df as (select term, count(*) df from t group by all),
 st as (select count(distinct id) n, sum(tf) / count(distinct id) a from p), qn as (select qid, count(*) k from qt group by all),
 hits as (select qt.qid, t.id, count(*) n_hit, any_value(k) k, round(-sum((case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) score
   from qt join t using (term) join df using (term) join dl using (id) join qn using (qid) cross join st group by qt.qid, t.id)
 """
-_TIER = _SEARCH + ", h as (select distinct qid, id from p join qt using (term) where field in {f}), k as (select *, row_number() over (partition by qid order by id) \"position\" from h), tier as (select * from k where \"position\" <= 20)\n"
-_COLUMN = _TIER.format(f="('qname', 'name', 'path')")
+_FIRST = _SEARCH + ", h as (select distinct qid, id from p join qt using (term) where field in @FIELDS), k as (select *, row_number() over (partition by qid order by id) \"position\" from h), tier as (select * from k where \"position\" <= 20)\n"
+#: The 20 best nodes of each query.
+_TOP = _BM25 + ", k as (select *, row_number() over (partition by qid order by score, id) \"position\" from hits), tier as (select qid, id, \"position\" from k where \"position\" <= 20)\n"
+_PRIORITY = "case when regexp_matches(lower(path), '(^|/)(readme|agents)[^/]*$|^(docs|skills)/') then 3 when regexp_matches(lower(path), '(^|/)tests?/') then 2 when starts_with(lower(path), 'src/') then 0 else 1 end"
+_EXTERNAL = f""", xt as (select n.id, unnest({sql_terms("name")}) term from n where kind in {EXTERNAL}), x as (select distinct qid, n.id, n.name, n.qname, n.path, n.start_line from xt join qt using (term) join n using (id)),
+xk as (select x.*, row_number() over (partition by qid order by (lower(name) <> lower(query))::int, length(qname), coalesce(path, ''), start_line, id) "position" from x join q using (qid))
+"""
+_STAGES = _BM25 + f""", z as (select qid, query, len(regexp_extract_all(query, '[A-Za-z0-9_./:-]+')) m from q),
+a0 as (select *, row_number() over (partition by qid order by id) o from (select distinct qid, id from p join qt using (term) join z using (qid) where field = 'path' and m between 3 and 8)),
+g0 as (select qid from a0 group by 1 having count(*) >= 10), t0 as (select qid, id, 0 t, o from a0 where o <= 20 and qid in (select qid from g0)),
+op as (select * from z where m <= 8 and qid not in (select qid from g0)),
+a1 as (select *, row_number() over (partition by qid order by id) o from (select distinct qid, id from p join qt using (term) where field in ('qname', 'name', 'path') and qid in (select qid from op))),
+g1 as (select qid from a1 group by 1 having count(*) >= 20), t1 as (select qid, id, 1 t, o from a1 where o <= 20 and qid in (select qid from g1)),
+t2 as (select qid, id, 2 t, o from (select qid, id, row_number() over (partition by qid order by score, id) o from hits where n_hit = k and qid in (select qid from op) and qid not in (select qid from g1)) where o <= 20),
+f1 as (select * from t0 union all select * from t1 union all select * from t2), c1 as (select qid, count(distinct id) c from f1 group by 1),
+t3 as (select qid, id, 3 t, o from a1 where o <= 20 and qid in (select qid from z where m <= 8) and qid not in (select qid from c1 where c >= 10)),
+f2 as (select * from f1 union all select * from t3), c2 as (select z.qid, (select count(distinct id) from f2 where f2.qid = z.qid) c from z),
+a4 as (select *, row_number() over (partition by qid order by id) o from (select distinct qid, id from p join qt using (term))),
+t4 as (select a4.qid, id, 4 t, o from a4 join c2 using (qid) where c < 20 and o <= 20 and o <= case when c >= 10 then 22 - c else 20 end),
+f3 as (select qid, id, min((t, o)) b from (select * from f2 union all select * from t4) group by all), f4 as (select *, row_number() over (partition by qid order by b, id) "position" from f3),
+b as (select f4.qid, f4.id, b[1] t, "position", {_PRIORITY} priority, n.path, n.start_line, n.qname from f4 join n using (id)),
+mv as (select *, case when row_number() over (partition by qid order by priority, "position", path, start_line, qname, id) = 1 then 0 else "position" end moved from b),
+f5 as (select qid, id, t, "position" from (select qid, id, t, row_number() over (partition by qid order by moved, id) "position" from mv) where "position" <= 20), c5 as (select q.qid, (select count(*) from f5 where f5.qid = q.qid) c from q)
+""" + _EXTERNAL + f""", t5 as (select xk.qid, xk.id, 5 t, xk."position" + c "position" from xk join c5 using (qid) where xk."position" + c <= 20), f6 as (select * from f5 union all select * from t5),
+t6 as (select q.qid, n.id, 6 t, row_number() over (partition by q.qid order by coalesce(kind in {EXTERNAL}, false)::int, coalesce(lower(name) <> query, true)::int, length(qname), id) "position"
+  from q join n on contains(lower(concat_ws(chr(0), qname, name, path, doc)), query) where query <> '' and q.qid not in (select qid from f6)),
+f7 as (select * from f6 union all select * from t6 where "position" <= 20)
+"""
 
 QUERIES = {f.__name__: f for f in (
-    tokenize_terms, search_postings, corpus_stats, search_and_bm25, search_or_bm25, search_path_tier, search_column_tier, search_tiered, search_path_priority, external_like_fill,
+    tokenize_terms, search_postings, corpus_stats, search_and_bm25, search_or_bm25, search_path_tier, search_column_tier, search_tiered, substring_fallback, search_path_priority, external_like_fill,
     context_pack_budget, context_summary_confidence, rerank_scores, hit_at_k_mrr, hit_by_bucket_level,
 )}
 ORACLE = {
-    "tokenize_terms": "select term, count(*) n from (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term from documents) group by all",
+    "tokenize_terms": f"select term, count(*) n from (select unnest({sql_terms('text')}) term from documents) where term <> '' group by all",
     "search_postings": _SEARCH + "select id, field, term, tf from p",
     "corpus_stats": _SEARCH + "select count(distinct id) n_docs, sum(tf)::bigint n_tokens, round(sum(tf) / count(distinct id), 6) avg_len from p",
     "search_and_bm25": _BM25 + "select qid, id, n_hit, score from hits where n_hit = k",
     "search_or_bm25": _BM25 + "select qid, id, n_hit, score, \"position\" from (select *, row_number() over (partition by qid order by score, id) \"position\" from hits) where \"position\" <= 20",
-    "search_path_tier": _TIER.format(f="('path')") + "select qid, id, \"position\" from tier",
-    "search_column_tier": _COLUMN + "select qid, id, \"position\" from tier",
-    "search_path_priority": _COLUMN + """, b as (select tier.*, n.path, n.start_line, n.qname, case when regexp_matches(lower(path), '(^|/)(readme|agents)[^/]*$|^(docs|skills)/') then 3 when regexp_matches(lower(path), '(^|/)tests?/') then 2
-  when starts_with(lower(path), 'src/') then 0 else 1 end priority from tier join n using (id)),
+    "search_path_tier": _FIRST.replace("@FIELDS", "('path')") + "select qid, id, \"position\" from tier",
+    "search_column_tier": _FIRST.replace("@FIELDS", "('qname', 'name', 'path')") + "select qid, id, \"position\" from tier",
+    "search_tiered": _STAGES + f"select qid, id, {list(search.TIERS)}[t + 1] tier, \"position\" from f7",
+    "substring_fallback": BASE + f""", q as (select min(id) qid, lower(name) query from n where kind = 'ROUTE' and name is not null group by 2), h as (select q.qid, n.id, row_number() over (partition by q.qid order by coalesce(kind in {EXTERNAL}, false)::int,
+  coalesce(lower(name) <> query, true)::int, length(qname), id) "position" from q join n on contains(lower(concat_ws(chr(0), qname, name, path, doc)), query) where query <> '') select qid, id, "position" from h where "position" <= 20""",
+    "search_path_priority": _TOP + f""", b as (select tier.*, n.path, n.start_line, n.qname, {_PRIORITY} priority from tier join n using (id)),
 m as (select *, case when row_number() over (partition by qid order by priority, "position", path, start_line, qname, id) = 1 then 0 else "position" end moved from b)
 select qid, id, path, priority, row_number() over (partition by qid order by moved, id) place from m""",
-    "external_like_fill": _SEARCH + f""", x as (select distinct qid, n.id, n.name, n.qname, n.path, n.start_line from (select id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) term from n where kind in {EXTERNAL}) t join qt using (term) join n using (id)),
-k as (select x.*, row_number() over (partition by qid order by (lower(name) <> lower(query))::int, length(qname), coalesce(path, ''), start_line, id) "position" from x join q using (qid)) select qid, id, qname, "position" from k where "position" <= 20""",
-    "context_summary_confidence": _COLUMN + """, g as (select qid, count(*) n_hits, count(distinct path) n_paths, count(*) filter (lower(confidence) = 'exact') e, count(*) filter (lower(confidence) = 'strong') s, count(confidence) c from tier join n using (id) group by qid)
+    "external_like_fill": _SEARCH + _EXTERNAL + """select qid, id, qname, "position" from xk where "position" <= 20""",
+    "context_pack_budget": _TOP.replace("with n as", "with recursive n as", 1) + f""", ct as (select tier.*, coalesce(kind in {EXTERNAL}, false)::int ext, path, start_line, end_line, greatest(120, floor(({" + ".join(f"least(800, length(coalesce({c}, '')))" for c in ("qname", "path", "signature", "doc"))} + 160) / 4))::int "cost" from tier join n using (id)),
+it as (select *, row_number() over (partition by qid order by ext, "position", id) i from (select *, row_number() over (partition by qid, path, start_line, end_line order by "position", id) o from ct) where o = 1),
+pk as (select distinct qid, 0::bigint i, 1000 room, 0 place, null::varchar id, 0 "cost", false took from it union all
+  select pk.qid, it.i, case when pk.room > 0 and (it."cost" <= pk.room or place = 0) then pk.room - it."cost" else pk.room end, case when pk.room > 0 and (it."cost" <= pk.room or place = 0) then place + 1 else place end, it.id, it."cost", pk.room > 0 and (it."cost" <= pk.room or place = 0)
+  from pk join it on it.qid = pk.qid and it.i = pk.i + 1) select qid, id, "cost", place from pk where took""",
+    "context_summary_confidence": _TOP + """, g as (select qid, count(*) n_hits, count(distinct path) n_paths, count(*) filter (lower(confidence) = 'exact') e, count(*) filter (lower(confidence) = 'strong') s, count(confidence) c from tier join n using (id) group by qid)
 select qid, n_hits, n_paths, case when c = 0 then 'none' when n_hits = 1 and e = 1 then 'exact' when e + s = c then 'strong' else 'mixed' end confidence from g""",
 }
-_RANK = _COLUMN + """, m as (select tier.qid, tier.id, "position", count(distinct case when field = 'name' then p.term end) nm, count(distinct case when field = 'path' then p.term end) pa, count(distinct case when field = 'doc' then p.term end) bo
+_RANK = _TOP + """, m as (select tier.qid, tier.id, "position", count(distinct case when field = 'name' then p.term end) nm, count(distinct case when field = 'path' then p.term end) pa, count(distinct case when field = 'doc' then p.term end) bo
   from tier left join qt using (qid) left join p on p.id = tier.id and p.term = qt.term group by all),
 sc as (select qid, id, "position", round(nm * 8.0 + pa * 6.0 + bo * 1.0 + greatest(0, 12 - "position") * 0.75, 6)::double score from m),
 rk as (select qid, id, score, row_number() over (partition by qid order by score desc, "position", id) rank from sc where score > 0),

@@ -18,6 +18,11 @@ def sql_kind(c: str) -> str:
     return f"nullif(upper(trim({c}, {W})), '')"
 
 
+def sql_terms(c: str) -> str:
+    """The words of a text: runs of letters or digits of any script, in lower case and without marks."""
+    return f"list_transform(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{M}}]*'), lambda x: strip_accents(x))"
+
+
 #: Valid nodes n, edges e, files f and repos r, each once.
 BASE = f"""
 with n as (select * from (select *, row_number() over (partition by id order by loaded_at desc nulls last, doc desc nulls last, signature desc nulls last, content_hash desc nulls last) rn from (
