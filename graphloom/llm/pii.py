@@ -1,11 +1,15 @@
 """Personal information inside free text: found, typed, and replaced by placeholders.
 
-Method: a semi-Markov conditional model. Candidate segments (spans of a line, at most SPAN characters) are scored as wholes: the form of
-the span, what the name list says about its words, what stands before and after it. Between neighbouring entities a transition is
-scored by their types and the gap. For each line a dynamic programme over the candidates' boundaries chooses the best set of
-segments that do not overlap, with their types, jointly - so that in ``cc Given Family, Family, Given`` two persons come out.
-The weights are fitted by an averaged structured perceptron on the bounded labelled sample of ``pii_labelled``; how names are
-built (which beginnings go with which endings) is fitted on the name list.
+Method: a semi-Markov conditional random field over the lines of a text. Its segments are entities and stretches without one; every span that can be of a
+type at all (``spans``) competes with every other, of whatever type and length, and is scored as a whole: its form, what the name list
+says about its words, what stands at and beyond both of its ends. Neighbouring entities are also scored by their types and what separates them. A dynamic
+programme over ends of segments sums over all segmentations for fitting (forward-backward, penalised likelihood) and finds the best one for
+use, so that boundaries and types are chosen jointly: in ``cc Given Family, Family, Given`` two persons come out.
+The weights are fitted on the bounded sample of ``pii_labelled``; how names are built (which beginnings go with which endings) on the name list.
+
+Which spans can be of a type: an email has an at-sign or a way of writing one; a phone number has 7 to 15 digits and nothing but separators; an id number
+stands behind a word for such a number in its line and has 5 to ID_DIGITS digits; an address has a house number at one end, a word for a street and at most
+ADDRESS_WORDS words; a person has two to PERSON_PARTS parts, words with a capital, initials or particles. No span is limited in characters.
 
 Defined results: null, empty and blank texts hold nothing and stay as they are. Positions count Unicode characters from 0 in the text as given.
 Texts are searched whole; repeated rows are searched each. An entity never crosses a line end.
@@ -15,74 +19,90 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from math import exp, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.pii_labelled import LINES, TRAIN_NAMES
+from graphloom.llm.pii_labelled import TRAIN_NAMES, training
 
 KINDS = ("email", "phone", "id_number", "address", "person")
-#: Longest candidate, and farthest neighbour whose type matters.
-SPAN, GAP = 90, 4
-#: By how much a right segment must win while fitting.
-MARGIN = 1.0
+#: Farthest neighbour, in characters, whose type matters.
+GAP = 5
+#: Most parts of a person's name (given names, initials, particles, family names).
+PERSON_PARTS = 7
+#: Most digits of an id number, and most words of an address besides its house number.
+ID_DIGITS, ADDRESS_WORDS = 24, 9
 #: Names of the list that are used, at most: a list longer than this is refused rather than cut.
 MAX_NAMES = 2_000_000
+#: Strength of the penalty on weights, steps and step size of the fit.
+PENALTY, STEPS, RATE = 0.02, 120, 0.15
 
 _UP = r"A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĲĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
-_L = r"[^\W\d_]"
-_AT = r"(?:\s?[\[({<]\s?(?:at|ät|arroba|arobase|@)\s?[\])}>]\s?|&#64;|&commat;|%40| @ )"
-_DOT = r"(?:\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?|\.)"
-_EMAIL = re.compile(
-    rf"(?<![\w.+%-])(?:(?P<plain>[\w.+%'-]*[\w+%-]@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{{2,}})"
-    rf"|(?P<mask>[\w.+%-]*[\w+%-]{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)*{_DOT}[^\W\d_]{{2,}})"
-    rf"|(?P<said>[\w.+%-]*[\w+%-] (?:at|AT|ät|arroba|arobase) [^\W_][\w-]*(?: (?:dot|DOT|punkt|punto|point) [^\W_][\w-]*)* (?:dot|DOT|punkt|punto|point) [^\W\d_]{{2,}}))(?![\w-])"
-)
-_DIGITS = re.compile(r"(?<![\w.+/@-])(?<!\d[:, (])(?:\+ ?|\()?\d(?:[\d]|[ .\-/]{1,2}(?=[\d(])|\)[ .-]?(?=\d)|\((?=\d)){5,24}\d(?![\w@]|[.\-/]\d)")
+_LETTER = r"[^\W\d_]"
+# How people write an at-sign and a dot.
+_AT = r"(?:\s?[\[({<]\s?(?:at|ät|arroba|arobase|@)\s?[\])}>]\s?|&#64;|&commat;|%40|\s@\s|\s(?:at|AT|ät|arroba|arobase)\s|@)"
+_DOT = r"(?:\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?|\s(?:dot|DOT|punkt|punto|point)\s|\.)"
+_AT_MARK = re.compile(_AT)
+_AT_SEEN = re.compile(r"@|%40|&#64;|&commat;|\bat\b|\bät\b|arroba|arobase", re.I)
+_DOT_BEFORE = re.compile(rf"{_DOT}\Z")
+_HOST = re.compile(rf"[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)+")
+_LABEL = re.compile(r"[^\W_](?:[\w-]*[^\W_])?")
+_PIECE = re.compile(r"[\w%'-]+")
+_RUN = re.compile(r"(?:\+ ?|\()*\d(?:[\d ().\-/+]*\d)?")
+_GROUP = re.compile(r"(?:\+ ?\(?|\()?\d+")
 _PHONE_FORMS = {
     "intl": r"\+ ?\d[\d ().\-/]*", "us_paren": r"\(\d{3}\) ?\d{3}[-. ]\d{4}", "us": r"(?:1[-. ])?\d{3}([-.])\d{3}\1\d{4}", "zero_zero": r"00[1-9]\d[ .-]?[\d ().\-/]+", "fr": r"0[1-9]([ .-])\d\d(?:\1\d\d){3}",
     "trunk": r"0[1-9]\d{1,4}[ /-]\d{3,}(?:[ -]\d{2,}){0,2}", "eu_paren": r"\(0\d{1,4}\) ?\d[\d -]{4,}",
 }
 _PHONE = {k: re.compile(v) for k, v in _PHONE_FORMS.items()}
-_DATE = re.compile(r"(?:19|20)\d\d[-/.](?:0?[1-9]|1[0-2])[-/.](?:0?[1-9]|[12]\d|3[01])(?:[ T]\d{1,2})?|\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d\d")
+_DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:0?[1-9]|[12]\d|3[01])(?:[ T]\d{1,2})?|\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d\d")
+_TIMES = re.compile(r"(?:[01]\d|2[0-4])[0-5]\d ?- ?(?:[01]\d|2[0-4])[0-5]\d")
 _DOTTED = re.compile(r"\d{1,4}(?:\.\d{1,4})+")
-_SAY_PHONE = re.compile(r"(?:\b(?:call|phone|tel|telephone|telefon|mobile|mobil|cell|fax|ring|dial|llama|llame|teléfono|tfno|appel(?:ez|er)|téléphone|tél|anruf|unter|desk|whatsapp|sms|hotline|reach|contact\w*)\b|\bau |\bal )", re.I)
+_SAY_PHONE = re.compile(r"(?:\b(?:call|phone|tel|telephone\w*|telefon\w*|handy\w*|portable|móvil|mobile|mobil\w*|cell|fax|ring|dial|llama|llame|teléfono|tfno|appel(?:ez|er)|téléphone|tél|anruf|unter|desk|whatsapp|sms|hotline|reach|contact\w*)\b|\bau |\bal )", re.I)
 _SAY_COUNT = re.compile(r"(?:\b(?:build|version|rev|revision|offset|order|part|ticket|sku|commit|bind|window|port|size|bytes?|row|line|step|isbn|serial|id)\b\W{0,3}|[_=]\s?|\bv)$", re.I)
 # How papers with a personal number are named in several languages.
 _ID_LABEL = re.compile(
-    r"\b(?:passports?|passeports?|reisep(?:ass|ässe)|pasaportes?|ssn|social[ -]?security|sozialversicherungs\w*|steuer(?:[- ]?id\w*|nummer|[- ]identifikationsnummer)|tax[ -]?(?:payer[ -]?)?(?:id\w*|no|number|file)|tin|itin|dni|nie|nif|cif|curp|nir|insee|nino"
-    r"|national[ -]?(?:id\w*|insurance)|identity (?:card|number|no)|id[ -]?card|personalausweis\w*|ausweis\w*|carte d'identité|sécurité sociale|seguridad social|numéro fiscal|número fiscal|codice fiscale|bsn|pesel|driver'?s? licen[cs]e|führerschein\w*)\b\.?",
+    r"(?<![^\W\d_])(?:passports?|passeports?|reisep(?:ass|ässe)\w*|pasaportes?|ssn|social[ -]?security|sozialversicherungs\w*|steuer(?:[- ]?id\w*|nummer|[- ]identifikationsnummer)|tax[ -]?(?:payer[ -]?)?(?:id\w*|no|number|file)|tin|itin|dni|nie|nif|cif|curp|nir|insee|nino"
+    r"|national[ -]?(?:id\w*|insurance)|identity (?:card|number|no)|id[ -]?card|personalausweis\w*|ausweis\w*|carte d'identité|sécurité sociale|seguridad social|numéro fiscal|número fiscal|codice fiscale|bsn|pesel|driver'?s? licen[cs]e|führerschein\w*)(?![^\W\d_])\.?",
     re.I,
 )
-_ID_LINK = re.compile(r"^[\s:=#'\"(\-–]*(?:(?:numbers?|nummer|nr|no|nº|n°|num|id|is|ist|est|es|de|sociale?)\b[.:]?[\s:=#'\"(\-–]*){0,3}", re.I)
-_ID_VALUE = re.compile(r"(?<![\w.-])(?:[A-Z]{1,3}[ -]?)?\d[\dA-Z]*(?:[ .\-/](?:\d[\dA-Z]*|[A-Z]{1,2}(?![\w])))*(?![\w])")
-# Names of kinds of streets in several languages.
-_ADDRESS = re.compile(
-    rf"(?<![\w.-])(?:(?P<us>\d{{1,5}}[a-zA-Z]?(?:-\d+)? (?:[NSEW]\.? )?(?:[{_UP}][\w'’.-]* ){{1,4}}(?:Streets?|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Boulevard|Blvd|Way|Place|Pl|Square|Sq|Terrace|Terr|Crescent|Close|Highway|Hwy|Parkway|Row|Alley)\b\.?)"
-    rf"|(?P<fr>\d{{1,4}}(?: ?(?:bis|ter|quater|[a-z]))?,? (?:rue|avenue|av\.|boulevard|bd|allée|chemin|place|impasse|quai|cours|route|square|passage)\b(?: (?:de la|de l'|du|des|de|d'))? ?[{_UP}][\w'’-]*)"
-    rf"|(?P<es>(?:[Cc]alle|C/|[Aa]venida|Avda?\.|[Pp]laza|[Pp]aseo|[Cc]amino|[Cc]arrera|[Rr]onda|[Tt]ravesía)(?: (?:de la|de los|de las|del|de|la|el))? ?[{_UP}][\w'’-]*(?: [{_UP}][\w'’-]*){{0,2}},? (?:n[º°.]? ?)?\d{{1,4}}[a-zA-Z]?\b)"
-    rf"|(?P<de>(?:(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Alte|Alter|Neue|Neuer|Große|Kleine|Obere|Untere) )?[{_UP}][\w-]*(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|chaussee|steig|stieg|markt|hof|graben|pfad)|(?:[{_UP}][\w-]* )+(?:Straße|Strasse|Str\.|Weg|Platz|Gasse|Allee|Ring|Damm|Ufer)) \d{{1,4}} ?[a-zA-Z]?(?![\w]))",
-)
-_ADDRESS = re.compile(_ADDRESS.pattern.replace(r"\d{1,4} ?[a-zA-Z]?(?![\w]))", r"\d{1,4}(?: ?[a-zA-Z])?(?![\w]))"))
-_WORD = rf"{_L}+(?:['’-]{_L}+)*"
-_TOKEN = re.compile(rf"(?<![\w@+.'’/-])(?:({_WORD})|)(?![\w@+/]|['’-]\w|\.[\w])".replace(f"(?:({_WORD})|)", f"({_WORD})"))
-_INITIAL = re.compile(rf"(?:[{_UP}]\.(?:[ -]?[{_UP}]\.){{0,2}})")
-#: What a line must have before it is searched for numbers, addresses and persons.
+_ID_LINK = re.compile(r"[\s:=#'\"(\-–_]*(?:(?:(?:numbers?|nummer|nr|no|num|id|is|ist|est|es|de|sociale?)(?![^\W_])|n[º°])[.:]?[\s:=#'\"(\-–_]*){0,3}", re.I)
+_VALUE = re.compile(r"(?<![^\W_])(?=[A-Z\d]*\d|[A-Z]{1,3}(?![^\W_]))[A-Z\d]+(?:[ .\-/](?=[A-Z\d]*\d|[A-Z]{1,3}(?![^\W_]))[A-Z\d]+)*(?![^\W_])")
+_CHUNK = re.compile(r"[A-Z\d]+")
+# Names of kinds of streets in several languages; first those that stand alone, then those that end a word.
+_STREET_WORD = r"Streets?|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Boulevard|Blvd|Way|Place|Pl|Square|Sq|Terrace|Terr|Crescent|Close|Highway|Hwy|Parkway|Row|Alley|rue|avenue|av|boulevard|bd|allée|chemin|place|impasse|quai|cours|route|square|passage|[Cc]alle|C/|[Aa]venida|Avda|[Pp]laza|[Pp]aseo|[Cc]amino|[Cc]arrera|[Rr]onda|[Tt]ravesía|Straße|Strasse|Str|Weg|Platz|Gasse|Allee|Ring|Damm|Ufer"
+_STREET_END = r"-Straße|-Strasse|-Str|-Weg|-Platz|-Allee|straße|strasse|str|weg|platz|gasse|allee|ring|damm|ufer|chaussee|steig|stieg|markt|hof|graben|pfad"
+_STREET = re.compile(rf"(?<![^\W\d_])(?:{_STREET_WORD})(?![^\W\d_])|[^\W\d_](?:{_STREET_END})(?![^\W\d_])")
+_LEAD = re.compile(r"(?:A[mn]|Auf|Im|In|Zum|Zur|Unter|Hinter|Vor|Alte[rs]?|Neue[rs]?|Große[rs]?|Kleine[rs]?|Obere[rs]?|Untere[rs]?|de[rnm])")
+_KIND_ALONE = re.compile(rf"(?:{_STREET_WORD})\.?")
+_KIND_END = re.compile(rf"[{_UP}][^{_UP}]*(?:{_STREET_END})\.?|.*-(?:Straße|Strasse|Str|Weg|Platz|Allee)\.?")
+_PLACE = re.compile(rf"\d+(?:-\d+)?(?: ?[a-zA-Z](?![^\W_]|\.))?(?: (?:bis|ter|quater)\b)?|C/|(?:[{_UP}][^\W\d_]*(?:['’-][^\W\d_]+)*|rue|avenue|av|boulevard|bd|allée|chemin|place|impasse|quai|cours|route|square|passage|calle|avenida|plaza|paseo|camino|carrera|ronda|travesía|de|la|las|los|del|du|des|d'|el|der|den|dem|n[º°])(?![^\W\d_])\.?|l'|,")
+_UNIT = re.compile(r"(?:Apt|Apartment|Unit|Suite|Ste|Flat|Floor|Room|Box|Building|Bldg)\.?")
+_NAME_PART = re.compile(rf"(?<![\w@+./-])(?<![^\W\d_]['’])(?:(?:[{_UP}]\.)+(?:-[{_UP}]\.)*(?!\w)|{_LETTER}+(?:['’-]{_LETTER}+)*(?![\w@+/]|['’-]\w|\.\w))")
+_TWO_NAMES = re.compile(rf"[{_UP}][\w'’.-]*,? ?(?:{_LETTER}+ ){{0,3}}[{_UP}]")
 _FIVE = re.compile(r"(?:\d\D{0,4}){4}\d")
 _DIGIT = re.compile(r"\d")
-_TWO_NAMES = re.compile(rf"[{_UP}][\w'’.-]*,? ?[{_UP}]")
+_CAMEL = re.compile(rf"[a-zß-ÿ][{_UP}]")
 _PARTICLE = frozenset("mac mc von van de der den da di du del della la le el al bin ibn ten ter zu zur dos das san st".split())
-_BEFORE_PERSON = re.compile(
-    r"(?:\b(?:by|from|with|to|author|contact|owner|maintainer|user|cc|reviewer|name|regards|thanks|cheers|reach|laut|von|par|por|an|selon|según|d['’]après|autor|auteur|contactez|gemeldet|signalé|informado)\b[\s:=\"'@(<*-]*|\bcopyright (?:\(c\) )?\d{4}(?:-\d{4})? |\b[A-Z][a-z]+(?:-[a-z]+)*-by: ?|@author |\bon \w+day )$",
-    re.I,
-)
-_NOT_FIRST = frozenset(
-    "the a an this that these those our your my his her its their hi hello hey dear thanks thank and or if in on at of for to from by with as is it he she we you they not no see note todo fixme der die das ein eine und le la les un une el los las una on monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december according laut según d'après reported signed gemeldet signalé informado copyright contact author mail call ask ship cc ping run".split()
+_BEFORE = [
+    ("greet", re.compile(r"\b(?:hi|hello|hey|dear|thanks|cheers|danke|hallo|merci|gracias|hola),? $", re.I)), ("copyright", re.compile(r"\bcopyright (?:\(c\) |© )?[\d, -]*$|\(c\) [\d, -]*$|© ?[\d, -]*$", re.I)),
+    ("trailer", re.compile(r"(?:^|[^\w])(?:[A-Z][a-z]+(?:-[a-z]+)*-by|cc|from|to|bcc)\s?: ?$|^\W*cc $", re.I)),
+    ("label", re.compile(r"\b(?:authors?|owner|maintainer|users?|name|contact|reviewers?|reviewer|assign\w*|customer|author|autor\w*|auteur|verfasser\w*|responsable|attendees|\w*_(?:name|by|to)|login)\b[\s:=\"'@(<*\[{-]*$|@author $", re.I)),
+    ("by", re.compile(r"\b(?:by|from|with|to|ask|cc|regards|thanks|reach|laut|von|par|por|an|selon|según|d['’]après|contactez|joindre|contact|ping|per|for|für|pour|para|a|à|y|et|und|and|is|ist|est|es|ce)\s$|d['’]$", re.I)),
+    ("day", re.compile(r"\b(?:mon|tues|wednes|thurs|fri|satur|sun)day,? $|\b(?:mon|diens|donners|frei|sams|sonn)tag,? $|\b(?:lun|mar|mercre|jeu|vendre)di,? $|\b(?:lunes|martes|miércoles|jueves|viernes),? $", re.I)),
+    ("article", re.compile(r"\b(?:the|der|die|das|le|la|el|a|an|ein|eine|un|une|una|this|our|their|each|every|new)\s$", re.I)),
+    ("list", re.compile(r"[,;] $")), ("start", re.compile(r"^[\s>*#/'\"–-]*$")),
+]
+_STOP_NAMES = frozenset(
+    "the a an this that these those our your my his her its their hi hello hey dear thanks thank and or if in on at of for to from by with as is it he she we you they not no see note todo fixme der die das ein eine und le les un une los las una on monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december montag dienstag mittwoch donnerstag freitag lundi mardi lunes martes according laut selon según reported signed copyright contact author mail call ask ship cc ping run regards danke merci gracias d'après new old main error get set".split()
 )
+_FIRM = re.compile(r"(?:GmbH|AG|KG|OHG|Inc|Ltd|LLC|Corp|SARL|SA|SL|BV|AB|Oy|Foundation|University|Institute?|Labs?|Group|Team|Company|Software|Systems)\.?", re.I)
 _COMPANY = re.compile(r"^(?:['’]s\b|,? ?(?:&|GmbH|AG|KG|Inc|Ltd|LLC|Corp|Co\b|S\.?A|SARL|SL|plc|Labs?|Group|Foundation|University|Institut\w*|Prize|Award|Method|Algorithm|Theorem|Library|Street|Straße))", re.I)
 
 
@@ -108,266 +128,401 @@ class Names:
     def known(self, word: str, part: str) -> int:
         """2: listed; 1: built like listed names; 0: neither."""
         w = _fold(word)
-        if w in self.listed[part]:
+        if w in self.listed[part] or ("-" in w and all(x in self.listed[part] for x in w.split("-"))):
             return 2
         last = w.split()[-1]
         heads, tails = self.parts[part]
         if "'" in last:  # O'Name: what follows the apostrophe ends like listed names
             last = last.rpartition("'")[2]
             return int(any(last[i:] in tails for i in range(1, len(last) - 3)))
-        # Beginnings of one letter say little, so they need an ending of four.
-        if len(last) >= 5 and any(last[:i] in heads and last[i:] in tails for i in range(1, len(last) - 2) if i > 1 or len(last) > 4):
-            return 1
-        return 0
+        # A single letter says little as a beginning, so it needs an ending of four.
+        return int(len(last) >= 5 and any(last[:i] in heads and last[i:] in tails for i in range(1, len(last) - 2)))
 
 
 def _fold(name: str) -> str:
     return name.replace("’", "'").casefold()
 
 
-Candidate = tuple[int, int, str, tuple[str, ...]]
-
-
-def _emails(line: str) -> Iterator[Candidate]:
-    if "@" not in line and " dot " not in line.lower() and not re.search(r"(?i)[\[({<]\s?at|arroba|arobase|&#64;|&commat;|%40|\b(?:punto|punkt|point)\b", line):
-        return
-    for m in _EMAIL.finditer(line):
-        s, e = m.span()
-        before, after = line[max(0, s - 40) : s], line[e : e + 2]
-        f = [f"email:{m.lastgroup}"]
-        if re.search(r"\w+://\S*$", before):
-            f.append("email:in_url")
-        if re.match(r":[\w~/]|/\w", after):
-            f.append("email:path_after")
-        if m[0].lower().startswith(("git@", "hg@", "svn@")) or re.search(r"\b(?:git clone|ssh|scp|rsync)\s+\S*$", before):
-            f.append("email:repository")
-        if re.match(r"\d+\.\d", m[0].partition("@")[2]):
-            f.append("email:version")
-        yield s, e, "email", tuple(f)
-
-
-def _numbers(line: str) -> Iterator[Candidate]:
-    if not _FIVE.search(line):
-        return
-    labels = [m.end() for m in _ID_LABEL.finditer(line)]
-    for m in _DIGITS.finditer(line):
-        s, e = m.span()
-        text = m[0]
-        digits = sum(c.isdigit() for c in text)
-        if not 7 <= digits <= 15:
+Span = tuple[int, int, str, tuple[str, ...]]
+
+
+def _local_start(line: str, end: int) -> int:
+    """Where what can be the local part of an address before ``end`` begins."""
+    i = end
+    while True:
+        j = i
+        while j > 0 and (line[j - 1].isalnum() or line[j - 1] in "_.+%'-"):
+            j -= 1
+        if j == i:
+            return i
+        dot = _DOT_BEFORE.search(line, max(0, j - 10), j)
+        if not dot or dot.start() == 0:
+            return j
+        i = dot.start()
+
+
+def _emails(line: str) -> Iterator[Span]:
+    for at in _AT_MARK.finditer(line):
+        run, host = _local_start(line, at.start()), _HOST.match(line, at.end())
+        if run == at.start() or not host:
             continue
-        f = ["phone:any"] + [f"phone:{k}" for k, p in _PHONE.items() if p.fullmatch(text)]
-        if len(f) == 1:
-            f.append("phone:no_form" if not text.isdigit() else "phone:bare")
-        before = line[max(0, s - 30) : s]
-        if _SAY_PHONE.search(before):
-            f.append("phone:said")
-        if _SAY_COUNT.search(before) and not _SAY_PHONE.search(before):
-            f.append("phone:counted")
-        if _DATE.match(text):
-            f.append("phone:date")
-        if _DOTTED.fullmatch(text) and "phone:us" not in f and "phone:fr" not in f:
-            f.append("phone:dotted")
-        if labels and any(0 <= s - x <= 30 for x in labels):
-            f.append("phone:after_id_label")
-        yield s, e, "phone", tuple(f)
-    for x in labels:
-        link = _ID_LINK.match(line[x : x + 60])
-        at = x + link.end()
-        m = _ID_VALUE.match(line, at) or _ID_VALUE.search(line, at, min(len(line), at + 60))
-        if m and sum(c.isdigit() for c in m[0]) >= 5:
-            text = m[0]
-            f = ["id:near" if m.start() == at else "id:apart"]
-            if _DATE.fullmatch(text):
-                f.append("id:date")
-            f.append("id:digits6" if sum(c.isdigit() for c in text) >= 6 else "id:digits5")
-            yield m.start(), m.end(), "id_number", tuple(f)
-
-
-def _addresses(line: str) -> Iterator[Candidate]:
-    if not _DIGIT.search(line):
-        return
-    for m in _ADDRESS.finditer(line):
-        before = line[max(0, m.start() - 30) : m.start()]
-        f = ["address:any", f"address:{m.lastgroup}"]
-        if re.search(r"(?i)\b(?:error|warn|info|debug)\b", m[0]) or re.search(r"\d:$", before):
-            f.append("address:log")
-        yield m.start(), m.end(), "address", tuple(f)
-
-
-def _persons(line: str, names: Names) -> Iterator[Candidate]:
-    if not _TWO_NAMES.search(line):
-        return
-    tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(line) if m[0][0].isupper()]
-    marks: list[tuple[int, int, str]] = []
-    for s, e, w in tokens:
+        said = "sign" if at[0] == "@" else "mask" if not at[0].strip().isalpha() else "said"
+        ends = [m.end() for m in _LABEL.finditer(line, host.start(), host.end())][1:]
+        for piece in _PIECE.finditer(line, run, at.start()):
+            s = piece.start()
+            before = line[max(0, s - 40) : s]
+            left = "whole" if s == run or not line[run:s].strip(".'+-") else "spaced" if line[s - 1].isspace() else "cut"
+            for e in ends:
+                after = line[e : e + 2]
+                text = line[s:e]
+                last = re.split(_DOT, line[host.start() : e])[-1]
+                f = [f"email:{said}:{left}", "email:host_whole" if e == host.end() else "email:host_cut", "email:tld" if last.isalpha() and len(last) >= 2 else "email:no_tld"]
+                if said == "said" and " dot " not in text.lower() and not re.search(r"\s(?:punkt|punto|point)\s", text):
+                    f.append("email:prose")
+                if left == "spaced":
+                    f.append(f"email:spaced:{said}")
+                if re.search(r"\w+://\S*$", before):
+                    f.append("email:in_url")
+                if re.match(r":[\w~/]|/\w", after):
+                    f.append("email:path_after")
+                if text.lower().startswith(("git@", "hg@", "svn@")) or re.search(r"\b(?:git clone|ssh|scp|rsync)\s+\S*$", before):
+                    f.append("email:repository")
+                if re.match(r"\d+\.\d", line[host.start() : e]):
+                    f.append("email:version")
+                yield s, e, "email", tuple(f)
+
+
+def _phones(line: str, labels: list[int]) -> Iterator[Span]:
+    for run in _RUN.finditer(line):
+        groups = [(m.start(), m.end(), sum(c.isdigit() for c in m[0])) for m in _GROUP.finditer(line, run.start(), run.end())]
+        for i, (s, _, _) in enumerate(groups):
+            left = "joined" if i and line[s - 1] in ".-/+(" else "digits" if i else "word" if s and (line[s - 1].isalnum() or line[s - 1] in "_@") else "mark" if s and line[s - 1] in ":.,-/" else "free"
+            digits = 0
+            for j in range(i, len(groups)):
+                digits += groups[j][2]
+                if digits > 15:
+                    break
+                if digits < 7:
+                    continue
+                e = groups[j][1]
+                inside = line[s] == "(" and line.find(")", s, e) < 0  # the bracket is around the number
+                s += inside
+                text, after = line[s:e], line[e : e + 2]
+                right = "more" if j + 1 < len(groups) else "word" if after[:1].isalnum() or after[:1] in ("@", "_") else "time" if re.match(r"[:.,]\d", after) else "free"
+                before = line[max(0, s - 30) : s]
+                forms = [k for k, p in _PHONE.items() if p.fullmatch(text)]
+                f = [f"phone:{k}" for k in forms] or ["phone:bare" if text.isdigit() else "phone:no_form"]
+                f += [f"phone:left_{left}", f"phone:right_{right}", "phone:open" if text.count("(") != text.count(")") else "phone:closed"]
+                if _SAY_PHONE.search(before):
+                    f.append("phone:said")
+                elif _SAY_COUNT.search(before):
+                    f.append("phone:counted")
+                if _DATE.match(text):
+                    f.append("phone:date")
+                if _TIMES.fullmatch(text):
+                    f.append("phone:times")
+                if _DOTTED.fullmatch(text) and "us" not in forms and "fr" not in forms:
+                    f.append("phone:dotted")
+                if any(0 <= s - x <= 30 for x in labels):
+                    f.append("phone:after_id_label")
+                yield s, e, "phone", tuple(f)
+
+
+def _ids(line: str, labels: list[int]) -> Iterator[Span]:
+    first = True
+    for run in _VALUE.finditer(line, labels[0]):
+        chunks = [(m.start(), m.end()) for m in _CHUNK.finditer(line, run.start(), run.end())]
+        label = max(x for x in labels if x <= run.start())
+        counted = False
+        for i, (s, _) in enumerate(chunks):
+            between = line[label:s]
+            link = _ID_LINK.match(line, label).end() >= s
+            words = len(re.findall(r"[^\W\d_]+", between))
+            near = "link" if link else "other1" if words <= 1 else "other2" if words <= 2 else "far"
+            for j in range(i, len(chunks)):
+                e = chunks[j][1]
+                text = line[s:e]
+                digits = sum(c.isdigit() for c in text)
+                if digits > ID_DIGITS:
+                    break
+                if digits < 5:
+                    continue
+                counted = True
+                f = ["id:any", f"id:{near}", "id:start" if i == 0 else "id:inside", "id:end" if j + 1 == len(chunks) else "id:cut", "id:first" if first else "id:later", f"id:digits{min(digits, 8)}"]
+                if _DATE.fullmatch(text):
+                    f.append("id:date")
+                if re.match(r" ?[^\W\d_]+", line[e:]) and text.isdigit() and near != "link":
+                    f.append("id:counts")
+                yield s, e, "id_number", tuple(f)
+        first = first and not counted
+
+
+def _addresses(line: str) -> Iterator[Span]:
+    parts = [(m.start(), m.end(), m[0]) for m in _PLACE.finditer(line) if not (m.start() and m[0][0].isalnum() and line[m.start() - 1].isalnum()) and not (line[m.end() - 1].isalnum() and (line[m.end() : m.end() + 1].isalnum() or line[m.end() : m.end() + 1] == "_"))]
+    n = len(parts)
+    for i in range(n):
+        s, e, w = parts[i]
+        if w == "," or (s and line[s - 1] in "_-.") or (s > 1 and line[s - 1] in ":," and line[s - 2].isdigit()) or w.rstrip(".") in ("de", "la", "las", "los", "del", "du", "des", "el", "der", "den", "dem"):
+            continue
+        numbers, kinds, words, house = 0, [], 0, w[0].isdigit()
+        for j in range(i, n):
+            if j > i and line[parts[j - 1][1] : parts[j][0]] not in ("", " "):
+                break
+            p = parts[j][2]
+            if p[0].isdigit():
+                numbers += 1
+            elif p != ",":
+                words += 1
+                if _KIND_ALONE.fullmatch(p):
+                    kinds.append((j, "word"))
+                elif _KIND_END.fullmatch(p):
+                    kinds.append((j, "end"))
+            if numbers > 1 or words > ADDRESS_WORDS:
+                break
+            if numbers != 1 or not kinds or (j == i) or p == "," or not (house or p[0].isdigit()) or (not p[0].isdigit() and not (p[0].isupper() or (j, "word") in kinds)):
+                continue
+            e = parts[j][1]
+            at, how = kinds[-1] if house else kinds[0]
+            where = "last" if at == j or (at == j - 1 and p[0].isdigit()) else "first" if at == i or (house and at <= i + 2 and parts[at - 1][2] in (w, ",")) else "inner"
+            lower = "lower" if parts[at][2][0].islower() else "upper"
+            f = [f"address:{'house_first' if house else 'house_last'}:{how}:{where}:{lower}", f"address:words{min(words, 6)}", f"address:kinds{min(len(kinds), 3)}"]
+            if how == "end" and at > i:
+                f.append("address:lead_known" if all(_LEAD.fullmatch(x[2]) for x in parts[i:at]) else "address:lead_other")
+            before, after = line[max(0, s - 30) : s], line[e : e + 24]
+            if i and _LEAD.fullmatch(parts[i - 1][2]) and line[parts[i - 1][1] : s] == " ":
+                f.append("address:lead_before")
+            if re.match(rf"(?:\.(?!\w))? [{_UP}][^\W\d_]+", after) and not p[0].isdigit():
+                f.append("address:capital_after")
+            if re.match(r"[\w]|[.:-]\d", after):
+                f.append("address:cut")
+            if re.match(r" [a-z]", after) and house:
+                f.append("address:prose_after")
+            if i and not house and line[parts[i - 1][1] : s] == " " and parts[i - 1][2][0].isupper():
+                f.append("address:capital_before")
+            if re.search(r"(?i)\b(?:error|warn|info|debug)\b", line[s:e]) or re.search(r"\d[:.,]$", before):
+                f.append("address:log")
+            if any(_UNIT.fullmatch(x[2]) for x in parts[i : j + 1]):
+                f.append("address:unit")
+            if any(x[2] == "," for x in parts[i : j + 1]):
+                f.append("address:comma")
+            f.append("address:listed" if re.match(r",|\s*$|[\"'.;)]", after) else "address:open")
+            yield s, e, "address", tuple(f)
+
+
+def _persons(line: str, names: Names) -> Iterator[Span]:
+    parts = []
+    for m in _NAME_PART.finditer(line):
+        w = m[0]
+        e = m.end()
         if len(w) == 1 and line[e : e + 1] == ".":
-            marks.append((s, e + 1, "I"))
-        elif len(w) > 1:
-            marks.append((s, e, w))
-    n = len(marks)
+            w, e = w + ".", e + 1
+        if w[0].isupper() or w in _PARTICLE:
+            parts.append((m.start(), e, w, "I" if w[-1] == "." else "P" if w.lower() in _PARTICLE else "W"))
+    n = len(parts)
     for i in range(n):
-        for shape in _shapes(line, marks, i, n):
-            s, e, first, last, form, whole_case = shape
-            g, fam = (names.known(first, "given") if first != "I" else 0), names.known(last, "family")
-            if form == "comma" or form == "swapped":
-                g, fam = names.known(last, "given") if last != "I" else 0, names.known(first, "family")
-            if g + fam == 0 or (first == "I" or last == "I") and fam == 0:
+        s, e, w, kind = parts[i]
+        if kind == "W" and len(w) == 1:
+            continue
+        comma, words = 0, 0
+        for j in range(i, min(n, i + PERSON_PARTS)):
+            if j > i:
+                gap = line[parts[j - 1][1] : parts[j][0]]
+                if gap in (", ", ",") and not comma and parts[j - 1][3] == "W":
+                    comma = j
+                elif gap != " ":
+                    break
+            words += parts[j][3] == "W" and len(parts[j][2]) > 1
+            if j == i or words < 1 or parts[j][3] == "P" or (parts[j][3] == "I" and not (comma and j > comma)) or (kind == "P" and not w[0].isupper() and not comma):
                 continue
-            if form == "swapped" and not (fam == 2 and g == 2):
+            if words < 2 and not any(p[3] == "I" for p in parts[i : j + 1]):
                 continue
-            before, after = line[max(0, s - 40) : s], line[e : e + 24]
-            f = ["person:any", f"person:{form}", f"person:given{g}" if "I" not in (first, last) else "person:initial", f"person:family{fam}"]
-            if fam == 0 or (g == 0 and "I" not in (first, last)):
-                f.append("person:half")
-            if (first if form not in ("comma", "swapped") else last).lower() in _NOT_FIRST or first.lower() in _NOT_FIRST:
-                f.append("person:stop_first")
-            if re.search(r"(?i)\b(?:the|der|die|das|le|la|el|a|an)\s$", before):
-                f.append("person:article")
-            if i and line[marks[i - 1][1] : s] == " " and marks[i - 1][2] != "I" and names.known(marks[i - 1][2], "given"):
-                f.append("person:name_before")
-            if _BEFORE_PERSON.search(before):
-                f.append("person:label")
-            if _COMPANY.match(after.lstrip()) or re.search(r"&\s?$", before):
-                f.append("person:company")
-            elif re.match(rf" [{_UP}]{_L}", after) and not whole_case:
-                f.append("person:capital_after")
-            if not line[:s].strip(" \t>*-#/'\"") and not line[e:].strip(" \t.,'\""):
-                f.append("person:alone")
-            if re.match(r"\s*[<(]", after):
-                f.append("person:bracket_after")
-            yield s, e, "person", tuple(f)
-
-
-def _shapes(line: str, marks: list[tuple[int, int, str]], i: int, n: int) -> Iterator[tuple[int, int, str, str, str, bool]]:
-    """Spans of two names from mark i on: (start, end, first, last, form, all upper case)."""
-    s, e, first = marks[i]
-
-    def family(j: int) -> tuple[int, str]:
-        """End and words of a family name at mark j: a particle belongs to it."""
-        if marks[j][2].lower() in _PARTICLE and j + 1 < n and line[marks[j][1] : marks[j + 1][0]] == " " and marks[j + 1][2] != "I":
-            return j + 1, line[marks[j][0] : marks[j + 1][1]]
-        return j, marks[j][2]
-
-    def gap(a: int, b: int) -> str:
-        return line[marks[a][1] : marks[b][0]]
-
-    if first.lower() in _PARTICLE and first != "I":
-        j, words = family(i)
+            yield _person(line, names, parts, i, j, comma)
+
+
+def _person(line: str, names: Names, parts: list[tuple], i: int, j: int, comma: int) -> Span:
+    s, e = parts[i][0], parts[j][1]
+    part = parts[i : j + 1]
+    if comma:
+        family, given = part[: comma - i], part[comma - i :]
     else:
-        j, words = i, first
-    # Family, Given (with or without an initial)
-    if first != "I" and j + 1 < n and gap(j, j + 1) in (", ", ","):
-        k = j + 1
-        end = marks[k][1]
-        if marks[k][2] != "I" and k + 1 < n and marks[k + 1][2] == "I" and gap(k, k + 1) == " ":
-            end = marks[k + 1][1]
-        yield s, end, words, marks[k][2], "comma", line[s:end].isupper()
-    if j != i or i + 1 >= n or gap(i, i + 1) != " " or (first != "I" and marks[i + 1][2] == "I" and not (i + 2 < n and gap(i + 1, i + 2) == " ")):
-        return
-    k = i + 1
-    if marks[k][2] == "I":  # Given I. Family
-        if first == "I":
-            k += 1
-            if k >= n or gap(k - 1, k) != " " or marks[k][2] == "I":
-                return
-        else:
-            k += 1
-            if marks[k][2] == "I":
-                return
-        m, last = family(k)
-        yield s, marks[m][1], first, last, "middle" if first != "I" else "straight", line[s : marks[m][1]].isupper()
-        return
-    m, last = family(k)
-    yield s, marks[m][1], first, last, "straight", line[s : marks[m][1]].isupper()
-    if first != "I" and m == k:
-        yield s, marks[k][1], first, last, "swapped", line[s : marks[k][1]].isupper()
-
-
-def candidates(line: str, names: Names) -> list[Candidate]:
-    found = [*_emails(line), *_numbers(line), *_addresses(line), *_persons(line, names)]
-    return sorted({c for c in found if c[1] - c[0] <= SPAN}, key=lambda c: (c[0], c[1], c[2]))
-
-
-def _gap_feature(line: str, a: Candidate, b: Candidate) -> str | None:
-    if 0 <= b[0] - a[1] <= GAP:
-        return f"{a[2]}>{b[2]}:{re.sub(r'[^\W_]+', 'w', line[a[1] : b[0]]).strip() or '_'}"
-    return None
-
-
-def best(line: str, found: list[Candidate], weights: dict[str, float], gold: set | None = None) -> tuple[list[Candidate], list[str]]:
-    """The segments of the highest total score that do not overlap, and the features of that choice.
-
-    gold, while fitting: segments outside of it score MARGIN more and those in it as much less, so that right choices must win clearly.
+        k = len(part) - 1
+        while k > 1 and part[k - 1][3] == "P":
+            k -= 1
+        family, given = part[k:], part[:k]
+    called = line[family[0][0] : family[-1][1]]
+    fam = max(names.known(called, "family"), names.known(family[-1][2], "family"))
+    lead = names.known(family[0][2], "family") if len(family) > 1 and family[0][3] == "W" else 2
+    own = "I" if given[0][3] == "I" else str(names.known(given[0][2], "given"))
+    middle = "".join(sorted({x[3] for x in given[1:]})) or "0"
+    before, after = line[max(0, s - 40) : s], line[e : e + 24]
+    where = next((k for k, p in _BEFORE if p.search(before)), "other")
+    known = f"{own}{fam}"
+    sure = "sure" if known in ("22", "21", "12", "11", "I2", "I1") else "half" if known[0] in "12" or fam else "none"
+    f = [f"person:{'comma' if comma else 'straight'}:{middle}:{sure}", f"person:known{known}", f"person:{where}:{sure}", f"person:parts{min(len(part), 5)}"]
+    if len(family) > 1 and (comma or len(family) > 4 or any(x[3] != "P" for x in family[:-1])):
+        f.append("person:long_family")
+    if len(family) > 1 and family[0][3] == "W":
+        f += [f"person:family_lead{lead}", "person:family_then_particle" if any(x[3] == "P" for x in family) else "person:family_words"]
+    if any(_FIRM.fullmatch(x[2]) for x in part):
+        f.append("person:firm_word")
+    if middle in ("W", "IW", "PW"):
+        f.append("person:middle_known" if all(names.known(x[2], "given") or names.known(x[2], "family") for x in given[1:] if x[3] == "W") else "person:middle_unknown")
+    if not comma and sure != "sure" and names.known(part[-1][2], "given") == 2 and names.known(part[0][2], "family") == 2:
+        f.append("person:swapped")
+    stops = sum(x[2].lower() in _STOP_NAMES for x in part)
+    if stops:
+        f.append("person:stop_first" if part[0][2].lower() in _STOP_NAMES else "person:stop")
+    if i and line[parts[i - 1][1] : s] == " " and parts[i - 1][2].lower() not in _STOP_NAMES:
+        f.append("person:part_before" if parts[i - 1][3] != "W" or names.known(parts[i - 1][2], "given") else "person:word_before")
+    if line[e : e + 1] == " " and j + 1 < len(parts) and parts[j + 1][0] == e + 1:
+        f.append("person:part_after" if names.known(parts[j + 1][2], "family") or parts[j + 1][3] != "W" else "person:word_after")
+    if _COMPANY.match(after.lstrip()) or re.search(r"&\s?$", before):
+        f.append("person:company")
+    if part[0][3] == "I" and i and line[parts[i - 1][1] : s] == " " and parts[i - 1][3] == "W" and parts[i - 1][2].lower() not in _STOP_NAMES:
+        f.append("person:initial_cut")
+    if all(len(x[2]) > 1 and x[2].isupper() for x in part if x[3] == "W"):
+        f.append(f"person:capitals:{sure}")
+        if line.isupper() and len(line) > 2 * (e - s):
+            f.append(f"person:capital_line:{sure}")
+    elif any(len(x[2]) <= 3 and x[2].isupper() for x in part if x[3] == "W"):
+        f.append("person:short_capitals")
+    if any(_ID_LABEL.match(x[2]) for x in part):
+        f.append("person:id_word")
+    if any(_CAMEL.search(x[2]) for x in part):
+        f.append(f"person:camel:{sure}")
+    if after[:1] in ("(", "[", "{"):
+        f.append("person:call_after")
+    elif re.match(r"\s*[<(;]", after):
+        f.append("person:bracket_after")
+    elif re.match(r" [a-zß-ÿ]", after):
+        f.append(f"person:lower_after:{sure}")
+    elif re.match(r"['’]s\b", after):
+        f.append("person:owns")
+    if where == "start":
+        f.append(f"person:{'alone' if not line[e:].strip(' .,') else 'begins'}:{sure}")
+    return s, e, "person", tuple(f)
+
+
+def spans(line: str, names: Names) -> list[Span]:
+    """Every span of a line that can be of a type, with its features."""
+    found: list[Span] = []
+    if _AT_SEEN.search(line):
+        found += _emails(line)
+    if _DIGIT.search(line):
+        if _FIVE.search(line):
+            labels = [m.end() for m in _ID_LABEL.finditer(line)]
+            found += _phones(line, labels)
+            if labels:
+                found += _ids(line, labels)
+        if _STREET.search(line):
+            found += _addresses(line)
+    if _TWO_NAMES.search(line):
+        found += _persons(line, names)
+    return sorted(set(found), key=lambda c: (c[1], c[0], c[2]))
+
+
+def _between(line: str, a: Span, b: Span) -> str | None:
+    """The feature of two entities next to each other, if b begins at most GAP characters behind a."""
+    if not 0 <= b[0] - a[1] <= GAP:
+        return None
+    gap = line[a[1] : b[0]].strip().lower()
+    return f"{a[2]}>{gap if gap in ('', ',', ';', '<', '(', '&') else 'and' if gap in ('and', 'und', 'et', 'y', 'e', 'or') else 'other'}>{b[2]}"
+
+
+class Lattice:
+    """The segmentations of a line: spans in order of their ends, and which may follow which.
+
+    For each span: how many spans end too far before it to be neighbours (a prefix of the order), and the neighbours with their feature. A neighbour always
+    pays its transition; every other predecessor is reached through the prefix, where no transition is due.
     """
-    if not found:
-        return [], []
-    order = sorted(found, key=lambda c: (c[1], c[0], c[2]))
-    ends = [c[1] for c in order]
-    total: list[float] = []
-    link: list[int] = []
-    top: list[tuple[float, int]] = [(0.0, -1)]  # best of the first k candidates, and which ends it
-    for i, c in enumerate(order):
-        own = sum(weights.get(f, 0.0) for f in c[3])
-        if gold is not None:
-            own += -MARGIN if c[:3] in gold else MARGIN
-        p = bisect_left(ends, c[0] + 1, 0, i)
-        score, prev = top[p]
-        for k in range(p - 1, -1, -1):
-            if c[0] - order[k][1] > GAP:
-                break
-            g = _gap_feature(line, order[k], c)
-            if total[k] + weights.get(g, 0.0) > score:
-                score, prev = total[k] + weights.get(g, 0.0), k
-        total.append(own + score)
-        link.append(prev)
-        top.append(max(top[-1], (total[i], i), key=lambda x: x[0]))
-    i, chosen = top[-1][1], []
-    while i >= 0:
-        chosen.append(order[i])
-        i = link[i]
-    chosen.reverse()
-    return chosen, _features(line, chosen)
-
-
-def _features(line: str, chosen: list[Candidate]) -> list[str]:
-    return [f for c in chosen for f in c[3]] + [g for a, b in zip(chosen, chosen[1:]) if (g := _gap_feature(line, a, b))]
-
-
-def labelled(text: str = LINES) -> list[tuple[str, set[tuple[int, int, str]]]]:
-    """The labelled sample: lines with their spans."""
-    out = []
-    for marked in text.strip().split("\n"):
-        line, spans = "", set()
-        for i, part in enumerate(re.split(r"\{((?:%s):[^}]*)\}" % "|".join(KINDS), marked)):
-            if i % 2:
-                kind, _, value = part.partition(":")
-                spans.add((len(line), len(line) + len(value), kind))
-                part = value
-            line += part
-        out.append((line, spans))
-    return out
+
+    def __init__(self, line: str, found: list[Span]):
+        self.found = found
+        ends = [c[1] for c in found]
+        self.far = [bisect_left(ends, c[0] - GAP) for c in found]
+        self.near = [[(k, _between(line, found[k], c)) for k in range(far, i) if found[k][1] <= c[0]] for i, (c, far) in enumerate(zip(found, self.far))]
+
+    def best(self, own: list[float], weights: dict[str, float]) -> list[Span]:
+        total, link, top = [], [], [(0.0, -1)]
+        for i, score in enumerate(own):
+            before = top[self.far[i]]
+            for k, g in self.near[i]:
+                before = max(before, (total[k] + weights.get(g, 0.0), k))
+            total.append(score + before[0])
+            link.append(before[1])
+            top.append(max(top[-1], (total[i], i)))
+        i, chosen = top[-1][1], []
+        while i >= 0:
+            chosen.append(self.found[i])
+            i = link[i]
+        return chosen[::-1]
+
+    def expected(self, own: list[float], weights: dict[str, float]) -> tuple[float, list[float], dict[str, float]]:
+        """(log of the sum over all segmentations, probability of each span, expected count of each transition): forward, then backward."""
+        ahead, sums = [], [0.0]  # log-sums of what ends with span i, and of what uses only the first i spans
+        for i, score in enumerate(own):
+            ahead.append(score + _add([sums[self.far[i]], *[ahead[k] + weights.get(g, 0.0) for k, g in self.near[i]]]))
+            sums.append(_add([sums[i], ahead[i]]))
+        n, z = len(own), sums[-1]
+        to_sum, p, moves = [0.0] * n + [1.0], [0.0] * n, {}
+        for i in range(n - 1, -1, -1):
+            # What passes through sums[i + 1] came from span i or from sums[i].
+            share = exp(ahead[i] - sums[i + 1]) * to_sum[i + 1]
+            to_sum[i] += to_sum[i + 1] - share
+            p[i] += share
+            base = ahead[i] - own[i]
+            to_sum[self.far[i]] += p[i] * exp(sums[self.far[i]] - base)
+            for k, g in self.near[i]:
+                part = p[i] * exp(ahead[k] + weights.get(g, 0.0) - base)
+                p[k] += part
+                moves[g] = moves.get(g, 0.0) + part
+        return z, p, moves
+
+
+def _add(logs: list[float]) -> float:
+    top = max(logs)
+    return top if len(logs) == 1 else top + log(sum(exp(x - top) for x in logs))
+
+
+def best(line: str, found: list[Span], weights: dict[str, float]) -> list[Span]:
+    """The segmentation of the highest score, as its entities."""
+    own = [sum([weights.get(f, 0.0) for f in c[3]]) for c in found]
+    if len(own) == 1:
+        return found if own[0] > 0 else []
+    return Lattice(line, found).best(own, weights)
 
 
 @lru_cache(4)
-def fit(rounds: int = 60) -> tuple[tuple[str, float], ...]:
-    """Weights of the features: an averaged structured perceptron over the labelled sample."""
+def fit(steps: int = STEPS, penalty: float = PENALTY, rate: float = RATE) -> tuple[tuple[str, float], ...]:
+    """Weights of the features, by gradient steps on the penalised log-likelihood of the labelled sample. Labelled spans that are no candidates are left out."""
     names = Names(TRAIN_NAMES)
-    sample = [(line, candidates(line, names), spans) for line, spans in labelled()]
-    weights, sums, step = defaultdict(float), defaultdict(float), 0
-    for _ in range(rounds):
-        for line, found, spans in sample:
-            step += 1
-            guess, have = best(line, found, weights, spans)
-            gold = [c for c in found if (c[0], c[1], c[2]) in spans]
-            if {c[:3] for c in guess} != {c[:3] for c in gold}:
-                for f, n in (Counter(_features(line, gold)) - Counter(have)).items():
-                    weights[f] += n
-                    sums[f] += n * step
-                for f, n in (Counter(have) - Counter(_features(line, gold))).items():
-                    weights[f] -= n
-                    sums[f] -= n * step
-    return tuple(sorted((f, w - sums[f] / (step + 1)) for f, w in weights.items()))
+    lines = [(line, found, gold) for line, gold in training() if (found := spans(line, names))]
+    at = {f: i for i, f in enumerate(sorted({f for _, found, _ in lines for c in found for f in c[3]} | {f"{a}>{g}>{b}" for a in KINDS for b in KINDS for g in ("", ",", ";", "<", "(", "&", "and", "other")}))}
+    feats = np.array([at[f] for _, found, _ in lines for c in found for f in c[3]])
+    where = np.repeat(np.arange(sum(len(found) for _, found, _ in lines)), [len(c[3]) for _, found, _ in lines for c in found])
+    lattices = [Lattice(line, found) for line, found, _ in lines]
+    right = np.array([float(c[:3] in gold) for _, found, gold in lines for c in found])
+    moves = np.zeros(len(at))
+    for (line, found, gold), lat in zip(lines, lattices):
+        chosen = [c for c in found if c[:3] in gold]
+        for a, b in zip(chosen, chosen[1:]):
+            if g := _between(line, a, b):
+                moves[at[g]] += 1
+    keys, w, mean, square = list(at), np.zeros(len(at)), np.zeros(len(at)), np.zeros(len(at))
+    for step in range(1, steps + 1):
+        own = np.bincount(where, w[feats], len(right)).tolist()
+        weights = dict(zip(keys, w.tolist()))
+        p, expected, begin = [], np.zeros(len(at)), 0
+        for lat in lattices:
+            _, each, used = lat.expected(own[begin : begin + len(lat.found)], weights)
+            begin += len(lat.found)
+            p += each
+            for g, n in used.items():
+                expected[at[g]] += n
+        slope = np.bincount(feats, (right - np.array(p))[where], len(at)) + moves - expected - penalty * w
+        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
+        w = w + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    return tuple((k, round(x, 6)) for k, x in zip(keys, w.tolist()) if x)
 
 
 def find_spans(text: str | None, names: Names, weights: dict[str, float]) -> list[tuple[int, int, str]]:
@@ -376,9 +531,8 @@ def find_spans(text: str | None, names: Names, weights: dict[str, float]) -> lis
         return []
     out, at = [], 0
     for line in re.split(r"([\n\r\x0b\x0c\x85  ])", text):
-        if len(line) > 3:
-            chosen, _ = best(line, candidates(line, names), weights)
-            out += [(at + s, at + e, kind) for s, e, kind, _ in chosen]
+        if len(line) > 3 and (found := spans(line, names)):
+            out += [(at + s, at + e, kind) for s, e, kind, _ in best(line, found, weights)]
         at += len(line)
     return out
 
@@ -394,6 +548,18 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     return "".join(out) + text[at:]
 
 
+_WORKER: dict[int, Names] = {}
+
+
+def _names(rows: list[tuple]) -> Names:
+    """The name list of a job, prepared once per worker process."""
+    key = hash(tuple(rows))
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = Names(rows)
+    return _WORKER[key]
+
+
 def _model(name_list: DataFrame, limit: int = MAX_NAMES) -> tuple[list[tuple], dict[str, float]]:
     rows = [tuple(r) for r in name_list.select("name", "name_part").filter("name is not null").distinct().limit(limit + 1).collect()]
     if len(rows) > limit:
@@ -406,7 +572,7 @@ def personal_information(docs: DataFrame, name_list: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_model(name_list))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, weights = Names(shared.value[0]), shared.value[1]
+        names, weights = _names(shared.value[0]), shared.value[1]
         for b in batches:
             rows = [(d, k, s, e) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s, e, k in find_spans(t, names, weights)]
             cols = zip(*rows) if rows else [[]] * 4
@@ -422,7 +588,7 @@ def redacted(docs: DataFrame, name_list: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_model(name_list))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, weights = Names(shared.value[0]), shared.value[1]
+        names, weights = _names(shared.value[0]), shared.value[1]
         for b in batches:
             out = [redact(t, find_spans(t, names, weights)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
