@@ -1,15 +1,17 @@
 """Source files nobody wrote by hand: generated, locked, minified, vendored, or data in the place of code.
 
-Method: each file's head is lexed (comments, strings, numbers, words, punctuation), its code is re-emitted in a canonical
-layout (one statement a line, one bracket level an indent), and the original layout is compared with that:
+Method: each file's head is lexed (comments, strings, numbers, words, brackets, separators) and printed again in a canonical layout: one statement a
+line, one level of indent for each open block, bracketed lists joined to one line (``printed``). The original is compared with that print:
 
-* extreme expansion - many canonical lines for each line there was - marks minified files;
-* perfect uniformity - almost every line has the same shape of tokens - marks generated ones, as do notices and names;
+* extreme expansion - many printed lines for each line there was, and long lines - marks minified files;
+* perfect uniformity - the original agrees with the print line by line, and nearly all of its lines have one shape of tokens - marks generated ones;
 * literal dominance - nearly all of the text lies in strings and numbers - marks data blobs.
 
-Notices count only in the leading comments, as the lexer finds them: a file that mentions them in code, in a doc or in
-a later comment is hand-written. Names count as whole parts of a path (``vendor/``, not ``vendor_portal/``). Prose and settings
-can only be lock files or data. The generated flag and the size are hints that decide nothing.
+The shares are shrunk by a prior (PRIOR_CHARS, PRIOR_LINES), so that little text needs more dominance than much; there is no least size.
+Layout cannot tell a generator's output from hand-written code where both are formatted alike, nor a vendored copy from its source. For these, notices in the
+leading comments, as the lexer finds them, and whole parts of the path count as evidence: a file that mentions them in code, in a doc or in a later
+comment is hand-written, as is one below ``vendor_portal/``. ``evidence=False`` leaves layout alone to decide. Prose and settings can only be lock
+files or data. The generated flag and the size are hints that decide nothing.
 
 Defined results: a file without a head is judged by its path; an empty head and a null path are hand-written; a file that
 occurs several times, in several spellings or with several heads, gives one row (the first class in order of CLASSES).
@@ -68,19 +70,22 @@ _LEAD = {
     True: re.compile(r"\A\ufeff?(?:[ \t]*(?:#[^\n]*)?(?:\n|\Z))*"),
     False: re.compile(r"\A\ufeff?(?:\s+|//[^\n]*|/\*.*?(?:\*/|\Z))*", re.S),
 }
-_PARENS = re.compile(r"\([^()\n]*\)")
 _WORDS = re.compile(r"[^\W\d]\w*")
+_SPLIT = re.compile(r"([;{}()\[\]\n])")
+_SPACE = re.compile(r"\s+")
 
-#: Canonical lines per line, and characters per line, from which a file is minified.
+#: Printed lines per line, and characters per line, from which a file is minified.
 EXPANSION, LONG_LINE = 6.0, 200.0
-#: Share of the characters in literals from which a file is a data blob, and how many characters it must have at least.
-LITERALS, DATA_CHARS = 0.75, 300
-#: Share of equal line shapes from which a file is generated, and how many lines it must have at least.
-UNIFORM, UNIFORM_LINES = 0.97, 40
+#: Share of the characters in literals from which a file is a data blob.
+LITERALS = 0.75
+#: Share of lines that agree with the print, and of lines of one shape, from which a file is generated.
+AGREEMENT, UNIFORM = 0.99, 0.9
+#: Characters of code and lines of other shapes that every file is thought to have besides its own.
+PRIOR_CHARS, PRIOR_LINES = 100, 3
 
 
-def layout(head: str, hashes: bool) -> tuple[float, float, float, float]:
-    """(expansion, characters a line, literal share, uniformity) of a text against its canonical layout."""
+def lexed(head: str, hashes: bool) -> tuple[str, int, str]:
+    """(code without comments and with ``0`` for each string, characters in strings, leading comments) of a text."""
     text = "\n" + head.replace("\r\n", "\n").replace("\r", "\n")
     strings = 0
 
@@ -91,21 +96,84 @@ def layout(head: str, hashes: bool) -> tuple[float, float, float, float]:
         strings += m.end() - m.start()
         return "0"
 
-    code = _LEX[hashes].sub(literal, text)
+    return _LEX[hashes].sub(literal, text), strings, _LEAD[hashes].match(head)[0]
+
+
+def printed(code: str, hashes: bool) -> list[tuple[int, str]]:
+    """The canonical layout of lexed code: (level of indent, statement without spaces), one a line.
+
+    Braced code: a statement ends at ``;``, at a brace or at a line end outside of brackets; a brace that closes takes along what follows up to the statement's end.
+    Indented code: a statement ends at ``;`` or at a line end outside of brackets; its level is that of its indent.
+    """
+    out: list[tuple[int, str]] = []
+    level = depth = 0
+    indents, part, first = [0], [], True
+
+    def put() -> None:
+        text = _SPACE.sub("", "".join(part))
+        part.clear()
+        if text:
+            out.append((level, text))
+
+    for x in _SPLIT.split(code):
+        if not x:
+            continue
+        if hashes and first and depth == 0 and not x.isspace():
+            column = len(x) - len(x.lstrip()) if x not in ";{}()[]" else 0
+            while indents[-1] > column:
+                indents.pop()
+            if column > indents[-1]:
+                indents.append(column)
+            level, first = len(indents) - 1, False
+        if x == "\n":
+            if depth == 0:
+                put()
+                first = True
+        elif x in "([" or (hashes and x == "{"):
+            depth += 1
+            part.append(x)
+        elif x in ")]" or (hashes and x == "}"):
+            depth = max(0, depth - 1)
+            part.append(x)
+        elif x == ";":
+            part.append(x)
+            if depth == 0:
+                put()
+        elif x == "{":
+            part.append(x)
+            put()
+            level += 1
+            indents.append(depth)
+            depth = 0
+        elif x == "}":
+            put()
+            level = max(0, level - 1)
+            depth = indents.pop() if len(indents) > 1 else 0
+            part.append(x)
+        else:
+            part.append(x)
+    put()
+    return out
+
+
+def layout(head: str, hashes: bool) -> tuple[float, float, float, float, float]:
+    """(expansion, characters a line, literal share, agreement, uniformity) of a text against its canonical layout."""
+    code, strings, _ = lexed(head, hashes)
     lines = [x for x in code.split("\n") if x and not x.isspace()]
     if not lines:
-        return 0.0, 0.0, 0.0, 0.0
-    flat = _PARENS.sub("", code) if code.count(";") + code.count("{") > len(lines) else code
-    breaks = flat.count(";") + flat.count("{") + flat.count("}")
-    canonical = len(lines) + flat.count(";") if hashes else max(breaks, len(lines))
+        return 0.0, 0.0, strings / (strings + PRIOR_CHARS), 0.0, 0.0
+    canonical = printed(code, hashes)
+    columns = [len(x) - len(x.lstrip()) for x in lines]
+    unit = min((c for c in columns if c), default=1)
+    there = Counter((c / unit, _SPACE.sub("", x)) for c, x in zip(columns, lines))
+    same = sum((there & Counter((float(n), x) for n, x in canonical)).values())
     numbers = sum(map(len, _NUMBERS.findall(code)))
     rest = max(0, len(code) - code.count(" ") - code.count("\n") - code.count(",") - numbers)
-    share = (strings + numbers) / max(1, strings + numbers + rest)
-    uniform = 0.0
-    if len(lines) >= UNIFORM_LINES:
-        shapes = Counter(_WORDS.sub("w", "\n".join(lines)).split("\n"))
-        uniform = max(shapes.values()) / len(lines)
-    return canonical / len(lines), len(head) / (head.count("\n") + 1), share, uniform
+    shapes = Counter(_WORDS.sub("w", _NUMBERS.sub("0", x)) for _, x in canonical)
+    return (
+        len(canonical) / len(lines), len(head) / (head.count("\n") + 1), (strings + numbers) / (strings + numbers + rest + PRIOR_CHARS),
+        same / max(len(lines), len(canonical)), max(shapes.values()) / (len(canonical) + PRIOR_LINES),
+    )
 
 
 def notices(lead: str) -> tuple[bool, bool]:
@@ -115,43 +183,37 @@ def notices(lead: str) -> tuple[bool, bool]:
     return generated, vendored and not generated
 
 
-def classify(path: str | None, head: str | None) -> str | None:
-    """The class of a file, or null for a hand-written one. path is in its compared form."""
+def classify(path: str | None, head: str | None, evidence: bool = True) -> str | None:
+    """The class of a file, or null for a hand-written one. path is in its compared form. evidence: whether notices and names of code files count."""
     if not path:
         return None
     *dirs, name = path.split("/")
     low = name.lower()
     if low in _LOCKS or low.endswith((".lock", ".lockb")):
         return "lock"
-    if any(x.lower() in _VENDOR_DIRS for x in dirs):
+    if evidence and any(x.lower() in _VENDOR_DIRS for x in dirs):
         return "vendored"
     if _PROSE.search(low):
         return None
-    settings = bool(_SETTINGS.search(low))
-    if not settings and _GENERATED_NAME.search(low):
-        return "generated"
-    if not settings and _MINIFIED_NAME.search(low):
-        return "minified"
-    if not head or not head.strip():
-        return None
-    hashes = bool(_HASH_COMMENTS.search(low))
-    lead = _LEAD[hashes].match(head)[0]
-    generated, vendored = notices(lead) if lead.strip() else (False, False)
-    if settings:
-        if head[:40].lstrip().startswith('{"lockfileVersion"') or generated:
-            return "lock" if not generated else "generated"
-    elif vendored:
-        return "vendored"
-    elif generated:
+    settings, hashes = bool(_SETTINGS.search(low)), bool(_HASH_COMMENTS.search(low))
+    found, lead = None, ""
+    if head and head.strip():
+        expansion, per_line, literals, agreement, uniform = layout(head, hashes)
+        lead = _LEAD[hashes].match(head)[0]
+        if literals >= LITERALS and (not settings or per_line >= LONG_LINE):
+            found = "data"  # settings are all names and values; only a blob among them is data
+        elif not settings and expansion >= EXPANSION and per_line >= LONG_LINE:
+            found = "minified"
+        elif not settings and agreement >= AGREEMENT and uniform >= UNIFORM:
+            found = "generated"
+    if settings and head and head[:40].lstrip().startswith('{"lockfileVersion"'):
+        return "lock"
+    generated, vendored = notices(lead) if evidence and lead.strip() else (False, False)
+    if generated or (evidence and not settings and _GENERATED_NAME.search(low)):
         return "generated"
-    expansion, per_line, literals, uniform = layout(head, hashes)
-    if literals >= LITERALS and len(head) >= DATA_CHARS and (not settings or per_line >= LONG_LINE):
-        return "data"  # settings are all names and values; only a blob among them is data
-    if settings:
-        return None
-    if expansion >= EXPANSION and per_line >= LONG_LINE:
+    if evidence and not settings and _MINIFIED_NAME.search(low):
         return "minified"
-    return "generated" if uniform >= UNIFORM else None
+    return "vendored" if vendored and not settings else found
 
 
 def classify_files(files: DataFrame, texts: DataFrame) -> DataFrame:

@@ -120,6 +120,22 @@ def test_file_classes(path, head, want):
     assert handwritten.classify(path, head) == want
 
 
+def test_printer():
+    js = handwritten.printed("if (a) { b(c,\n d); e() } else {\n f(); }\nconst x = [1,\n 2]\ng();h()", False)
+    assert js == [(0, "if(a){"), (1, "b(c,d);"), (1, "e()"), (0, "}else{"), (1, "f();"), (0, "}"), (0, "constx=[1,2]"), (0, "g();"), (0, "h()")]
+    py = handwritten.printed("def f(a,\n      b):\n  x = {1: 2}; y\n  if x:\n      z\nw\n", True)
+    assert py == [(0, "deff(a,b):"), (1, "x={1:2};"), (1, "y"), (1, "ifx:"), (2, "z"), (0, "w")]
+    assert handwritten.printed("", True) == [] == handwritten.printed("\n\n", False) and handwritten.printed("}}}){", False)
+
+
+@pytest.mark.parametrize("path, head, want", [
+    ("a.py", "".join(f"register({i}, 'f{i}')\n" for i in range(60)), "generated"), ("a.ts", "".join(f"export const field{i} = {i};\n" for i in range(60)), "generated"), ("a.py", "register(1, 'a')\nregister(2, 'b')\n", None), ("a.py", "import os\n\n\ndef f(a):\n    if a:\n        return os\n    return [a]\n", None),
+    ("a.js", "!function(e,t){" + "e.f=function(x){for(var i=0;i<9;i++)x[i]^=i;return x};" * 20 + "}", "minified"), ("a.min.js", "export function f(a) {\n  return a;\n}\n", None), ("a.py", "# @generated by x\nimport os\nprint(os)\n", None), ("a.py", "KEY = '" + "QUJD" * 100 + "'\n", "data"), ("a.py", "VERSION = '1.2.3'\n", None),
+])
+def test_layout_alone(path, head, want):
+    assert handwritten.classify(path, head, evidence=False) == want
+
+
 def test_classify_files(spark, make):
     files = make(FILES, [dict(repo_id="r", path="./vendor\\a.py"), dict(repo_id="r", path="vendor/a.py"), dict(repo_id="r", path="b.py"), dict(repo_id="r", path=None)]).withColumn("head", docpairs.F.lit(1))
     texts = spark.createDataFrame([("r", "b.py", "# @generated\nx = 1"), ("r", "b.py", "# @generated\nx = 1"), ("r", "vendor/a.py", "")], "repo_id string, path string, head string")
