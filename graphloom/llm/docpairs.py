@@ -1,9 +1,12 @@
 """Functions paired with their documentation.
 
-Method: source texts are parsed by an error-recovering generalised LL grammar on a graph-structured stack (``gll``), which
-yields the functions of whole and of broken files alike. Nodes of kind Function and Method bring the documentation; the valid row of
-an id is the one delivered last. A documentation is reduced to what it says by itself (``telling_words``), and descriptions
-that the corpus repeats as a template around the function's own name are dropped by hash counts.
+Method: source texts are parsed by an error-recovering generalised LL grammar on a graph-structured stack (``gll``), which yields the functions
+of whole and of broken files alike, each with its header, its documentation as the file has it, and whether its own block is valid. Nodes of kind Function
+and Method say which documentation holds: the valid row of an id is the one delivered last. Where the parser found a valid function and its documentation
+says what the valid row says, the file's text is judged, with its marks, lines and sections, and what is the function's own name and parameters comes from the
+parsed header as well as from the signature; else, and beyond the kept head of a file, the row's text is judged. A documentation is reduced
+to what it says by itself (``telling_words``). Whole descriptions, with own words and numbers masked, are counted by hash over all documented functions,
+and those that TEMPLATE_SHARE of them have in common are dropped as templates.
 
 Defined results: a null or blank doc says nothing; a node without id, or of another kind, is none. Of rows delivered at the same
 time the greater (doc, signature) is valid. A function that lies beyond the kept head of its file, or whose file was not kept, keeps its
@@ -25,12 +28,10 @@ from graphloom.session import stored
 
 #: Content words that a documentation needs.
 LEAST_WORDS = 3
-#: A masked description that at least this share of all documented functions has in common is a template ...
-TEMPLATE_SHARE = 0.001
-#: ... if besides the function's own words it has at most so many content words.
-TEMPLATE_WORDS = 4
-#: Fewer equal templates than this are no template, however small the corpus is.
-TEMPLATE_LEAST = 20
+#: A masked description that at least this share of all documented functions has in common is a template.
+TEMPLATE_SHARE = 0.02
+#: Documented functions without any template that every corpus is thought to have besides its own, so that a share of few functions says little.
+TEMPLATE_PRIOR = 1000
 #: Characters of a file that are kept; a text of that length was cut off.
 KEPT = 4000
 
@@ -189,9 +190,7 @@ def telling_words(doc: str | None, own: str) -> tuple[int, str, str]:
             count += len(content)
             kept.append(sentence.strip())
             masked.append(" ".join("\0" if _stem(w) in mine else "0" if w.isdigit() else w for w in words))
-    template = re.sub(r"\0(?: \0)*", "\0", " ".join(masked))
-    few = "\0" in template and len(_content([w for w in template.split() if w not in "\0"])) <= TEMPLATE_WORDS
-    return count, " ".join(kept), template if few else ""
+    return count, " ".join(kept), re.sub(r"\0(?: \0)*", "\0", " ".join(masked))
 
 
 def valid_functions(nodes: DataFrame) -> DataFrame:
@@ -204,37 +203,39 @@ def valid_functions(nodes: DataFrame) -> DataFrame:
 
 
 def described(functions: DataFrame) -> DataFrame:
-    """The functions with telling documentation, with their description; null-safe in every column.
-
-    What is a function's own name and parameters is known from its signature and from the header that the parser found.
-    """
+    """The functions with n_words, description and template of their documentation; null-safe in every column. See the module's docstring for which text is judged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = zip(*[b.column(c).to_pylist() for c in ("signature", "qname", "header")])
-            told = [telling_words(d, f"{s or ''} {(q or '').rsplit('.', 1)[-1]} {h or ''}") for d, (s, q, h) in zip(b.column("doc").to_pylist(), own)]
-            more = [pa.array([t[0] for t in told], pa.int32()), pa.array([t[1] for t in told], pa.string()), pa.array([t[2] or None for t in told], pa.string())]
-            out = pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "n_words", "description", "template"])
-            yield out.filter(pa.array([t[0] >= LEAST_WORDS for t in told]))
+            told = []
+            for doc, text, sig, qname, header, whole in zip(*[b.column(c).to_pylist() for c in ("doc", "doc_text", "signature", "qname", "header", "whole")]):
+                said = " ".join(_words(doc or ""))
+                if whole and text and said and said in " ".join(_words(text)):
+                    doc = text
+                told.append(telling_words(doc, f"{sig or ''} {(qname or '').rsplit('.', 1)[-1]} {header or ''}"))
+            more = [pa.array([t[0] for t in told], pa.int32()), pa.array([t[1] for t in told], pa.string()), pa.array([t[2] for t in told], pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "n_words", "description", "template"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in functions.schema.fields)
     return functions.mapInArrow(run, f"{schema}, n_words int, description string, template string")
 
 
-def without_templates(told: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_LEAST) -> DataFrame:
-    """Drops descriptions whose template recurs all over the corpus. At most 1/share hashes can, so their set is broadcast."""
-    hashed = told.withColumn("template", F.when(F.col("template").isNotNull(), F.xxhash64("template")))
-    counts = hashed.filter("template is not null").groupBy("template").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "template").limit(int(1 / share))
+def without_templates(told: DataFrame, share: float = TEMPLATE_SHARE) -> DataFrame:
+    """Drops descriptions whose template recurs all over the corpus. At most 1/share hashes can, so their set is broadcast.
+
+    Counted over all documented functions, those that say nothing included. share above 1 keeps everything.
+    """
+    counts = told.filter("template <> ''").groupBy("template").agg(F.count("*").alias("n"))
     total = told.agg(F.count("*").alias("total")).scalar()
-    frequent = counts.filter(F.col("n") >= F.greatest(F.lit(share) * total, F.lit(least))).select("template")
-    return hashed.join(F.broadcast(frequent), "template", "left_anti").drop("template")
+    frequent = counts.filter(F.col("n") >= share * (total + TEMPLATE_PRIOR)).select("template")
+    return told.join(F.broadcast(frequent), "template", "left_anti").drop("template")
 
 
 def parsed_functions(texts: DataFrame, kept: int = KEPT) -> DataFrame:
-    """(repo_id, path, start_line, name, header, code, whole): the functions of each source text; header is the part of the code up to its parameters' end."""
+    """(repo_id, path, start_line, name, header, doc_text, code, whole): the functions of each source text; header is the part of the code up to its parameters' end."""
     source = r"(?i)\.(pyi?|pyx|[cm]?jsx?|[cm]?tsx?|java|kt|go|rs|c|h|cc|cpp|hpp|cs|php|swift|scala|dart)$"
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
-    names = ["repo_id", "path", "start_line", "name", "header", "code", "whole"]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
+    names = ["repo_id", "path", "start_line", "name", "header", "doc_text", "code", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,22 +245,26 @@ def parsed_functions(texts: DataFrame, kept: int = KEPT) -> DataFrame:
                 for f in parse(head, path, len(head) < kept):
                     lines = lines or head.replace("\r\n", "\n").replace("\r", "\n").split("\n")
                     code = "\n".join(lines[f.start - 1 : f.end])
-                    rows.append((repo, path, f.start, f.name, code[: code.find(")") + 1], code, f.valid))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+                    doc = "\n".join(lines[f.doc[0] - 1 : f.doc[1]]) if f.doc[0] else None
+                    rows.append((repo, path, f.start, f.name, code[: code.find(")") + 1], doc, code, f.valid))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=names)
 
     heads = texts.select("repo_id", clean_path("path").alias("path"), "head").filter("head is not null and path is not null").filter(F.col("path").rlike(source))
-    return heads.mapInArrow(run, "repo_id string, path string, start_line int, name string, header string, code string, whole boolean")
+    return heads.mapInArrow(run, "repo_id string, path string, start_line int, name string, header string, doc_text string, code string, whole boolean")
 
 
-def documented_pairs(nodes: DataFrame, texts: DataFrame, with_code: bool = True) -> DataFrame:
+def documented_pairs(nodes: DataFrame, texts: DataFrame, with_code: bool = True, share: float = TEMPLATE_SHARE) -> DataFrame:
     """(node_id, repo_id, path, qname, signature, description[, code, whole]), one row per documented function. See the module's docstring.
 
     The functions of the corpus are parsed once and joined with the valid nodes by file and first line; what is told is written once, since it is
     needed for the templates' counts and for the result.
     """
     documented = valid_functions(nodes).filter(F.length(F.trim("doc")) >= 3).withColumn("name", F.substring_index("qname", ".", -1))
-    cols = ["header", "code", "whole"] if with_code else ["header"]
+    cols = ["header", "doc_text", "whole", *(["code"] if with_code else [])]
     key = ["repo_id", "path", "start_line", "name"]
-    code = parsed_functions(texts).groupBy(*key).agg(*[F.max(c).alias(c) for c in cols])
-    told = stored(described(documented.join(code, key, "left")), "told")
-    return without_templates(told).select("node_id", "repo_id", "path", "qname", "signature", "description", *cols[1:])
+    # A file may come in several copies: the greatest row of a place is one function, not a mix of several.
+    code = parsed_functions(texts).groupBy(*key).agg(F.max(F.struct("whole", *[c for c in cols if c != "whole"])).alias("f")).select(*key, *[f"f.{c}" for c in cols])
+    out = ["node_id", "repo_id", "path", "qname", "signature", "description", *(["code", "whole"] if with_code else [])]
+    judged = described(documented.join(code, key, "left")).select(*out, "n_words", F.xxhash64("template").alias("hash"), "template")
+    told = stored(judged.withColumn("template", F.when(F.col("template") != "", F.col("hash").cast("string")).otherwise("")).drop("hash"), "told")
+    return without_templates(told, share).filter(F.col("n_words") >= LEAST_WORDS).select(*out)

@@ -135,6 +135,8 @@ class Function(NamedTuple):
     start: int
     end: int
     valid: bool
+    #: Lines of its documentation, without those of code; (0, 0) if it has none.
+    doc: tuple[int, int] = (0, 0)
 
 
 _PY_HEAD = re.compile(r"(?:async\s+)?def\s+([^\W\d]\w*)\s*[\[(]")
@@ -259,5 +261,31 @@ def parse(text: str, path: str, whole: bool = True) -> list[Function]:
         last = max(last, at[head])
         while last > at[head] and not lines[last].strip():
             last -= 1
-        found.append(Function(names[head], at[head] + 1, last + 1, valid))
+        found.append(Function(names[head], at[head] + 1, last + 1, valid, _documented(tokens, at, lines, head, indented)))
     return sorted(found, key=lambda f: f.start)
+
+
+def _documented(tokens: str, at: list[int], lines: list[str], head: int, indented: bool) -> tuple[int, int]:
+    """First and last line of a function's documentation: the first token of its block (indented languages), or the comment right before it and its decorators."""
+
+    def block(k: int, last: bool) -> tuple[int, int]:
+        """The first or last run of lines without a blank one that token k stands for; the whole of it where it is a quoted text."""
+        first, end = at[k], (at[k + 1] if k + 1 < len(at) else len(lines))
+        while end > first + 1 and not lines[end - 1].strip():
+            end -= 1
+        quoted = not lines[first].lstrip().startswith(("#", "//"))
+        if last:
+            begin = max((n for n in range(first + 1, end) if not lines[n - 1].strip()), default=first) if not quoted or "*/" in "\n".join(lines[first : end - 1]) else first
+            return begin + 1, end
+        if not quoted:
+            end = min((n for n in range(first, end) if lines[n].lstrip()[:1] != "#"), default=end)
+        return first + 1, end
+
+    if indented and tokens[head + 1 : head + 3] == ">S":
+        return block(head + 2, False)
+    k = head - 1
+    while k >= 0 and tokens[k] == "@":
+        k -= 1
+    if k >= 0 and tokens[k] == "S" and lines[at[k + 1] - 1].strip():
+        return block(k, True)
+    return 0, 0

@@ -103,9 +103,29 @@ def test_pairs(spark, make):
 
 
 def test_templates_are_dropped(spark):
-    s = "node_id string, template string"
-    told = spark.createDataFrame([(f"n{i}", "t" if i < 30 else None) for i in range(100)], s)
-    assert docpairs.without_templates(told).count() == 70
+    told = spark.createDataFrame([(f"n{i}", "t" if i < 30 else "u" if i < 50 else "") for i in range(150)], "node_id string, template string")
+    assert docpairs.without_templates(told).count() == 120 and docpairs.without_templates(told, 2.0).count() == 150
+
+
+def test_parser_finds_documentation():
+    py = 'import x\n\n# about f\n@deco\ndef f(a):\n    return a\n\ndef g(b,\n      c):\n    """One.\n\n    Two.\n    """\n    return b\n\ndef h():\n    # here\n    # too\n    return 1\n\n# far\n\ndef k():\n    pass\n'
+    assert {f.name: f.doc for f in gll.parse(py, "a.py")} == {"f": (3, 3), "g": (10, 13), "h": (17, 18), "k": (0, 0)}
+    js = "// old\n\n// about f\n// more\nfunction f(a) {\n  // in\n}\n/** One.\n * Two. */\nexport const g = (b) => {\n};\nfunction h() {\n}\n"
+    assert {f.name: f.doc for f in gll.parse(js, "a.js")} == {"f": (3, 4), "g": (8, 9), "h": (0, 0)}
+
+
+def test_parser_and_counts_decide(spark, make):
+    """Without the texts, or without the counts, other functions are found."""
+    head = "def go(anchor, ledger, frame):\n    return anchor\n\n\ndef run(x):\n    \"\"\"Run.\n\n    Args:\n        x: The gears that turn slowly.\n    \"\"\"\n    return x\n\n\ndef odd(x):\n    \"\"\"Example:\n        Seconds between two heartbeats.\n    \"\"\"\n"
+    row = lambda i, name, line, doc, sig=None: dict(id=i, repo_id="r", kind="Function", name=name, qname=f"m.{name}", path="m.py", start_line=line, signature=sig, doc=doc, loaded_at=T)
+    rows = [row("a", "go", 1, "Anchor, ledger and frame."), row("b", "run", 5, "Run. Args: x: The gears that turn slowly."), row("c", "odd", 14, "Example: Seconds between two heartbeats.")]
+    rows += [row(f"t{i}", f"f{i}", 100 + i, "Part of the big friendly service family.") for i in range(40)] + [row(f"u{i}", f"g{i}", 200 + i, f"Bytes kept free on disk number{'x' * i}.") for i in range(60)]
+    nodes, texts = make(NODES, rows), spark.createDataFrame([("r", "m.py", head)], "repo_id string, path string, head string")
+    found = lambda *args: {r.node_id for r in docpairs.documented_pairs(nodes, *args).collect()}
+    usual = {"b"} | {f"u{i}" for i in range(60)}
+    assert found(texts) == usual
+    assert found(texts.limit(0)) == usual | {"a", "c"}
+    assert found(texts, False, 2.0) == usual | {f"t{i}" for i in range(40)}
 
 
 # 3 files nobody wrote by hand
