@@ -16,13 +16,22 @@ from pyspark.sql import functions as F
 from graphloom.functions.normalize import trimmed
 
 
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(item_value, n_rows) of each trimmed value."""
+    return df.select(trimmed(column).alias("item_value")).filter("item_value is not null").groupBy("item_value").agg(F.count("*").alias("n_rows"))
+
+
+def _first(counts: DataFrame, column: str, k: int) -> DataFrame:
+    return counts.orderBy(F.desc("n_rows"), "item_value").limit(k).select(F.lit(column).alias("item_field"), "item_value", "n_rows")
+
+
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     """(item_field, item_value, n_rows): the k most frequent values of the column, with exact counts."""
-    counts = df.select(trimmed(column).alias("item_value")).filter("item_value is not null").groupBy("item_value").agg(F.count("*").alias("n_rows"))
-    return counts.orderBy(F.desc("n_rows"), "item_value").limit(k).select(F.lit(column).alias("item_field"), "item_value", "n_rows")
+    return _first(value_counts(df, column), column, k)
 
 
 def frequent_values(df: DataFrame, column: str, share: float = 0.005) -> DataFrame:
-    """Values that hold at least the share of the rows with a value. At most 1/share values can, so top_values is enough."""
-    total = df.agg(F.count(trimmed(column)).alias("total")).scalar()
-    return top_values(df, column, int(1 / share)).filter(F.col("n_rows") >= F.lit(share) * total)
+    """Values that hold at least the share of the rows with a value. At most 1/share values can, so so many of the first are enough; the total is the sum of the counts."""
+    counts = value_counts(df, column)
+    total = counts.agg(F.sum("n_rows").alias("total")).scalar()
+    return _first(counts, column, int(1 / share)).filter(F.col("n_rows") >= F.lit(share) * total)

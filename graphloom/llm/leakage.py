@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -98,6 +99,17 @@ class Patterns:
         return found
 
 
+_WORKER: dict[str, Patterns] = {}
+
+
+def _patterns(key: str, rows: list[tuple], least: int) -> Patterns:
+    """The tables of a block of items, built once per worker process; only the last block's are kept."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = Patterns(rows, least)
+    return _WORKER[key]
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(item_id, doc_id): each document with each item of which it holds ``least`` consecutive words."""
     spark = docs.sparkSession
@@ -107,10 +119,11 @@ def leaked_items(docs: DataFrame, items: DataFrame, least: int = LEAST, block_ch
     texts = docs.select("doc_id", "text").filter(F.length("text") > 0)
 
     def part(k: int) -> DataFrame:
+        key = uuid.uuid4().hex
         shared = spark.sparkContext.broadcast([tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            patterns = Patterns(shared.value, least)
+            patterns = _patterns(key, shared.value, least)
             for b in batches:
                 out = [(patterns.items[n][0], d) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n in sorted(patterns.search(words_of(t)))]
                 yield pa.RecordBatch.from_pydict({"item_id": pa.array([x for x, _ in out], out_type[0]), "doc_id": pa.array([x for _, x in out], b.schema.field(0).type)})
