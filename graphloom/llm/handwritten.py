@@ -72,7 +72,6 @@ _LEAD = {
 }
 _WORDS = re.compile(r"[^\W\d]\w*")
 _SPLIT = re.compile(r"([;{}()\[\]\n])")
-_SPACE = re.compile(r"\s+")
 
 #: Printed lines per line, and characters per line, from which a file is minified.
 EXPANSION, LONG_LINE = 6.0, 200.0
@@ -84,8 +83,8 @@ AGREEMENT, UNIFORM = 0.99, 0.9
 PRIOR_CHARS, PRIOR_LINES = 100, 3
 
 
-def lexed(head: str, hashes: bool) -> tuple[str, int, str]:
-    """(code without comments and with ``0`` for each string, characters in strings, leading comments) of a text."""
+def lexed(head: str, hashes: bool) -> tuple[str, int]:
+    """(code without comments and with ``0`` for each string, characters in strings) of a text."""
     text = "\n" + head.replace("\r\n", "\n").replace("\r", "\n")
     strings = 0
 
@@ -96,7 +95,7 @@ def lexed(head: str, hashes: bool) -> tuple[str, int, str]:
         strings += m.end() - m.start()
         return "0"
 
-    return _LEX[hashes].sub(literal, text), strings, _LEAD[hashes].match(head)[0]
+    return _LEX[hashes].sub(literal, text), strings
 
 
 def printed(code: str, hashes: bool) -> list[tuple[int, str]]:
@@ -110,7 +109,7 @@ def printed(code: str, hashes: bool) -> list[tuple[int, str]]:
     indents, part, first = [0], [], True
 
     def put() -> None:
-        text = _SPACE.sub("", "".join(part))
+        text = "".join("".join(part).split())
         part.clear()
         if text:
             out.append((level, text))
@@ -158,18 +157,18 @@ def printed(code: str, hashes: bool) -> list[tuple[int, str]]:
 
 def layout(head: str, hashes: bool) -> tuple[float, float, float, float, float]:
     """(expansion, characters a line, literal share, agreement, uniformity) of a text against its canonical layout."""
-    code, strings, _ = lexed(head, hashes)
+    code, strings = lexed(head, hashes)
     lines = [x for x in code.split("\n") if x and not x.isspace()]
     if not lines:
         return 0.0, 0.0, strings / (strings + PRIOR_CHARS), 0.0, 0.0
     canonical = printed(code, hashes)
     columns = [len(x) - len(x.lstrip()) for x in lines]
     unit = min((c for c in columns if c), default=1)
-    there = Counter((c / unit, _SPACE.sub("", x)) for c, x in zip(columns, lines))
-    same = sum((there & Counter((float(n), x) for n, x in canonical)).values())
+    there = Counter((c / unit, "".join(x.split())) for c, x in zip(columns, lines))
+    same = sum(min(n, there.get(x, 0)) for x, n in Counter(canonical).items())
     numbers = sum(map(len, _NUMBERS.findall(code)))
     rest = max(0, len(code) - code.count(" ") - code.count("\n") - code.count(",") - numbers)
-    shapes = Counter(_WORDS.sub("w", _NUMBERS.sub("0", x)) for _, x in canonical)
+    shapes = Counter(_WORDS.sub("w", _NUMBERS.sub("0", "\n".join([x for _, x in canonical]))).split("\n"))
     return (
         len(canonical) / len(lines), len(head) / (head.count("\n") + 1), (strings + numbers) / (strings + numbers + rest + PRIOR_CHARS),
         same / max(len(lines), len(canonical)), max(shapes.values()) / (len(canonical) + PRIOR_LINES),
