@@ -49,7 +49,7 @@ _LETTER = r"[^\W\d_]"
 _AT = r"(?:\s?[\[({<]\s?(?:at|ät|arroba|arobase|@)\s?[\])}>]\s?|&#64;|&commat;|%40|\s@\s|\s(?:at|AT|ät|arroba|arobase)\s|@)"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?|\s(?:dot|DOT|punkt|punto|point)\s|\.)"
 _AT_MARK = re.compile(_AT)
-_AT_SEEN = re.compile(r"@|%40|&#64;|&commat;|\bat\b|\bät\b|arroba|arobase", re.I)
+_AT_SEEN = re.compile(r"%40|&#64;|&commat;|[\s\[({<](?:at|AT|ät|arroba|arobase)[\s\])}>]")
 _DOT_BEFORE = re.compile(rf"{_DOT}\Z")
 _HOST = re.compile(rf"[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)+")
 _LABEL = re.compile(r"[^\W_](?:[\w-]*[^\W_])?")
@@ -78,27 +78,59 @@ _CHUNK = re.compile(r"[A-Z\d]+")
 # Names of kinds of streets in several languages; first those that stand alone, then those that end a word.
 _STREET_WORD = r"Streets?|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Boulevard|Blvd|Way|Place|Pl|Square|Sq|Terrace|Terr|Crescent|Close|Highway|Hwy|Parkway|Row|Alley|rue|avenue|av|boulevard|bd|allée|chemin|place|impasse|quai|cours|route|square|passage|[Cc]alle|C/|[Aa]venida|Avda|[Pp]laza|[Pp]aseo|[Cc]amino|[Cc]arrera|[Rr]onda|[Tt]ravesía|Straße|Strasse|Str|Weg|Platz|Gasse|Allee|Ring|Damm|Ufer"
 _STREET_END = r"-Straße|-Strasse|-Str|-Weg|-Platz|-Allee|straße|strasse|str|weg|platz|gasse|allee|ring|damm|ufer|chaussee|steig|stieg|markt|hof|graben|pfad"
-_STREET = re.compile(rf"(?<![^\W\d_])(?:{_STREET_WORD})(?![^\W\d_])|[^\W\d_](?:{_STREET_END})(?![^\W\d_])")
+_STREET = re.compile(rf"(?:{_STREET_WORD}|{_STREET_END})(?![^\W\d_])")
 _LEAD = re.compile(r"(?:A[mn]|Auf|Im|In|Zum|Zur|Unter|Hinter|Vor|Alte[rs]?|Neue[rs]?|Große[rs]?|Kleine[rs]?|Obere[rs]?|Untere[rs]?|de[rnm])")
 _KIND_ALONE = re.compile(rf"(?:{_STREET_WORD})\.?")
 _KIND_END = re.compile(rf"[{_UP}][^{_UP}]*(?:{_STREET_END})\.?|.*-(?:Straße|Strasse|Str|Weg|Platz|Allee)\.?")
 _PLACE = re.compile(rf"\d+(?:-\d+)?(?: ?[a-zA-Z](?![^\W_]|\.))?(?: (?:bis|ter|quater)\b)?|C/|(?:[{_UP}][^\W\d_]*(?:['’-][^\W\d_]+)*|rue|avenue|av|boulevard|bd|allée|chemin|place|impasse|quai|cours|route|square|passage|calle|avenida|plaza|paseo|camino|carrera|ronda|travesía|de|la|las|los|del|du|des|d'|el|der|den|dem|n[º°])(?![^\W\d_])\.?|l'|,")
 _UNIT = re.compile(r"(?:Apt|Apartment|Unit|Suite|Ste|Flat|Floor|Room|Box|Building|Bldg)\.?")
 _NAME_PART = re.compile(rf"(?<![\w@+./-])(?<![^\W\d_]['’])(?:(?:[{_UP}]\.)+(?:-[{_UP}]\.)*(?!\w)|{_LETTER}+(?:['’-]{_LETTER}+)*(?![\w@+/]|['’-]\w|\.\w))")
-_TWO_NAMES = re.compile(rf"[{_UP}][\w'’.-]*,? ?(?:{_LETTER}+ ){{0,3}}[{_UP}]")
 _FIVE = re.compile(r"(?:\d\D{0,4}){4}\d")
 _DIGIT = re.compile(r"\d")
 _CAMEL = re.compile(rf"[a-zß-ÿ][{_UP}]")
 _PARTICLE = frozenset("mac mc von van de der den da di du del della la le el al bin ibn ten ter zu zur dos das san st".split())
-_BEFORE = [
-    ("greet", re.compile(r"\b(?:hi|hello|hey|dear|thanks|cheers|danke|hallo|merci|gracias|hola),? $", re.I)), ("copyright", re.compile(r"\bcopyright (?:\(c\) |© )?[\d, -]*$|\(c\) [\d, -]*$|© ?[\d, -]*$", re.I)),
-    ("trailer", re.compile(r"(?:^|[^\w])(?:[A-Z][a-z]+(?:-[a-z]+)*-by|cc|from|to|bcc)\s?: ?$|^\W*cc $", re.I)),
-    ("label", re.compile(r"\b(?:authors?|owner|maintainer|users?|name|contact|reviewers?|reviewer|assign\w*|customer|author|autor\w*|auteur|verfasser\w*|responsable|attendees|\w*_(?:name|by|to)|login)\b[\s:=\"'@(<*\[{-]*$|@author $", re.I)),
-    ("by", re.compile(r"\b(?:by|from|with|to|ask|cc|regards|thanks|reach|laut|von|par|por|an|selon|según|d['’]après|contactez|joindre|contact|ping|per|for|für|pour|para|a|à|y|et|und|and|is|ist|est|es|ce)\s$|d['’]$", re.I)),
-    ("day", re.compile(r"\b(?:mon|tues|wednes|thurs|fri|satur|sun)day,? $|\b(?:mon|diens|donners|frei|sams|sonn)tag,? $|\b(?:lun|mar|mercre|jeu|vendre)di,? $|\b(?:lunes|martes|miércoles|jueves|viernes),? $", re.I)),
-    ("article", re.compile(r"\b(?:the|der|die|das|le|la|el|a|an|ein|eine|un|une|una|this|our|their|each|every|new)\s$", re.I)),
-    ("list", re.compile(r"[,;] $")), ("start", re.compile(r"^[\s>*#/'\"–-]*$")),
-]
+_TWO_NAMES = re.compile(rf"(?<!\w)[{_UP}][\w'’.-]*+(?:,? ?|(?: (?:{'|'.join(sorted(_PARTICLE))}))++ )[{_UP}]|(?<!\w)(?:{'|'.join(sorted(_PARTICLE))}) [{_UP}]")
+# Words before a person's name, by what they are.
+_WORDS_BEFORE = {w: k for k, ws in {
+    "greet": "hi hello hey dear thanks cheers danke hallo merci gracias hola", "copyright": "copyright c", "trailer": "cc from to bcc",
+    "label": "author authors owner maintainer user users name contact reviewer reviewers customer autor autoren autora auteur verfasser verfasserin responsable attendees login assigned assignee",
+    "by": "by from with to ask cc regards thanks reach laut von par por an selon según d'après d’après contactez joindre contact ping per for für pour para a à y et und and is ist est es ce",
+    "day": "monday tuesday wednesday thursday friday saturday sunday montag dienstag mittwoch donnerstag freitag samstag sonntag lundi mardi mercredi jeudi vendredi lunes martes miércoles jueves viernes",
+    "article": "the der die das le la el a an ein eine un une una this our their each every new",
+}.items() for w in reversed(ws.split())}
+_BY = frozenset("cc thanks to from contact a".split())
+_COPYRIGHT = re.compile(r"(?:copyright (?:\(c\) |© )?|\(c\) |© ?)[\d, -]*$", re.I)
+
+
+def _before(line: str, s: int) -> str:
+    """What stands before place s: the class of the word there, by the marks between."""
+    i = s
+    while i > 0 and not line[i - 1].isalnum() and not (line[i - 1] in "'’" and line[i - 2 : i - 1] in ("d", "D")):
+        i -= 1
+    j = i
+    while j > 0 and (line[j - 1].isalnum() or line[j - 1] in "_'’-"):
+        j -= 1
+    word, marks = line[j:i].lower().strip("-"), line[i:s]
+    if not word:
+        return "start" if not line[:s].strip(" \t>*#/'\"–-") else "other"
+    if word[0].isdigit() or word in ("copyright", "c"):
+        if _COPYRIGHT.search(line, max(0, s - 40), s):
+            return "copyright"
+    if marks.rstrip() == ":" and (word.endswith("-by") or _WORDS_BEFORE.get(word) == "trailer" or word in ("cc", "from", "to")):
+        return "trailer"
+    kind = _WORDS_BEFORE.get(word)
+    if kind == "label" or word.endswith(("_name", "_by", "_to", ".name")):
+        if not marks.strip(" \t:=\"'’@(<*[{-"):
+            return "label"
+    elif marks in (" ", ", ") and kind in ("greet", "day") and not (word in _BY and marks == " "):
+        return kind
+    elif marks == " " and kind:
+        return "by" if kind in ("trailer", "greet", "copyright") else kind
+    elif word in ("d'", "d’"):
+        return "by"
+    return "list" if marks.endswith((", ", "; ")) else "other"
+
+
 _STOP_NAMES = frozenset(
     "the a an this that these those our your my his her its their hi hello hey dear thanks thank and or if in on at of for to from by with as is it he she we you they not no see note todo fixme der die das ein eine und le les un une los las una on monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december montag dienstag mittwoch donnerstag freitag lundi mardi lunes martes according laut selon según reported signed copyright contact author mail call ask ship cc ping run regards danke merci gracias d'après new old main error get set".split()
 )
@@ -355,7 +387,7 @@ def _person(line: str, names: Names, parts: list[tuple], i: int, j: int, comma:
     own = "I" if given[0][3] == "I" else str(names.known(given[0][2], "given"))
     middle = "".join(sorted({x[3] for x in given[1:]})) or "0"
     before, after = line[max(0, s - 40) : s], line[e : e + 24]
-    where = next((k for k, p in _BEFORE if p.search(before)), "other")
+    where = _before(line, s)
     known = f"{own}{fam}"
     sure = "sure" if known in ("22", "21", "12", "11", "I2", "I1") else "half" if known[0] in "12" or fam else "none"
     f = [f"person:{'comma' if comma else 'straight'}:{middle}:{sure}", f"person:known{known}", f"person:{where}:{sure}", f"person:parts{min(len(part), 5)}"]
@@ -406,7 +438,7 @@ def _person(line: str, names: Names, parts: list[tuple], i: int, j: int, comma:
 def spans(line: str, names: Names) -> list[Span]:
     """Every span of a line that can be of a type, with its features."""
     found: list[Span] = []
-    if _AT_SEEN.search(line):
+    if "@" in line or _AT_SEEN.search(line):
         found += _emails(line)
     if _DIGIT.search(line):
         if _FIVE.search(line):
@@ -414,9 +446,9 @@ def spans(line: str, names: Names) -> list[Span]:
             found += _phones(line, labels)
             if labels:
                 found += _ids(line, labels)
-        if _STREET.search(line):
+        if not line.islower() and _STREET.search(line):
             found += _addresses(line)
-    if _TWO_NAMES.search(line):
+    if not line.islower() and _TWO_NAMES.search(line):
         found += _persons(line, names)
     return sorted(set(found), key=lambda c: (c[1], c[0], c[2]))
 

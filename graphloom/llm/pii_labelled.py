@@ -419,7 +419,7 @@ class _Maker:
         if x > 0.9:
             f = f"{self.r.choice(['van', 'von', 'de', 'de la', 'Mac', 'van der', 'di'])} {f}"
         initial = self.r.choice("ABCDEFGHJKLMRST") + "."
-        forms = [f"{g} {f}"] * 8 + [f"{f}, {g}"] * 3 + [f"{initial} {f}"] * 4 + [f"{g} {initial} {f}"] * 4 + [f"{f}, {g} {initial}", f"{g} {f}".upper(), f"{g} {self.pick(self.given)} {f}", f"{g}-{self.pick(self.given)} {f}", f"{g} {f}-{self.pick(self.family)}"]
+        forms = [f"{g} {f}"] * 8 + [f"{f}, {g}"] * 3 + [f"{initial} {f}"] * 4 + [f"{g} {initial} {f}"] * 6 + [f"{f}, {g} {initial}", f"{g} {f}".upper(), f"{g} {self.pick(self.given)} {f}", f"{g}-{self.pick(self.given)} {f}", f"{g} {f}-{self.pick(self.family)}"]
         return self.r.choice(forms)
 
     def email(self) -> str:
