@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import stored
+
 
 def rerank(candidates: DataFrame) -> DataFrame:
     """(qid, id, score, rank): candidates (qid, id, position, query_terms, name_terms, path_terms, body_terms) by overlap with the query's words.
@@ -33,24 +35,26 @@ def size_bucket(c: Column) -> Column:
     return F.when(c < 5, "<5").when(c < 10, "5-9").otherwise(">=10")
 
 
-def timing_summary(samples: DataFrame, group: str, value: str, buckets: int = 1024) -> DataFrame:
+def timing_summary(samples: DataFrame, group: str, value: str) -> DataFrame:
     """Per group: count, min, median, mean, p95 (the value at the rounded place 0.95 (n - 1), halves to even) and max, all exact.
 
-    A few groups may hold everything, so no group is sorted in one task: values are counted in ranges of equal width, a prefix sum
-    over those (at most ``buckets`` a group) tells which ranges hold the wanted places, and only their distinct values are ordered.
+    A few groups may hold everything, and a few outliers may lie far off, so values are counted, sorted by (group, value) over ranges of equal size and written
+    once; a prefix sum over the files tells which file holds each wanted place, and only those files' rows are numbered.
     """
     v = samples.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     counts = v.groupBy(group, "v").agg(F.count("*").alias("c"))  # equal values travel as one row
-    stats = counts.groupBy(group).agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-    width = F.greatest(F.col("most") - F.col("least"), F.lit(1e-300))
-    ranged = counts.join(stats, group).withColumn("b", F.floor((F.col("v") - F.col("least")) / width * (buckets - 1)))
-    sizes = ranged.groupBy(group, "b").agg(F.sum("c").alias("size"))
-    sizes = sizes.withColumn("base", F.coalesce(F.sum("size").over(Window.partitionBy(group).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = stored(counts.repartitionByRange(parts, group, "v").sortWithinPartitions(group, "v"), "timings").select("*", F.col("_metadata.file_path").alias("file"))
+    files = rows.groupBy(group, "file").agg(F.sum("c").alias("size"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v") * F.col("c")).alias("total"))
+    in_order = Window.partitionBy(group).orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("base", F.coalesce(F.sum("size").over(in_order), F.lit(0)))
+    stats = files.groupBy(group).agg(F.sum("size").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), (F.sum("total") / F.sum("size")).alias("mean"))
     low, high, p95 = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2), F.bround((F.col("n") - 1) * 0.95, 0)
     holds = lambda place, base, size: (base <= place) & (place < base + size)
-    near = ranged.join(sizes, [group, "b"]).filter(reduce(Column.__or__, [holds(p, F.col("base"), F.col("size")) for p in (low, high, p95)]))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(group, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("base")
-    placed = near.withColumn("at", before)
+    wanted = files.select(group, "file", "base", "size").join(stats, group).filter(reduce(Column.__or__, [holds(p, F.col("base"), F.col("size")) for p in (low, high, p95)])).drop("size")
+    near = rows.join(wanted, [group, "file"])
+    at = F.coalesce(F.sum("c").over(Window.partitionBy(group, "file").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("base")
+    placed = near.withColumn("at", at)
     pick = lambda place: F.max(F.when(holds(place, F.col("at"), F.col("c")), F.col("v")))
     return placed.groupBy(group).agg(
         F.max("n").alias("n"), F.round(F.max("least"), 6).alias("min_v"), F.round((pick(low) + pick(high)) / 2, 6).alias("p50"), F.round(F.max("mean"), 4).alias("mean_v"),
@@ -58,24 +62,58 @@ def timing_summary(samples: DataFrame, group: str, value: str, buckets: int = 10
     )
 
 
+def timing_sanity(summaries: DataFrame, group: str) -> DataFrame:
+    """(group, check, passed) of timing summaries: everything is there, the count is positive, and min, median, p95 and max are in order."""
+    cols = ["n", "min_v", "p50", "mean_v", "p95", "max_v"]
+    checks = {
+        "present": reduce(Column.__and__, [F.col(c).isNotNull() for c in cols]), "counted": F.col("n") > 0,
+        "ordered": (F.col("min_v") <= F.col("p50")) & (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("max_v")), "mean_within": F.col("mean_v").between(F.col("min_v") - 1e-4, F.col("max_v") + 1e-4),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for k, c in checks.items()]))
+    return summaries.select(group, each.alias("x")).select(group, "x.check", "x.passed")
+
+
 def compare_metrics(current: DataFrame, baseline: DataFrame, directions: DataFrame) -> DataFrame:
-    """(metric, current, baseline, verdict) of (metric, value): ok, regression, missing. directions: (metric, direction) with lower, higher, invariant or floor."""
-    c, b = current.select("metric", F.col("value").alias("current")), baseline.select("metric", F.col("value").alias("baseline"))
-    j = directions.join(c, "metric", "left").join(b, "metric", "left")
-    good = F.when(F.col("direction") == "lower", F.col("current") < F.col("baseline")).when(F.col("direction") == "higher", F.col("current") > F.col("baseline")).when(F.col("direction") == "invariant", F.col("current") == F.col("baseline")).when(F.col("direction") == "floor", F.col("current") >= F.col("baseline"))
-    verdict = F.when(F.col("current").isNull() | F.col("baseline").isNull(), "missing").when(good, "ok").otherwise("regression")
+    """(metric, current, baseline, verdict) of (metric, value): ok, regression, missing, or not_a_number for a value that is there but is none.
+
+    directions: (metric, direction[, expected]) with lower, higher, invariant (equal to the expected value, else to the baseline) or floor (at least that).
+    Values may be texts. Lower and higher ask for a strictly better value.
+    """
+    if "expected" not in directions.columns:
+        directions = directions.withColumn("expected", F.lit(None).cast("double"))
+    of = lambda df, name: df.select("metric", F.col("value").cast("string").alias(f"{name}_text"), F.expr("try_cast(value as double)").alias(name))
+    j = directions.join(of(current, "current"), "metric", "left").join(of(baseline, "baseline"), "metric", "left")
+    goal = F.coalesce(F.col("expected"), F.col("baseline"))
+    good = F.when(F.col("direction") == "lower", F.col("current") < F.col("baseline")).when(F.col("direction") == "higher", F.col("current") > F.col("baseline")).when(F.col("direction") == "invariant", F.col("current") == goal).when(F.col("direction") == "floor", F.col("current") >= goal)
+    fixed = F.col("direction").isin("invariant", "floor") & F.col("expected").isNotNull()
+    absent = F.col("current_text").isNull() | (F.col("baseline_text").isNull() & ~fixed)
+    none = F.col("current").isNull() | F.isnan("current") | ((F.col("baseline").isNull() | F.isnan("baseline")) & ~fixed)
+    verdict = F.when(absent, "missing").when(none, "not_a_number").when(good, "ok").otherwise("regression")
     return j.select("metric", "current", "baseline", verdict.alias("verdict"))
 
 
+def compare_parameters(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(name, current, baseline, change) of (name, value) that differ: added, removed or changed."""
+    j = current.select("name", F.col("value").alias("current"), F.lit(True).alias("_c")).join(baseline.select("name", F.col("value").alias("baseline"), F.lit(True).alias("_b")), "name", "full_outer")
+    change = F.when(F.col("_b").isNull(), "added").when(F.col("_c").isNull(), "removed").otherwise("changed")
+    return j.filter(~F.col("current").eqNullSafe(F.col("baseline")) | F.col("_b").isNull() | F.col("_c").isNull()).select("name", "current", "baseline", change.alias("change"))
+
+
 def request_counters(events: DataFrame) -> DataFrame:
     """(event_type, day, n_events, n_users, total) of a log."""
     return events.groupBy("event_type", F.substring(F.col("ts").cast("string"), 1, 10).alias("day")).agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"), F.round(F.sum("value"), 4).alias("total"))
 
 
 #: Parts of names whose values must not be shown.
-SECRET = r"(?i)(password|passwd|secret|token|api_?key|authorization|cookie|credential)"
+SECRET = r"(?i)(password|passwd|secret|token|key|authorization|cookie|credential)"
+_SECRET_FIELD = r'(?i)("[^"\\]*(?:password|passwd|secret|token|key|authorization|cookie|credential)[^"\\]*"\s*:\s*)("(?:[^"\\]|\\.)*"|[^\s",{}\[\]]+)'
 
 
 def redact_values(c: Column) -> Column:
     """A map with the values of telling keys replaced."""
-    return F.transform_values(c, lambda k, v: F.when(k.rlike(SECRET), F.lit("[redacted]")).otherwise(v))
+    return F.transform_values(c, lambda k, v: F.when(k.rlike(SECRET), F.lit("[REDACTED]")).otherwise(v))
+
+
+def redact_json(c: Column) -> Column:
+    """A JSON text with the single values of telling fields replaced, at any depth; lists and objects below such a field are searched in turn."""
+    return F.regexp_replace(c, _SECRET_FIELD, '$1"[REDACTED]"')

@@ -19,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.normalize import clean_id, clean_path, micros
+from graphloom.session import stored
 
 #: A value that holds a 1/HEAVY share of all groups takes the broadcast path; so at most HEAVY values do.
 HEAVY = 1000
 #: A value with fewer groups than this is never heavy.
 HEAVY_GROUPS = 64
 
+#: Parts into which the rows of a value and month are split when late ones are counted.
+SALTS = 16
+
 ALWAYS = -(1 << 62)
 #: Stands for a null repo_id while joining.
 NO_REPO = "\x00"
@@ -81,11 +85,13 @@ def orphan_references(
     files: DataFrame,
     heavy: int = HEAVY,
     heavy_groups: int = HEAVY_GROUPS,
+    count_late: bool = True,
 ) -> DataFrame:
     """(ref_field, repo_id, ref_value, ref_month, ref_state, n_refs), one row per orphan value, repo and month.
 
-    n_refs counts the edge rows that make up the case (for ``late``: those of that month, late or not, of a value
-    of which at least one reference is late). See the module's docstring for nulls, repeats and empty tables.
+    n_refs counts the edge rows that make up the case; for ``late``, those of the month that came before the record (``count_late``; without it, all of the month,
+    for callers that need no counts). The pre-aggregated references are written once, since the split reads them several times.
+    See the module's docstring for nulls, repeats and empty tables.
     """
     base = edges.select(
         "repo_id",
@@ -97,27 +103,30 @@ def orphan_references(
     )
 
     def grouped(df: DataFrame, *keys: str) -> DataFrame:
-        return df.filter("ref_value is not null").groupBy(*keys).agg(F.min("us").alias("edge_us"), F.count("*").alias("n_refs"))
+        return df.filter("ref_value is not null").groupBy(*keys).agg(F.min("us").alias("edge_us"), F.max("us").alias("last_us"), F.count("*").alias("n_refs"))
 
-    by_id = grouped(
-        base.select(F.explode(F.array(*[F.struct(F.lit(k).alias("ref_field"), F.col(k).alias("ref_value")) for k in ("src", "dst")])).alias("r"), "repo_id", "ref_month", "us").select("r.*", "repo_id", "ref_month", "us"),
-        "ref_field", "ref_value", "repo_id", "ref_month",
-    )
-    by_path = grouped(
-        base.select(F.lit("owner_path").alias("ref_field"), F.col("owner_path").alias("ref_value"), F.coalesce("repo_id", F.lit(NO_REPO)).alias("ref_repo"), "ref_month", "us"),
-        "ref_field", "ref_value", "ref_repo", "ref_month",
-    )
+    id_rows = base.select(F.explode(F.array(*[F.struct(F.lit(k).alias("ref_field"), F.col(k).alias("ref_value")) for k in ("src", "dst")])).alias("r"), F.coalesce("repo_id", F.lit(NO_REPO)).alias("ref_repo"), "ref_month", "us").select("r.*", "ref_repo", "ref_month", "us")
+    path_rows = base.select(F.lit("owner_path").alias("ref_field"), F.col("owner_path").alias("ref_value"), F.coalesce("repo_id", F.lit(NO_REPO)).alias("ref_repo"), "ref_month", "us")
+    group = ["ref_field", "ref_value", "ref_repo", "ref_month"]
+    by_id, by_path = stored(grouped(id_rows, *group), "references"), stored(grouped(path_rows, *group), "path-references")
     ids = _with_states(by_id, node_states(nodes, shared, tombstones), ["ref_value"], heavy, heavy_groups)
     paths = _with_states(by_path, file_states(files), ["ref_repo", "ref_value"], heavy, heavy_groups)
-    paths = paths.withColumn("repo_id", F.nullif("ref_repo", F.lit(NO_REPO))).drop("ref_repo")
     state = (
         F.when(F.col("first_us").isNull(), F.when(F.coalesce(F.col("gone"), F.lit(False)), "deleted").otherwise("missing"))
         .when(F.col("edge_us") < F.col("first_us"), "late")
     )
     out = ids.unionByName(paths).withColumn("ref_state", state).filter("ref_state is not null")
+    if count_late:
+        out = stored(out, "orphans")
+        # Only months in which a record arrived hold references from before and after it; those are counted again, row by row.
+        both = out.filter("ref_state = 'late' and last_us >= first_us").select(*group, "first_us", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        rows = id_rows.unionByName(path_rows).filter("ref_value is not null and us is not null").withColumn("salt", F.pmod(F.hash("us"), F.lit(SALTS)))
+        early = rows.join(both, [*group, "salt"]).filter("us < first_us").groupBy(*group).agg(F.count("*").alias("n_early"))
+        out = out.join(early, group, "left").withColumn("n_refs", F.coalesce("n_early", "n_refs"))
+    out = out.withColumn("repo_id", F.nullif("ref_repo", F.lit(NO_REPO)))
     return out.select("ref_field", "repo_id", "ref_value", "ref_month", "ref_state", "n_refs")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Orphans by field, month and state: number of distinct values (per repo) and of edge rows."""
-    return orphans.groupBy("ref_field", "ref_month", "ref_state").agg(F.count("*").alias("n_values"), F.sum("n_refs").alias("n_refs"))
+    """Orphans by repo, field, month and state: number of distinct values and of edge rows. The field says which table is referred to: nodes, or files for owner_path."""
+    return orphans.groupBy("repo_id", "ref_field", "ref_month", "ref_state").agg(F.count("*").alias("n_values"), F.sum("n_refs").alias("n_refs"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.normalize import clean_id
 from graphloom.operators.model import EMBEDDABLE, last_wins
 
 
@@ -28,7 +29,7 @@ def remove_missing(rows: DataFrame, live: DataFrame, keys: list[str]) -> DataFra
 
 def live_nodes(nodes: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Valid nodes that were not removed at or after their load."""
-    gone = tombstones.groupBy(F.lower(F.trim("node_id")).alias("id")).agg(F.max("removed_at").alias("removed_at"))
+    gone = tombstones.groupBy(clean_id("node_id").alias("id")).agg(F.max("removed_at").alias("removed_at"))
     return nodes.join(gone, "id", "left").filter(F.col("removed_at").isNull() | (F.col("loaded_at") > F.col("removed_at"))).drop("removed_at")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import evaluation, model, resolution, snapshots
 from graphloom.plans.graph import E, N
-from graphloom.plans.sql import BASE, sql_id, sql_path
+from graphloom.plans.sql import BASE, sql_id, sql_kind, sql_path
 from graphloom.sources.tables import table
 
 
@@ -19,6 +19,22 @@ def import_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolution.resolve_imports(resolution.import_bindings(N(spark, d)), model.valid_files(table(spark, d, "files")))
 
 
+def module_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """The files that modules mean, for bindings derived from the files' own paths: the last two parts of Python paths seen from the root, and scripts seen from a folder below theirs."""
+    f = model.valid_files(table(spark, d, "files")).select("repo_id", "path")
+    python = f.filter("path like '%.py'").withColumn("stem", F.regexp_replace("path", r"\.py$", ""))
+    absolute = python.select("repo_id", F.lit("seen.py").alias("path"), F.translate(F.substring_index("stem", "/", -2), "/", ".").alias("module"))
+    script = f.filter(F.col("path").rlike(r"/[^/]*\.(ts|tsx|js|jsx|mjs|cjs)$"))
+    below = script.select("repo_id", F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/below/seen.ts")).alias("path"), F.concat(F.lit("./.././"), F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")).alias("module"))
+    bindings = absolute.unionByName(below).filter("not contains(module, '..py')").distinct().withColumn("name", F.lit(None).cast("string"))
+    return resolution.resolve_imports(bindings, f).select("repo_id", "path", "module", "target", "how")
+
+
+def resolved_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges by repo, kind and confidence after all resolved ones were built anew."""
+    return resolution.resolve_graph(E(spark, d), N(spark, d)).groupBy("repo_id", "kind", "confidence").agg(F.count("*").alias("n_edges"))
+
+
 def unique_or_nothing(spark: SparkSession, d: str) -> DataFrame:
     return resolution.unique_names(N(spark, d))
 
@@ -92,9 +108,27 @@ def metric_compare(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reconciliation_check(spark: SparkSession, d: str) -> DataFrame:
-    """Per repo: queued nodes equal embedded and pending ones together."""
-    q = queue_upsert(spark, d).groupBy("repo_id").agg(F.count("*").alias("n_queued"))
-    return q.join(embedding_counts(spark, d), "repo_id").select("repo_id", "n_queued", (F.col("n_queued") == F.col("n_pending") + F.col("n_embedded")).alias("balanced"))
+    """Per repo: the nodes to be embedded, counted from the nodes, against those that the queue holds as pending or embedded."""
+    n = N(spark, d).filter(F.col("kind").isin(*model.EMBEDDABLE)).groupBy("repo_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.coalesce("content_hash", F.lit("")) != "").alias("n_wanted"))
+    both = n.join(embedding_counts(spark, d), "repo_id", "left").fillna(0, ["n_pending", "n_embedded"])
+    return both.select("repo_id", "n_nodes", "n_wanted", (F.col("n_pending") + F.col("n_embedded")).alias("n_queued"), (F.col("n_wanted") == F.col("n_pending") + F.col("n_embedded")).alias("balanced"))
+
+
+def timing_sanity(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.timing_sanity(timing_summary(spark, d), "event_type")
+
+
+def parameter_diff(spark: SparkSession, d: str) -> DataFrame:
+    """The commonest kind of edge of each repo, before and after the middle of 2025, where it changed."""
+    e = table(spark, d, "edges").select("repo_id", model.clean_kind("kind").alias("kind"), (F.col("loaded_at") >= F.lit("2025-07-01").cast("timestamp_ntz")).alias("late")).filter("repo_id is not null and kind is not null")
+    top = e.groupBy("repo_id", "late", "kind").agg(F.count("*").alias("n")).groupBy("repo_id", "late").agg(F.min(F.struct((-F.col("n")).alias("n"), "kind")).alias("b")).select("late", F.col("repo_id").alias("name"), F.col("b.kind").alias("value"))
+    return evaluation.compare_parameters(top.filter("late"), top.filter("not late"))
+
+
+def redact_json(spark: SparkSession, d: str) -> DataFrame:
+    """Event records as nested JSON, with the values of telling fields replaced."""
+    record = F.to_json(F.struct("event_type", F.struct(F.col("user_id").alias("session_key"), F.struct(F.col("value").alias("cost"), F.concat(F.lit('say "'), "event_type", F.lit('"')).alias("api_token")).alias("inner")).alias("user")))
+    return table(spark, d, "events").select("event_id", evaluation.redact_json(record).alias("record")).withColumn("record", F.regexp_replace("record", r'"cost":[^,}]*,?', ""))
 
 
 def request_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -129,12 +163,20 @@ _UNIQUE = f""", u as (select repo_id, name, count(*) filter (kind in ('FUNCTION'
 un as (select repo_id, name, case when a = 1 then ai when a = 0 and b = 1 then bi end id from u where a = 1 or (a = 0 and b = 1))
 """
 QUERIES = {f.__name__: f for f in (
-    import_bindings, import_resolution, unique_or_nothing, cascade_resolution, range_join_enclosing, snapshot_diff, live_nodes, queue_upsert, pending_queue, embedding_counts, embedding_text,
-    exact_duplicate_groups, cosine_topk, timing_summary, metric_compare, reconciliation_check, request_counters, json_extra_extract, redact_keys, section_lead,
+    import_bindings, import_resolution, module_resolution, resolved_edges, unique_or_nothing, cascade_resolution, range_join_enclosing, snapshot_diff, live_nodes, queue_upsert, pending_queue, embedding_counts, embedding_text,
+    exact_duplicate_groups, cosine_topk, timing_summary, metric_compare, reconciliation_check, timing_sanity, parameter_diff, redact_json, request_counters, json_extra_extract, redact_keys, section_lead,
 )}
 ORACLE = {
-    "import_bindings": BASE + ", i as (select repo_id, path, unnest(extra.imports) i from n where kind = 'FILE' and extra is not null) select distinct repo_id, path, i.module, i.name, coalesce(nullif(i.alias, ''), nullif(i.name, ''), i.module) \"alias\" from i where i.module is not null or i.name is not null",
+    "import_bindings": BASE + ", i as (select repo_id, path, unnest(extra.imports) i from n where kind = 'FILE' and extra is not null) select distinct repo_id, path, i.module, i.name, coalesce(nullif(i.alias, ''), nullif(nullif(i.name, ''), 'default'), i.module) \"alias\" from i where i.module is not null or i.name is not null",
     "unique_or_nothing": BASE + _UNIQUE + "select repo_id, name, id from un",
+    "module_resolution": BASE + """, py as (select repo_id, 'seen.py' path, replace(array_to_string(list_slice(string_split(regexp_replace(path, '\\.py$', ''), '/'), -2, -1), '/'), '/', '.') "module" from f where path like '%.py'),
+sc as (select repo_id, regexp_replace(path, '/[^/]*$', '') dir, regexp_replace(list_extract(string_split(path, '/'), -1), '\\.[^.]*$', '') stem from f where regexp_matches(path, '/[^/]*\\.(ts|tsx|js|jsx|mjs|cjs)$')),
+pc as (select distinct py.repo_id, py.path, "module", k, replace("module", '.', '/') || sfx cand from py, (values (0, '.py'), (1, '/__init__.py')) v(k, sfx)),
+ph as (select pc.*, f.path target, k pr, 'exact' how from pc join f on f.repo_id = pc.repo_id and f.path = cand union all
+  select pc.*, target, k + 20, 'suffix' from pc join (select repo_id, sfx, min(path) target from (select repo_id, path, array_to_string(list_slice(string_split(path, '/'), i, -1), '/') sfx from (select *, unnest(range(2, len(string_split(path, '/')) + 1)) i from f)) group by all having count(*) = 1) u on u.repo_id = pc.repo_id and u.sfx = cand),
+sh as (select distinct sc.repo_id, dir || '/below/seen.ts' path, './.././' || stem "module", f.path target, k pr from sc, (values (0, ''), (3, '.ts'), (4, '.tsx'), (5, '.js'), (6, '.jsx'), (7, '.mjs'), (8, '.cjs'), (9, '/index.ts'), (10, '/index.tsx'), (11, '/index.js'), (12, '/index.jsx'), (13, '/index.mjs'), (14, '/index.cjs')) v(k, sfx) join f on f.repo_id = sc.repo_id and f.path = dir || '/' || stem || sfx),
+al as (select repo_id, path, "module", target, how, pr from ph union all select repo_id, path, "module", target, 'exact', pr from sh)
+select repo_id, path, "module", target, how from (select *, row_number() over (partition by repo_id, path, "module" order by pr) o from al) where o = 1 and target <> path""",
     "range_join_enclosing": BASE + f""", d as (select * from n where kind in {_DEFS}), h as (select a.id, b.id \"owner\", b.end_line - b.start_line span, b.start_line s from d a join d b on a.repo_id = b.repo_id and a.path = b.path and a.id <> b.id
   and a.start_line between b.start_line and b.end_line and not (b.start_line = a.start_line and b.id > a.id)) select id, \"owner\", span from (select *, row_number() over (partition by id order by span, s, \"owner\") k from h) where k = 1""",
     "cascade_resolution": BASE + _UNIQUE + f""", d as (select repo_id, id, qname, kind from n where kind in {_DEFS} and qname is not null),
@@ -144,7 +186,8 @@ m as (select repo_id, qname, min(id) id from d where kind = 'METHOD' group by al
 r2 as (select c.repo_id, c.src, c.detail, m.id target, 2 rule from c join m on m.repo_id = c.repo_id and m.qname = sc || '.' || split_part(c.detail, '.', 2) where regexp_matches(c.detail, '^(self|cls|this)\\.') and len(string_split(c.detail, '.')) = 2),
 sf as (select repo_id, array_to_string(list_slice(p, i, len(p)), '.') sfx, min(id) id from (select repo_id, id, string_split(qname, '.') p, unnest(range(1, len(string_split(qname, '.')) + 1)) i from d) group by all having count(*) = 1),
 r3 as (select c.repo_id, c.src, c.detail, sf.id target, 3 rule from c join sf on sf.repo_id = c.repo_id and sf.sfx = c.detail where not regexp_matches(c.detail, '^(self|cls|this)\\.') and contains(c.detail, '.')),
-r4 as (select c.repo_id, c.src, c.detail, un.id target, 4 rule from c join un on un.repo_id = c.repo_id and un.name = list_extract(string_split(c.detail, '.'), -1) where not regexp_matches(c.detail, '^(self|cls|this)\\.')),
+un1 as (select repo_id, name, min(id) id from n where kind in ('FUNCTION', 'METHOD', 'CLASS') and name is not null group by all having count(*) = 1),
+r4 as (select c.repo_id, c.src, c.detail, un.id target, 4 rule from c join un1 un on un.repo_id = c.repo_id and un.name = list_extract(string_split(c.detail, '.'), -1) where not regexp_matches(c.detail, '^(self|cls|this)\\.')),
 al as (select * from r1 union all select * from r2 union all select * from r3 union all select * from r4)
 select repo_id, src, detail, target, rule from (select *, row_number() over (partition by repo_id, src, detail order by rule, target) k from al) where k = 1 and target <> src""",
     "snapshot_diff": BASE + f""", a as (select repo_id, {sql_path("path")} path, content_hash, indexed_at from files), l as (select repo_id, max(indexed_at) latest from a group by 1),
@@ -155,7 +198,8 @@ from o full join f on o.repo_id = f.repo_id and o.path = f.path""",
     "queue_upsert": _QUEUE + "select * from qu",
     "pending_queue": _QUEUE + "select node_id, repo_id, content_hash, queued_at, null::timestamp embedded_at from qu where embedded_at is null or embedded_at >= '2025-07-01' order by queued_at, node_id limit 100",
     "embedding_counts": _QUEUE + "select repo_id, count(*) filter (embedded_at is null) n_pending, count(embedded_at) n_embedded from qu group by all",
-    "reconciliation_check": _QUEUE + "select repo_id, count(*) n_queued, true balanced from qu group by all",
+    "reconciliation_check": _QUEUE + """, w as (select repo_id, count(*) n_nodes, count(*) filter (coalesce(content_hash, '') <> '') n_wanted from n where kind in ('FUNCTION','METHOD','CLASS','ROUTE','DOCSECTION') group by 1)
+select repo_id, n_nodes, n_wanted, n_queued, n_wanted = n_queued balanced from (select *, (select count(*) from qu where qu.repo_id is not distinct from w.repo_id) n_queued from w)""",
     "embedding_text": BASE + "select id, regexp_replace(left(array_to_string([x for x in [qname, signature, doc] if length(trim(coalesce(x, ''))) > 0], chr(10)), 384), chr(10) || '+$', '') text from n where kind in ('FUNCTION','METHOD','CLASS','ROUTE','DOCSECTION')",
     "cosine_topk": """with v as (select vec_id, embedding::double[] v from embeddings where embedding is not null), s as (select q.vec_id query_id, v.vec_id, round(list_cosine_similarity(q.v, v.v), 6) similarity from v q join v on v.vec_id <> q.vec_id where q.vec_id % 100 = 0)
 select * from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) "position" from s) where "position" <= 5""",
@@ -165,8 +209,13 @@ select event_type, any_value(n) n, round(min(v), 6) min_v, round(median(v), 6) p
     "metric_compare": """with c as (select event_type m, round(avg(value), 6) v from events where ts >= '2024-01-16' group by 1), b as (select event_type m, round(avg(value), 6) v from events where ts < '2024-01-16' group by 1),
 k as (select distinct event_type m, case when event_type < 'p' then 'lower' else 'higher' end dir from events)
 select k.m metric, c.v "current", b.v baseline, case when c.v is null or b.v is null then 'missing' when (dir = 'lower' and c.v < b.v) or (dir = 'higher' and c.v > b.v) then 'ok' else 'regression' end verdict from k left join c using (m) left join b using (m)""",
+    "timing_sanity": "select event_type, unnest(['present', 'counted', 'ordered', 'mean_within']) \"check\", true passed from (select distinct event_type from events where value is not null)",
+    "parameter_diff": f"""with t as (select repo_id, loaded_at >= '2025-07-01' late, {sql_kind('kind')} kind, count(*) c from edges where repo_id is not null and loaded_at is not null group by all), k as (select *, row_number() over (partition by repo_id, late order by c desc, kind) o from t where kind is not null),
+a as (select * from k where o = 1 and late), b as (select * from k where o = 1 and not late)
+select coalesce(a.repo_id, b.repo_id) "name", a.kind "current", b.kind baseline, case when b.repo_id is null then 'added' when a.repo_id is null then 'removed' else 'changed' end change from a full join b using (repo_id) where a.kind is distinct from b.kind""",
+    "redact_json": """select event_id, '{"event_type":"' || event_type || '","user":{"session_key":"[REDACTED]","inner":{"api_token":"[REDACTED]"}}}' record from events""",
     "request_counters": "select event_type, strftime(ts, '%Y-%m-%d') \"day\", count(*) n_events, count(distinct user_id) n_users, round(sum(value), 4) total from events group by all",
     "json_extra_extract": "select json_extract(props, '$.k')::bigint k, count(*) n, min(event_id) first_event from events group by all",
-    "redact_keys": "select event_id, json_extract_string(props, '$.k') k, '[redacted]' user_token from events",
+    "redact_keys": "select event_id, json_extract_string(props, '$.k') k, '[REDACTED]' user_token from events",
     "section_lead": BASE + "select repo_id, path, id, start_line, lead(start_line) over (partition by repo_id, path order by start_line, id) next_line from n where kind = 'DOCSECTION'",
 }

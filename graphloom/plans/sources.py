@@ -25,7 +25,7 @@ def parsed_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    return parse.markdown_sections(_texts(spark, d).filter(F.col("path").endswith(".md")))
+    return parse.markdown_sections(_texts(spark, d).filter(F.col("path").rlike(r"(?i)\.mdx?$")))
 
 
 def running_depth(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ _LINES = """with t as (select repo_id, regexp_replace(replace(path, chr(92), '/'
 """
 QUERIES = {f.__name__: f for f in (parsed_nodes, parsed_edges, markdown_sections, running_depth, generated_file_filter, streaming_event_counters)}
 ORACLE = {
-    "markdown_sections": _LINES + """, l as (select repo_id, path, len(p) n, unnest(p) line, unnest(range(1, len(p) + 1)) pos from (select *, string_split(replace(replace(head, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) p from t where path like '%.md')),
+    "markdown_sections": _LINES + """, l as (select repo_id, path, len(p) n, unnest(p) line, unnest(range(1, len(p) + 1)) pos from (select *, string_split(replace(replace(head, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) p from t where regexp_matches(lower(path), '\\.mdx?$'))),
 h as (select * from l where regexp_matches(line, '^#{1,6}\\s+\\S'))
 select repo_id, path, length(regexp_extract(line, '^(#+)', 1))::int "level", trim(regexp_extract(line, '^#+\\s+(.*)$', 1)) title, pos::int start_line, coalesce(lead(pos) over (partition by repo_id, path order by pos), n)::int end_line from h""",
     "running_depth": _LINES + """, l as (select repo_id, path, unnest(p) line, unnest(range(1, len(p) + 1)) pos from (select *, string_split(head, chr(10)) p from t)),

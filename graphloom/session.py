@@ -29,11 +29,13 @@ def session(app: str = "graphloom", cpus: int | str = "*", **conf: str) -> Spark
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, below ``spark.checkpoint.dir``.
 
-    Every executor must be able to read what another one wrote, so the folder comes from the session.
-    Only where the setting is absent (tests on one machine) a local folder is made and set.
+    Every executor must be able to read what another one wrote, so the folder comes from the session. Only on a local master a folder
+    of this machine takes the place of an absent setting; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)

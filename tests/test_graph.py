@@ -7,6 +7,7 @@ from collections import deque
 from datetime import datetime, timedelta
 
 from conftest import EDGES, NODES, TOMBS
+from pyspark.sql import functions as F
 
 from graphloom.operators import context, evaluation, model, neighbors, resolution, search, snapshots, symbols, traversal
 
@@ -126,14 +127,62 @@ def test_resolution_rules(spark, make):
     assert {r.id: r.owner for r in resolution.enclosing(n).collect()} == {"m1": "c", "m2": "c"}
 
 
+IMPORT_CASES = [  # importer, module, name, files besides it, target
+    ("pkg/a.py", ".b", "x", ["pkg/b.py"], "pkg/b.py"), ("pkg/a.py", ".", "b", ["pkg/b.py", "pkg/__init__.py"], "pkg/b.py"), ("pkg/a.py", ".", "name", ["pkg/__init__.py"], "pkg/__init__.py"), ("pkg/sub/a.py", "..b", None, ["pkg/b.py"], "pkg/b.py"),
+    ("a.py", ".", "x", ["__init__.py"], "__init__.py"), ("a.py", "...b", None, ["b.py"], None), ("pkg/a.py", "pkg.util", None, ["src/pkg/util/__init__.py"], "src/pkg/util/__init__.py"), ("a.py", "util", "sub", ["x/util/sub.py", "util.py"], "x/util/sub.py"),
+    ("a.py", "m", None, ["x/m.py", "y/m.py"], None), ("a.py", "m", None, ["m.py", "y/m.py"], "m.py"), ("a.py", "m", None, ["xm.py"], None), ("a.py", "a", None, [], None), ("a.py", "m", "*", ["m.py", "m/*.py"], "m.py"), ("a.py", "m", "default", ["m/default.py", "m.py"], "m.py"),
+    ("pkg/a.ts", "./lib", "y", ["pkg/lib.ts"], "pkg/lib.ts"), ("pkg/sub/a.ts", "../lib", None, ["pkg/lib.tsx"], "pkg/lib.tsx"), ("pkg/a.ts", "./x.js", None, ["pkg/x.ts"], "pkg/x.ts"), ("pkg/a.ts", "./x.js", None, ["pkg/x.js", "pkg/x.ts"], "pkg/x.js"),
+    ("pkg/a.ts", "./dir", None, ["pkg/dir/index.js"], "pkg/dir/index.js"), ("pkg/a.ts", "./dir", None, ["pkg/dir/index.js", "pkg/dir.cjs"], "pkg/dir.cjs"), ("pkg/a.ts", "../../out", None, ["out.ts"], None), ("a.ts", "././b/../c", None, ["c.mjs"], "c.mjs"),
+    ("pkg/a.ts", "react", None, ["react.ts", "pkg/react.ts"], None), ("pkg/a.py", "./lib", None, ["pkg/lib.ts"], None), ("README.md", "./lib", None, ["lib.ts"], None), ("a.py", None, "x", ["x.py"], None), ("a.py", " ", None, ["x.py"], None),
+]
+
+
 def test_import_resolution(spark, make):
     from conftest import FILES
 
-    imports = [dict(module=".b", name="x", alias=None), dict(module="pkg.util", name=None, alias="u"), dict(module="./lib", name="y", alias=None), dict(module="nowhere", name=None, alias=None)]
-    n = model.valid_nodes(make(NODES, [dict(id="f", repo_id="r", kind="File", path="pkg/a.py", extra=(imports and {"imports": imports, "language": "python"}), loaded_at=T)]))
-    files = make(FILES, [dict(repo_id="r", path=p) for p in ("pkg/a.py", "pkg/b.py", "src/pkg/util/__init__.py", "pkg/lib.ts")])
-    got = {r.module: (r.target, r.how) for r in resolution.resolve_imports(resolution.import_bindings(n), files).collect()}
-    assert got == {".b": ("pkg/b.py", "exact"), "pkg.util": ("src/pkg/util/__init__.py", "suffix"), "./lib": ("pkg/lib.ts", "exact")}
+    nodes, files, want = [], [], {}
+    for i, (importer, module, name, others, target) in enumerate(IMPORT_CASES):
+        imports = [dict(module=module, name=name, alias=None)]
+        nodes.append(dict(id=f"f{i}", repo_id=f"r{i}", kind="File", path=importer, extra={"imports": imports, "language": "any"}, loaded_at=T))
+        files += [dict(repo_id=f"r{i}", path=p) for p in [importer, *others]]
+        want[f"r{i}"] = target
+    got = {r.repo_id: r.target for r in resolution.resolve_imports(resolution.import_bindings(model.valid_nodes(make(NODES, nodes))), make(FILES, files)).collect()}
+    assert {k: got.get(k) for k in want} == want
+    assert resolution.resolve_imports(resolution.import_bindings(model.valid_nodes(make(NODES, []))), make(FILES, [])).count() == 0
+
+
+def test_normal_path(spark):
+    import posixpath
+
+    paths = ["a/./b", "a/../b", "../a", "a/../../b", "./", "a//b/", "", "x/y/../../../z/.."]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(resolution.normal_path(F.col("p")).alias("n")).collect()
+    assert [r.n or "." for r in got] == [posixpath.normpath(p or ".") for p in paths]
+
+
+def test_resolved_edges(spark, make):
+    """Classes, relative and star imports, scripts, aliases, duplicates, methods of the own class; resolved edges are rebuilt and nothing is doubled."""
+    row = lambda i, kind, name, qname, path, **k: dict(id=i, repo_id="r", kind=kind, name=name, qname=qname, path=path, start_line=1, loaded_at=T) | k
+    imp = lambda *b: {"imports": [dict(module=m, name=n, alias=a) for m, n, a in b], "language": "x"}
+    nodes = [
+        row("fa", "File", "a.py", "p/a.py", "p/a.py", extra=imp((".base", "Animal", None), (".one", "save", "keep"), (".two", "*", None))), row("fb", "File", "base.py", "p/base.py", "p/base.py"), row("f1", "File", "one.py", "p/one.py", "p/one.py"), row("f2", "File", "two.py", "p/two.py", "p/two.py"),
+        row("ft", "File", "t.ts", "w/t.ts", "w/t.ts", extra=imp(("./lib", "help", "h"), ("./lib", "default", "Lib"), ("./lib", None, "ns"))), row("fl", "File", "lib.ts", "w/lib.ts", "w/lib.ts"),
+        row("dog", "Class", "Dog", "p.a.Dog", "p/a.py"), row("bark", "Method", "bark", "p.a.Dog.bark", "p/a.py"), row("wag", "Method", "wag", "p.a.Dog.wag", "p/a.py"), row("ani", "Class", "Animal", "p.base.Animal", "p/base.py"), row("ani2", "Class", "Animal", "p.two.Animal", "p/two.py"),
+        row("s1", "Function", "save", "p.one.save", "p/one.py"), row("s2", "Function", "save", "p.two.save", "p/two.py"), row("star", "Function", "shine", "p.two.shine", "p/two.py"), row("shine2", "Function", "shine", "p.one.shine", "p/one.py"),
+        row("tf", "Function", "run", "w.t.run", "w/t.ts"), row("hp", "Function", "help", "w.lib.help", "w/lib.ts"), row("lib", "Class", "Lib", "w.lib.Lib", "w/lib.ts"), row("hp2", "Function", "help", "p.one.help", "p/one.py"),
+        *[row(f"x{n}", "ExternalSymbol", n, f"external:{n}", "") for n in ("Animal", "keep", "shine", "self.wag", "obj.save", "h", "ns.help", "Lib", "print")],
+    ]
+    edge = lambda src, name, kind, path, **k: dict(repo_id="r", owner_path=path, src=src, dst=f"x{name}", kind=kind, confidence="heuristic", detail=name, loaded_at=T) | k
+    edges = [edge("dog", "Animal", "EXTENDS", "p/a.py"), *[edge("bark", n, "CALLS", "p/a.py") for n in ("keep", "shine", "self.wag", "obj.save", "print")], *[edge("tf", n, "CALLS", "w/t.ts") for n in ("h", "ns.help", "Lib")]]
+    edges += [edge("bark", "keep", "CALLS", "p/a.py", dst="s2", confidence="resolved"), edge("tf", "h", "CALLS", "w/t.ts", dst="hp", confidence="exact"), edge("s1", "self.wag", "CALLS", "p/one.py")]
+    out = resolution.resolve_graph(model.valid_edges(make(EDGES, edges)), model.valid_nodes(make(NODES, nodes)))
+    new = {(r.src, r.kind, r.detail, r.dst) for r in out.filter("confidence = 'resolved'").collect()}
+    assert new == {
+        ("dog", "EXTENDS", "Animal", "ani"), ("bark", "CALLS", "keep", "s1"), ("bark", "CALLS", "shine", "star"), ("bark", "CALLS", "self.wag", "wag"), ("tf", "CALLS", "ns.help", "hp"), ("tf", "CALLS", "Lib", "lib"),
+        ("fa", "IMPORTS", ".base", "fb"), ("fa", "IMPORTS", ".one", "f1"), ("fa", "IMPORTS", ".two", "f2"), ("ft", "IMPORTS", "./lib", "fl"),
+    }
+    assert out.filter("confidence = 'exact'").count() == 1 and out.count() == 10 + 11
+    again = resolution.resolve_graph(out, model.valid_nodes(make(NODES, nodes)))
+    assert sorted(map(str, again.select(*out.columns).collect())) == sorted(map(str, out.collect()))
 
 
 def test_snapshots_and_queue(spark, make):
