@@ -10,31 +10,31 @@ from graphloom.session import stored
 
 
 def steps(edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
-    """(id, next, next_kind, rank, path, line): the moves of a traversal; up goes from dst to src. Dangling ends are dropped."""
+    """(id, next, next_kind, rank, conservative, path, line): the moves of a traversal; up goes from dst to src. Dangling ends are dropped."""
     near, far = ("src", "dst") if direction == "down" else ("dst", "src")
-    e = edges.filter(F.col("kind").isin(*TRAVERSED)).select(F.col(near).alias("id"), F.col(far).alias("next"), confidence_rank("confidence").alias("rank"))
-    e = e.groupBy("id", "next").agg(F.min("rank").alias("rank"))
+    e = edges.filter(F.col("kind").isin(*TRAVERSED)).select(F.col(near).alias("id"), F.col(far).alias("next"), confidence_rank("confidence").alias("rank"), (F.col("kind") == "IMPORTS").alias("conservative"))
+    e = e.groupBy("id", "next").agg(F.min("rank").alias("rank"), F.min("conservative").alias("conservative"))
     n = nodes.select(F.col("id").alias("next"), F.col("kind").alias("next_kind"), F.col("path").alias("next_path"), F.col("start_line").alias("next_line"))
     return e.join(n, "next")
 
 
 def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, direction: str = "down", depth: int | None = 3, max_nodes: int | None = None) -> DataFrame:
-    """(seed, id, distance, rank): nodes within ``depth`` moves of each seed (None: all that can be reached), with the least distance and, over the paths of that
-    distance, the weakest confidence of the best path. seeds: (seed, id). Nodes that are not expandable are reached, not left.
+    """(seed, id, distance, rank, conservative): nodes within ``depth`` moves of each seed (None: all that can be reached), with the least distance, over the paths of that
+    distance the weakest confidence of the best path, and whether only imports of files lead into it there. seeds: (seed, id). Nodes that are not expandable are reached, not left.
 
     A seed that has ``max_nodes`` after a level takes no further one: whatever came later would be farther than these.
     Each level is written to the shared folder, so the plan stays short and a lost executor costs one level.
     """
     moves = stored(steps(edges, nodes, direction), "steps")
-    found = seeds.select("seed", "id").distinct().withColumn("distance", F.lit(0)).withColumn("rank", F.lit(0)).withColumn("expand", F.lit(True))
+    found = seeds.select("seed", "id").distinct().withColumn("distance", F.lit(0)).withColumn("rank", F.lit(0)).withColumn("conservative", F.lit(False)).withColumn("expand", F.lit(True))
     frontier = out = stored(found, "reach-0")
     level = 0
     while depth is None or level < depth:
         level += 1
         near = frontier.filter("expand").select("seed", "id", F.col("rank").alias("so_far")).join(moves, "id")
-        new = near.groupBy("seed", F.col("next").alias("id")).agg(F.min(F.greatest("so_far", "rank")).alias("rank"), F.max(F.col("next_kind").isin(*EXPANDABLE)).alias("expand"))
+        new = near.groupBy("seed", F.col("next").alias("id")).agg(F.min(F.greatest("so_far", "rank")).alias("rank"), F.min("conservative").alias("conservative"), F.max(F.col("next_kind").isin(*EXPANDABLE)).alias("expand"))
         new = new.join(out.select("seed", "id"), ["seed", "id"], "left_anti")
-        frontier = stored(new.select("seed", "id", F.lit(level).alias("distance"), "rank", F.coalesce("expand", F.lit(False)).alias("expand")), f"reach-{level}")
+        frontier = stored(new.select("seed", "id", F.lit(level).alias("distance"), "rank", "conservative", F.coalesce("expand", F.lit(False)).alias("expand")), f"reach-{level}")
         if frontier.isEmpty():
             break
         out = out.unionByName(frontier)
@@ -63,17 +63,17 @@ def radius_files(reached: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int | None = None, max_nodes: int = 1000) -> DataFrame:
-    """(seed, direction, id, kind, qname, path, distance, confidence, position): both directions, at most ``max_nodes`` a seed and direction.
+    """(seed, direction, id, kind, qname, path, distance, confidence, position, conservative, n_reached): both directions, at most ``max_nodes`` a seed and direction.
 
-    Starts are those of ``radius_starts``. The limit is the operator's feature: nearest first, then better confidence, path, line and id.
+    n_reached is what the direction held before the limit, as far as it was walked. Starts are those of ``radius_starts``. The limit is the operator's feature: nearest first, then better confidence, path, line and id.
     """
     names = F.array(*[F.lit(x) for x in ("exact", "strong", "resolved", "heuristic")])
     parts = []
     for direction in ("up", "down"):
         r = reach(edges, nodes, radius_starts(edges, nodes, seeds, direction), direction, depth, max_nodes).filter("distance > 0").join(nodes.select("id", "kind", "qname", "path", "start_line"), "id")
         w = Window.partitionBy("seed").orderBy("distance", "rank", F.coalesce("path", F.lit("")), "start_line", "id")
-        r = r.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= max_nodes)
-        parts.append(r.select("seed", F.lit(direction).alias("direction"), "id", "kind", "qname", "path", "distance", F.element_at(names, F.col("rank") + 1).alias("confidence"), "position"))
+        r = r.withColumn("position", F.row_number().over(w)).withColumn("n_reached", F.count("*").over(Window.partitionBy("seed"))).filter(F.col("position") <= max_nodes)
+        parts.append(r.select("seed", F.lit(direction).alias("direction"), "id", "kind", "qname", "path", "distance", F.element_at(names, F.col("rank") + 1).alias("confidence"), "position", "conservative", "n_reached"))
     return parts[0].unionByName(parts[1])
 
 

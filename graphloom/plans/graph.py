@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import model, neighbors, symbols, traversal
+from graphloom.operators import impact, model, neighbors, symbols, traversal
 from graphloom.plans.sql import BASE, EXTERNAL
+from graphloom.session import stored
 from graphloom.sources.tables import table
 
 
@@ -103,7 +104,7 @@ def bfs_distance_up(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bfs_weakest_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.reach(E(spark, d), N(spark, d), _seeds(spark, d), "down", None).select("seed", "id", "distance", "rank")
+    return traversal.reach(E(spark, d), N(spark, d), _seeds(spark, d), "down", None).select("seed", "id", "distance", "rank", "conservative")
 
 
 def bfs_files(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +114,22 @@ def bfs_files(spark: SparkSession, d: str) -> DataFrame:
 
 def impact_blast_radius(spark: SparkSession, d: str) -> DataFrame:
     n = N(spark, d)
-    return traversal.blast_radius(E(spark, d), n, _sinks(spark, d), None, 1000)
+    return traversal.blast_radius(E(spark, d), n, _sinks(spark, d), None, 1000).drop("n_reached")
+
+
+def impact_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Ids, names of classes in another case, parts of function names, and what is no name at all."""
+    n = stored(N(spark, d), "valid-nodes")
+    ids = n.filter("kind = 'ROUTE'").select(F.upper("id").alias("query"))
+    names = n.filter("kind = 'CLASS' and name is not null").select(F.upper("name").alias("query"))
+    words = n.filter("kind = 'DOCSECTION' and name is not null").select(F.concat("name", F.lit(" zzqx")).alias("query"))
+    return impact.impact_targets(n, ids.unionByName(names).unionByName(words).distinct(), 5)
+
+
+def impact_report(spark: SparkSession, d: str) -> DataFrame:
+    """A report for each class, route and function."""
+    n, e = stored(N(spark, d), "valid-nodes"), stored(E(spark, d), "valid-edges")
+    return impact.impact_report(e, n, n.filter("kind in ('CLASS', 'ROUTE', 'FUNCTION')").select("id"))
 
 
 def impact_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -140,9 +156,9 @@ _LEFT = "('FILE', 'FUNCTION', 'METHOD', 'CLASS', 'ROUTE')"
 
 def _walk(name: str, near: str, far: str, starts: str) -> str:
     """A walk until nothing new is found, as a recursive table with one row per (seed, id)."""
-    return f""", m_{name} as (select e.{near} id, e.{far} nxt, min({_RANKED}) rk, bool_or(coalesce(n.kind in {_LEFT}, false)) x from e join n on n.id = e.{far} where e.kind in {_WALKED} group by all),
-{name} (seed, id, distance, rk, x) using key (seed, id) as (select distinct seed, id, 0, 0, true from ({starts}) union
-  select w.seed, m.nxt, min(w.distance) + 1, min(greatest(w.rk, m.rk)), bool_or(m.x) from {name} w join m_{name} m on m.id = w.id where w.x and not exists (select 1 from recurring.{name} o where o.seed = w.seed and o.id = m.nxt) group by w.seed, m.nxt)
+    return f""", m_{name} as (select e.{near} id, e.{far} nxt, min({_RANKED}) rk, bool_and(e.kind = 'IMPORTS') c, bool_or(coalesce(n.kind in {_LEFT}, false)) x from e join n on n.id = e.{far} where e.kind in {_WALKED} group by all),
+{name} (seed, id, distance, rk, c, x) using key (seed, id) as (select distinct seed, id, 0, 0, false, true from ({starts}) union
+  select w.seed, m.nxt, min(w.distance) + 1, min(greatest(w.rk, m.rk)), bool_and(m.c), bool_or(m.x) from {name} w join m_{name} m on m.id = w.id where w.x and not exists (select 1 from recurring.{name} o where o.seed = w.seed and o.id = m.nxt) group by w.seed, m.nxt)
 """
 
 
@@ -155,7 +171,7 @@ fl as (select repo_id, path, min(id) id from n where kind = 'FILE' group by all)
 """ + _walk("wd", "src", "dst", "select id seed, id from sk union select seed, id from df") + _walk("wu", "dst", "src", "select id seed, id from sk union select seed, id from df union select sk.id, fl.id from sk join fl on fl.repo_id = sk.repo_id and fl.path = sk.path where sk.kind <> 'FILE'") + """,
 bw as (select 'up' direction, * from wu union all select 'down', * from wd),
 bk as (select bw.*, n.kind, n.qname, n.path, row_number() over (partition by direction, seed order by distance, rk, coalesce(n.path, ''), n.start_line, n.id) "position" from bw join n using (id) where distance > 0),
-blast as (select seed, direction, id, kind, qname, path, distance, ['exact', 'strong', 'resolved', 'heuristic'][rk + 1] confidence, "position" from bk where "position" <= 1000)
+blast as (select seed, direction, id, kind, qname, path, distance, ['exact', 'strong', 'resolved', 'heuristic'][rk + 1] confidence, "position", c conservative from bk where "position" <= 1000)
 """
 
 _HITS = """, {q}, k as (select distinct query, n.id, n.name, n.qname, n.kind, n.path from n join q on {on}),
@@ -166,7 +182,7 @@ _NAMES = "qn as (select distinct upper(name) query from n where kind in ('CLASS'
 
 QUERIES = {f.__name__: f for f in (
     repo_status_counts, table_cardinalities, node_projection, edge_projection, degree_top_node, kind_histogram, graph_links, neighbors_out, neighbors_in, neighbors_dangling, impact_shadow_filter,
-    symbol_exact, symbol_substring, symbol_cascade, bfs_distance_down, bfs_distance_up, bfs_weakest_confidence, bfs_files, impact_blast_radius, impact_summary, impact_entrypoints,
+    symbol_exact, symbol_substring, symbol_cascade, bfs_distance_down, bfs_distance_up, bfs_weakest_confidence, bfs_files, impact_blast_radius, impact_summary, impact_targets, impact_report, impact_entrypoints,
 )}
 ORACLE = {
     "repo_status_counts": BASE + "select r.id repo_id, r.name, r.indexed_at, (select count(distinct path) from f where f.repo_id = r.id) n_files, (select count(distinct id) from n where n.repo_id = r.id) n_nodes from r",
@@ -185,10 +201,20 @@ select repo_id, kind, count(*) n_edges from j where not (kind = 'CALLS' and coal
     "symbol_exact": BASE + ", " + _NAMES + _HITS.format(q="q as (select query from qn)", on="lower(n.name) = lower(q.query) or lower(n.qname) = lower(q.query)") + "select query, id, name, qname, kind, path, position from p where position <= 20",
     "bfs_distance_down": _DOWN + "select seed, id, distance from walk",
     "bfs_distance_up": _UP + "select seed, id, distance from walk",
-    "bfs_weakest_confidence": _DOWN + "select seed, id, distance, rk rank from walk",
+    "bfs_weakest_confidence": _DOWN + "select seed, id, distance, rk rank, c conservative from walk",
     "bfs_files": _DOWN + f"select seed, path, min(distance) distance from walk join n using (id) where n.kind in {_LEFT} and path is not null group by all",
     "impact_entrypoints": _DOWN + "select walk.id seed, seed id, r.qname, distance from walk join n on n.id = walk.id join n r on r.id = seed where distance > 0 and n.kind = 'FUNCTION'",
     "impact_blast_radius": _BLAST + "select * from blast",
+    "impact_report": _BLAST.replace("sk as (select * from n where kind in ('FILE', 'FUNCTION', 'METHOD', 'CLASS'))", "sk as (select * from n where kind in ('CLASS', 'ROUTE', 'FUNCTION'))") + f""", nb as (select 'in' d, e.dst center, e.src other, e.* from e where dst in (select id from sk) union all select 'out', e.src, e.dst, e.* from e where src in (select id from sk)),
+nk as (select * from (select nb.*, n.kind nkind, row_number() over (partition by d, center order by coalesce(n.kind in {EXTERNAL}, false)::int, case lower(nb.confidence) when 'resolved' then 0 when 'strong' then 1 else 2 end, coalesce(n.path, ''), coalesce(n.start_line, 0), nb.kind, other, detail, coalesce(nb.owner_path, '')) o
+  from nb left join n on n.id = other) where o <= 200),
+me as (select distinct d, center, trim(detail) t from nk where kind = 'CALLS' and not coalesce(nkind in {EXTERNAL}, false) and trim(detail) <> ''),
+nx as (select * from nk where not (kind = 'CALLS' and coalesce(nkind, '') = 'EXTERNALSYMBOL' and exists (select 1 from me where me.d = nk.d and me.center = nk.center and me.t = trim(nk.detail)))),
+nc as (select center id, count(*) filter (d = 'in' and kind = 'CALLS') callers, count(*) filter (d = 'out' and kind = 'CALLS') callees, count(*) filter (d = 'in') incoming, count(*) filter (d = 'out') outgoing from nx group by 1),
+rc as (select seed id, count(*) filter (direction = 'up') upstream, count(*) filter (direction = 'down') downstream, count(*) filter (direction = 'up' and kind = 'ROUTE') entrypoints, count(*) filter (conservative) conservative from blast group by 1),
+fc as (select id, count(distinct path) files from (select id, path from sk union all select seed, path from blast where kind in ('FILE','FUNCTION','METHOD','CLASS','ROUTE','DOCSECTION')) where path <> '' group by 1),
+tr as (select seed id, max(c) > 1000 truncated from (select direction, seed, count(*) c from bk group by all) group by 1)
+select sk.id, {", ".join(f"coalesce({c}, 0) {c}" for c in ("callers", "callees", "incoming", "outgoing", "upstream", "downstream", "files", "entrypoints", "conservative"))}, coalesce(truncated, false) truncated from sk left join nc using (id) left join rc using (id) left join fc using (id) left join tr using (id)""",
     "impact_summary": _BLAST + "select seed, count(*) filter (direction = 'up') n_upstream, count(*) filter (direction = 'down') n_downstream, count(distinct path) n_files, count(*) filter (direction = 'up' and kind = 'ROUTE') n_entrypoints, max(distance) max_distance from blast group by seed",
     "symbol_substring": BASE + ", " + _PARTS + _HITS.format(q="q as (select query from qp)", on="contains(lower(n.qname), lower(q.query)) and q.query <> ''") + "select query, id, name, qname, kind, path, position from p where position <= 20",
     "symbol_cascade": BASE + ", " + _PARTS + ", " + _NAMES + ", qa as (select query from qp union select query from qn)" + _HITS.format(q="q as (select query from qa)", on="lower(n.name) = lower(q.query) or lower(n.qname) = lower(q.query)")
