@@ -1,4 +1,4 @@
-"""Context packs: hits ranked, deduplicated and fitted into a budget."""
+"""Context packs: hits ranked, deduplicated and fitted into a budget, with the reason for each and the neighbours of the first."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.model import EXTERNAL
+from graphloom.operators.neighbors import neighbors
 
 
 def shortened(c: Column | str, size: int = 800) -> Column:
@@ -46,3 +47,31 @@ def confidence_summary(hits: DataFrame, nodes: DataFrame) -> DataFrame:
         F.count("*").alias("n_hits"), F.countDistinct("path").alias("n_paths"), F.count_if(c == "exact").alias("e"), F.count_if(c == "strong").alias("s"), F.count("confidence").alias("n"))
     said = F.when(F.col("n") == 0, "none").when((F.col("n_hits") == 1) & (F.col("e") == 1), "exact").when(F.col("e") + F.col("s") == F.col("n"), "strong").otherwise("mixed")
     return g.select("qid", "n_hits", "n_paths", said.alias("confidence"))
+
+
+def reason(query: Column, name: Column, qname: Column, path: Column) -> Column:
+    """Why a node is a hit: the first of name, qualified name and path that contains the query, whatever the case."""
+    holds = lambda c: F.coalesce(F.contains(F.lower(c), F.lower(query)), F.lit(False))
+    return F.when(holds(name), "name match").when(holds(qname), "qualified-name match").when(holds(path), "path match").otherwise("full-text match")
+
+
+def context_items(packed: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, place, id, kind, qname, path, lines, doc, why, confidence): the items of a pack as they are read. packed: (qid, id, cost, place)."""
+    n = nodes.select("id", "kind", "name", "qname", "path", F.array("start_line", "end_line").alias("lines"), shortened(F.coalesce("doc", F.lit(""))).alias("doc"), F.coalesce("confidence", F.lit("unknown")).alias("confidence"))
+    both = packed.join(n, "id").join(queries.select("qid", "query"), "qid")
+    return both.select("qid", "place", "id", "kind", "qname", "path", "lines", "doc", reason(F.col("query"), F.col("name"), F.col("qname"), F.col("path")).alias("why"), "confidence")
+
+
+def related(hits: DataFrame, edges: DataFrame, nodes: DataFrame, first: int = 5, limit: int = 16) -> DataFrame:
+    """(qid, id, direction, node_id, kind, qname, node_kind, path, confidence, position): neighbours in the graph of the first hits of each query; dangling ones are left out.
+
+    Neighbours are looked up once for each node, however many queries it is a hit of. hits: (qid, id, position).
+    """
+    top = hits.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("position", "id"))).filter(F.col("_r") <= first).select("qid", "id")
+    centers, q = top.select("id").distinct(), nodes.select(F.col("id").alias("node_id"), "qname")
+    parts = []
+    for direction in ("in", "out"):
+        there = edges.join(nodes.select(F.col("id").alias("dst" if direction == "out" else "src")), "dst" if direction == "out" else "src", "left_semi")
+        near = neighbors(there, nodes, direction, limit, centers).join(q, "node_id")
+        parts.append(top.join(near.withColumnRenamed("center_id", "id"), "id").select("qid", "id", F.lit(direction).alias("direction"), "node_id", "kind", "qname", "node_kind", F.col("node_path").alias("path"), "confidence", "position"))
+    return parts[0].unionByName(parts[1])

@@ -10,15 +10,82 @@ from pyspark.sql import functions as F
 from graphloom.session import stored
 
 
+# Words of programs that say nothing about what they do.
+STOP_TERMS = (
+    "false none true and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield self cls super __init__".split()
+)
+
+
+def identifier_terms(c: Column | str) -> Column:
+    """The words of the identifiers of a text, in order: parts of camel case, digits, and each identifier whole; in lower case, of two characters or more, without STOP_TERMS."""
+    c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    names = F.regexp_extract_all(c, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    parts = lambda x: F.array_append(F.regexp_extract_all(x, F.lit("[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|[^A-Za-z0-9]|$)|[0-9]+"), F.lit(0)), x)
+    words = F.transform(F.flatten(F.transform(names, parts)), F.lower)
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_TERMS)))
+
+
+def import_terms(code: Column | str) -> Column:
+    """The identifier words of a program's import lines."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(code) if isinstance(code, str) else code, F.lit("")), "\r\n|\r|\n"), F.trim), lambda x: x.startswith("import ") | x.startswith("from "))
+    return identifier_terms(F.array_join(lines, "\n"))
+
+
+def sample_query(code: Column | str, lines: int = 12, limit: int = 96) -> Column:
+    """The query of a piece of code: identifier words of its last lines, the last line first, then of its imports; at most ``limit``."""
+    c = F.coalesce(F.col(code) if isinstance(code, str) else code, F.lit(""))
+    full = F.filter(F.split(c, "\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    last = F.reverse(F.slice(full, F.greatest(F.lit(1), F.size(full) - (lines - 1)), F.lit(lines)))
+    words = F.flatten(F.transform(last, identifier_terms))
+    return F.array_join(F.slice(F.array_distinct(F.concat(words, import_terms(c))), F.lit(1), F.lit(limit)), " ")
+
+
+def safe_path(c: Column | str, fallback: Column | str) -> Column:
+    """A relative path without ``.`` and ``..``; a missing one is the fallback; one without a suffix becomes Python."""
+    c, fallback = (F.col(x) if isinstance(x, str) else x for x in (c, fallback))
+    parts = lambda x: F.filter(F.split(F.translate(x, "\\", "/"), "/"), lambda p: ~p.isin("", ".", ".."))
+    own = F.array_join(parts(F.coalesce(c, F.lit(""))), "/")
+    path = F.when(own != "", own).otherwise(fallback)
+    return F.when(F.substring_index(path, "/", -1).rlike(r"[^.]\.[^.]+$"), path).otherwise(F.concat(path, F.lit(".py")))
+
+
+def sample_candidates(samples: DataFrame) -> DataFrame:
+    """(idx, order, path, gold, identifier, snippet) of samples (idx, context: array<struct<identifier, path, snippet>>, gold_snippet_index).
+
+    A path that an earlier candidate of the sample has gets the candidate's number, ``stem__ctx3.py``. Samples without candidates, or whose gold lies outside, give nothing; see ``skipped_samples``.
+    """
+    valid = samples.filter(F.coalesce((F.size("context") > 0) & F.col("gold_snippet_index").between(0, F.size("context") - 1), F.lit(False)))
+    each = valid.select("idx", "gold_snippet_index", F.posexplode("context").alias("order", "c")).withColumn("path", safe_path(F.col("c.path"), F.concat(F.lit("context_"), F.col("order").cast("string"), F.lit(".py"))))
+    again = F.row_number().over(Window.partitionBy("idx", "path").orderBy("order")) > 1
+    numbered = F.regexp_replace("path", r"(\.[^./]*)$", F.concat(F.lit("__ctx"), F.col("order").cast("string"), F.lit("$1")))
+    rows = each.withColumn("again", again)
+    return rows.select("idx", "order", F.when(F.col("again"), numbered).otherwise(F.col("path")).alias("path"), (F.col("order") == F.col("gold_snippet_index")).alias("gold"), F.coalesce("c.identifier", F.lit("")).alias("identifier"), F.coalesce("c.snippet", F.lit("")).alias("snippet"))
+
+
+def skipped_samples(samples: DataFrame) -> DataFrame:
+    """(idx, reason) of samples that cannot be evaluated."""
+    reason = F.when(F.coalesce(F.size("context"), F.lit(0)) <= 0, "no context list").when(~F.coalesce(F.col("gold_snippet_index").between(0, F.size("context") - 1), F.lit(False)), "gold_snippet_index is outside context list")
+    return samples.select("idx", reason.alias("reason")).filter("reason is not null")
+
+
 def rerank(candidates: DataFrame) -> DataFrame:
-    """(qid, id, score, rank): candidates (qid, id, position, query_terms, name_terms, path_terms, body_terms) by overlap with the query's words.
+    """(qid, id, score, rank): candidates (qid, id, position, query_terms, name_terms, path_terms, body_terms[, import_terms]) by overlap with the query's words.
 
-    Weights: 8 for a shared name word, 6 for a path word, 1 for a body word, and up to 9 for an early place in retrieval. Scores of 0 or less are dropped.
+    Weights for a shared word of the query: 8 in the name, 6 in the path, 1 in the body, and 4, 3, 0.35 more times 1 - k / 40 for the k-th of its first 32 words; for a word of
+    the imports: 12 in the path, 10 in the name, 0.75 in the body; and up to 9 for an early place in retrieval (position counts from 1; null: not retrieved). Scores of 0 or less are dropped.
     """
-    over = lambda c: F.size(F.array_intersect("query_terms", c))
-    score = over("name_terms") * 8.0 + over("path_terms") * 6.0 + over("body_terms") * 1.0 + F.greatest(F.lit(0), 12 - F.col("position")) * 0.75
+    if "import_terms" not in candidates.columns:
+        candidates = candidates.withColumn("import_terms", F.array().cast("array<string>"))
+    over = lambda a, c: F.size(F.array_intersect(a, c))
+    first = F.slice("query_terms", F.lit(1), F.lit(32))
+    fade = lambda w: 1.0 - (F.array_position(first, w) - 1) / 40.0
+    faded = lambda c: F.aggregate(F.array_intersect(first, F.col(c)), F.lit(0.0), lambda s, w: s + fade(w))
+    score = (
+        over("query_terms", "name_terms") * 8.0 + over("query_terms", "path_terms") * 6.0 + over("query_terms", "body_terms") * 1.0 + over("import_terms", "path_terms") * 12.0 + over("import_terms", "name_terms") * 10.0
+        + over("import_terms", "body_terms") * 0.75 + faded("name_terms") * 4.0 + faded("path_terms") * 3.0 + faded("body_terms") * 0.35 + F.coalesce(F.greatest(F.lit(0), 13 - F.col("position")) * 0.75, F.lit(0.0))
+    )
     scored = candidates.withColumn("score", F.round(score, 6)).filter("score > 0")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "position", "id"))).select("qid", "id", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.col("position").asc_nulls_last(), "id"))).select("qid", "id", "score", "rank")
 
 
 def hit_rates(ranks: DataFrame, *groups: str, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

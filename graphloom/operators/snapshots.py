@@ -50,6 +50,31 @@ def embedding_queue(nodes: DataFrame, previous: DataFrame) -> DataFrame:
     )
 
 
+def upsert_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(node_id, repo_id, dims, model, embedded_at, ...): embeddings with new ones in place of old; of several new ones for a node the last."""
+    fresh = last_wins(new, ["node_id"], ["embedded_at", "model"])
+    return old.join(fresh.select("node_id"), "node_id", "left_anti").unionByName(fresh)
+
+
+def complete(queue: DataFrame, embedded: DataFrame) -> DataFrame:
+    """The queue with the times of what was embedded. embedded: (node_id, embedded_at)."""
+    done = embedded.groupBy("node_id").agg(F.max("embedded_at").alias("_done"))
+    return queue.join(done, "node_id", "left").withColumn("embedded_at", F.coalesce("_done", "embedded_at")).drop("_done")
+
+
+def drop_stale(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Queue entries or embeddings whose node still exists."""
+    return rows.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+
+
+def remove_missing_files(nodes: DataFrame, edges: DataFrame, queue: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and queue without what belongs to files that are gone. Rows are owned by (repo_id, owner_path); one without an owner stays. live: (repo_id, path)."""
+    owner = live.select("repo_id", F.col("path").alias("owner_path")).distinct()
+    kept = lambda df: df.filter("owner_path is null or repo_id is null").unionByName(df.join(owner, ["repo_id", "owner_path"], "left_semi").select(*df.columns))
+    n = kept(nodes)
+    return n, kept(edges), drop_stale(queue, n)
+
+
 def pending(queue: DataFrame, limit: int = 32) -> DataFrame:
     """The next rows of the queue: first in, first out."""
     return queue.filter("embedded_at is null").orderBy("queued_at", "node_id").limit(limit)

@@ -22,7 +22,7 @@ def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, direction: str =
     """(seed, id, distance, rank, conservative): nodes within ``depth`` moves of each seed (None: all that can be reached), with the least distance, over the paths of that
     distance the weakest confidence of the best path, and whether only imports of files lead into it there. seeds: (seed, id). Nodes that are not expandable are reached, not left.
 
-    A seed that has ``max_nodes`` after a level takes no further one: whatever came later would be farther than these.
+    A seed that has more than ``max_nodes`` after a level takes no further one: whatever came later would be farther than these.
     Each level is written to the shared folder, so the plan stays short and a lost executor costs one level.
     """
     moves = stored(steps(edges, nodes, direction), "steps")
@@ -39,7 +39,7 @@ def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, direction: str =
             break
         out = out.unionByName(frontier)
         if max_nodes is not None:
-            full = out.filter("distance > 0").groupBy("seed").agg(F.count("*").alias("c")).filter(F.col("c") >= max_nodes)
+            full = out.filter("distance > 0").groupBy("seed").agg(F.count("*").alias("c")).filter(F.col("c") > max_nodes)
             frontier = frontier.join(full, "seed", "left_anti")
     return out.drop("expand")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,25 @@ def pending_queue(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.pending(queue_upsert(spark, d).withColumn("embedded_at", F.when(F.col("embedded_at") < F.lit("2025-07-01").cast("timestamp_ntz"), F.col("embedded_at"))), 100)
 
 
+def embedding_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Queue and embeddings after a run that embedded the pending nodes whose id begins with a digit: what is there, by repo and model."""
+    q = queue_upsert(spark, d)
+    old = q.filter("embedded_at is not null").select("node_id", "repo_id", F.lit(64).alias("dims"), F.lit("old").alias("model"), "embedded_at")
+    new = q.filter("embedded_at is null and node_id < 'a'").select("node_id", "repo_id", F.lit(384).alias("dims"), F.lit("new").alias("model"), F.col("queued_at").alias("embedded_at"))
+    done = snapshots.complete(q, new).select("node_id", F.col("embedded_at").isNull().alias("pending"))
+    there = snapshots.upsert_embeddings(old, new).select("node_id", "model", "dims")
+    return q.select("node_id", "repo_id").join(done, "node_id").join(there, "node_id", "left").groupBy("repo_id", "model", "dims").agg(F.count("*").alias("n_nodes"), F.count_if("pending").alias("n_pending"))
+
+
+def removed_files(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of nodes, edges and queue by repo once all that belongs to files that the latest index run of their repo no longer has is gone."""
+    f = model.valid_files(table(spark, d, "files"))
+    last = f.groupBy("repo_id").agg(F.max("indexed_at").alias("at"))
+    live = f.join(last, "repo_id").filter("indexed_at >= at - 86400 * 90")
+    parts = snapshots.remove_missing_files(N(spark, d), E(spark, d), queue_upsert(spark, d), live)
+    return reduce(DataFrame.unionByName, [p.groupBy("repo_id").agg(F.count("*").alias("n_left")).select("repo_id", F.lit(t).alias("table_name"), "n_left") for t, p in zip(("nodes", "edges", "queue"), parts)])
+
+
 def embedding_counts(spark: SparkSession, d: str) -> DataFrame:
     return queue_upsert(spark, d).groupBy("repo_id").agg(F.count_if(F.col("embedded_at").isNull()).alias("n_pending"), F.count_if(F.col("embedded_at").isNotNull()).alias("n_embedded"))
 
@@ -163,7 +184,7 @@ _UNIQUE = f""", u as (select repo_id, name, count(*) filter (kind in ('FUNCTION'
 un as (select repo_id, name, case when a = 1 then ai when a = 0 and b = 1 then bi end id from u where a = 1 or (a = 0 and b = 1))
 """
 QUERIES = {f.__name__: f for f in (
-    import_bindings, import_resolution, module_resolution, resolved_edges, unique_or_nothing, cascade_resolution, range_join_enclosing, snapshot_diff, live_nodes, queue_upsert, pending_queue, embedding_counts, embedding_text,
+    import_bindings, import_resolution, module_resolution, resolved_edges, unique_or_nothing, cascade_resolution, range_join_enclosing, snapshot_diff, live_nodes, queue_upsert, pending_queue, embedding_upsert, removed_files, embedding_counts, embedding_text,
     exact_duplicate_groups, cosine_topk, timing_summary, metric_compare, reconciliation_check, timing_sanity, parameter_diff, redact_json, request_counters, json_extra_extract, redact_keys, section_lead,
 )}
 ORACLE = {
@@ -197,6 +218,11 @@ from o full join f on o.repo_id = f.repo_id and o.path = f.path""",
     "live_nodes": BASE + f", t as (select {sql_id('node_id')} id, max(removed_at) gone from tombstones group by 1) select repo_id, kind, count(*) n_live from n left join t using (id) where t.gone is null or n.loaded_at > t.gone group by all",
     "queue_upsert": _QUEUE + "select * from qu",
     "pending_queue": _QUEUE + "select node_id, repo_id, content_hash, queued_at, null::timestamp embedded_at from qu where embedded_at is null or embedded_at >= '2025-07-01' order by queued_at, node_id limit 100",
+    "embedding_upsert": _QUEUE + """, x as (select *, case when embedded_at is not null then 'old' when node_id < 'a' then 'new' end model from qu)
+select repo_id, model, case model when 'old' then 64 when 'new' then 384 end dims, count(*) n_nodes, count(*) filter (model is null) n_pending from x group by all""",
+    "removed_files": _QUEUE + """, lv as (select repo_id, path from (select *, max(indexed_at) over (partition by repo_id) latest from f) where indexed_at >= latest - 86400 * 90),
+kn as (select * from n where owner_path is null or repo_id is null or exists (select 1 from lv where lv.repo_id = n.repo_id and lv.path = n.owner_path)), ke as (select * from e where owner_path is null or repo_id is null or exists (select 1 from lv where lv.repo_id = e.repo_id and lv.path = e.owner_path))
+select repo_id, 'nodes' table_name, count(*) n_left from kn group by all union all select repo_id, 'edges', count(*) from ke group by all union all select repo_id, 'queue', count(*) from qu where node_id in (select id from kn) group by all""",
     "embedding_counts": _QUEUE + "select repo_id, count(*) filter (embedded_at is null) n_pending, count(embedded_at) n_embedded from qu group by all",
     "reconciliation_check": _QUEUE + """, w as (select repo_id, count(*) n_nodes, count(*) filter (coalesce(content_hash, '') <> '') n_wanted from n where kind in ('FUNCTION','METHOD','CLASS','ROUTE','DOCSECTION') group by 1)
 select repo_id, n_nodes, n_wanted, n_queued, n_wanted = n_queued balanced from (select *, (select count(*) from qu where qu.repo_id is not distinct from w.repo_id) n_queued from w)""",

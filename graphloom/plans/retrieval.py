@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import context, evaluation, search
-from graphloom.plans.graph import N
+from graphloom.operators import context, evaluation, model, search
+from graphloom.plans.graph import E, N
 from graphloom.plans.sql import BASE, EXTERNAL, sql_terms
 from graphloom.session import stored
 from graphloom.sources.tables import table
@@ -88,6 +88,45 @@ def context_summary_confidence(spark: SparkSession, d: str) -> DataFrame:
     return context.confidence_summary(_candidates(spark, d), N(spark, d))
 
 
+def context_must_read(spark: SparkSession, d: str) -> DataFrame:
+    """The items of each pack with the reason for each."""
+    n = _once(spark, d)
+    q = _sections(n)
+    packed = context.context_pack(search.bm25(search.index(n), q, False, 20), n, 1000)
+    return context.context_items(packed, n, q).select("qid", "place", "id", "why", "confidence", F.length("doc").alias("n_doc"))
+
+
+def context_related(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of the first five hits of each query."""
+    n = _once(spark, d)
+    return context.related(search.bm25(search.index(n), _sections(n), False, 5), E(spark, d), n).select("qid", "id", "direction", "node_id", "kind", "position")
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """A retrieval sample for each function: the code of its file up to it, and as candidates the ten definitions around it in its file, itself the gold one."""
+    n = N(spark, d).filter("kind in ('FUNCTION', 'METHOD') and path is not null and qname is not null")
+    around = Window.partitionBy("repo_id", "path").orderBy("start_line", "id")
+    one = F.struct(F.col("qname").alias("identifier"), F.concat_ws("/", "path", "name").alias("path"), F.coalesce("doc", F.lit("")).alias("snippet"))
+    each = n.select("id", "repo_id", "path", "start_line", F.collect_list(one).over(around.rowsBetween(-5, 4)).alias("context"), F.least(F.lit(5), F.row_number().over(around) - 1).alias("gold_snippet_index"))
+    text = table(spark, d, "file_texts").select("repo_id", model.clean_path("path").alias("path"), "head").filter("head is not null").groupBy("repo_id", "path").agg(F.max("head").alias("head"))
+    code = F.array_join(F.slice(F.split("head", "\n"), F.lit(1), F.greatest(F.lit(1), F.col("start_line"))), "\n")
+    return each.join(text, ["repo_id", "path"]).select(F.col("id").alias("idx"), code.alias("cropped_code"), "context", "gold_snippet_index")
+
+
+def sample_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Where the gold candidate of each sample comes out, by the words of the code before it."""
+    s = stored(_samples(spark, d), "samples")
+    words = s.select(F.col("idx").alias("qid"), F.split(evaluation.sample_query("cropped_code", 5), " ").alias("query_terms"), evaluation.import_terms("cropped_code").alias("import_terms"))
+    words = words.withColumn("query_terms", F.array_distinct(F.transform("query_terms", F.lower)))
+    c = evaluation.sample_candidates(s).select(F.col("idx").alias("qid"), F.col("path").alias("id"), "gold", *[evaluation.identifier_terms(x).alias(f"{k}_terms") for k, x in (("name", "identifier"), ("path", "path"), ("body", "snippet"))])
+    ranked = evaluation.rerank(c.join(words, "qid").withColumn("position", F.lit(None).cast("int")))
+    return c.filter("gold").select("qid", "id").join(ranked, ["qid", "id"], "left").select("qid", "id", "score", "rank")
+
+
+def sample_hits(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.hit_rates(sample_ranks(spark, d))
+
+
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     n = N(spark, d)
     hits = _candidates(spark, d)
@@ -158,9 +197,16 @@ t6 as (select q.qid, n.id, 6 t, row_number() over (partition by q.qid order by c
 f7 as (select * from f6 union all select * from t6 where "position" <= 20)
 """
 
+#: Packs, item by item.
+_PACK = _TOP.replace("with n as", "with recursive n as", 1) + f""", ct as (select tier.*, coalesce(kind in {EXTERNAL}, false)::int ext, path, start_line, end_line, greatest(120, floor(({" + ".join(f"least(800, length(coalesce({c}, '')))" for c in ("qname", "path", "signature", "doc"))} + 160) / 4))::int "cost" from tier join n using (id)),
+it as (select *, row_number() over (partition by qid order by ext, "position", id) i from (select *, row_number() over (partition by qid, path, start_line, end_line order by "position", id) o from ct) where o = 1),
+pk as (select distinct qid, 0::bigint i, 1000 room, 0 place, null::varchar id, 0 "cost", false took from it union all
+  select pk.qid, it.i, case when pk.room > 0 and (it."cost" <= pk.room or place = 0) then pk.room - it."cost" else pk.room end, case when pk.room > 0 and (it."cost" <= pk.room or place = 0) then place + 1 else place end, it.id, it."cost", pk.room > 0 and (it."cost" <= pk.room or place = 0)
+  from pk join it on it.qid = pk.qid and it.i = pk.i + 1) """
+
 QUERIES = {f.__name__: f for f in (
     tokenize_terms, search_postings, corpus_stats, search_and_bm25, search_or_bm25, search_path_tier, search_column_tier, search_tiered, substring_fallback, search_path_priority, external_like_fill,
-    context_pack_budget, context_summary_confidence, rerank_scores, hit_at_k_mrr, hit_by_bucket_level,
+    context_pack_budget, context_must_read, context_related, sample_ranks, sample_hits, context_summary_confidence, rerank_scores, hit_at_k_mrr, hit_by_bucket_level,
 )}
 ORACLE = {
     "tokenize_terms": f"select term, count(*) n from (select unnest({sql_terms('text')}) term from documents) where term <> '' group by all",
@@ -177,17 +223,19 @@ ORACLE = {
 m as (select *, case when row_number() over (partition by qid order by priority, "position", path, start_line, qname, id) = 1 then 0 else "position" end moved from b)
 select qid, id, path, priority, row_number() over (partition by qid order by moved, id) place from m""",
     "external_like_fill": _SEARCH + _EXTERNAL + """select qid, id, qname, "position" from xk where "position" <= 20""",
-    "context_pack_budget": _TOP.replace("with n as", "with recursive n as", 1) + f""", ct as (select tier.*, coalesce(kind in {EXTERNAL}, false)::int ext, path, start_line, end_line, greatest(120, floor(({" + ".join(f"least(800, length(coalesce({c}, '')))" for c in ("qname", "path", "signature", "doc"))} + 160) / 4))::int "cost" from tier join n using (id)),
-it as (select *, row_number() over (partition by qid order by ext, "position", id) i from (select *, row_number() over (partition by qid, path, start_line, end_line order by "position", id) o from ct) where o = 1),
-pk as (select distinct qid, 0::bigint i, 1000 room, 0 place, null::varchar id, 0 "cost", false took from it union all
-  select pk.qid, it.i, case when pk.room > 0 and (it."cost" <= pk.room or place = 0) then pk.room - it."cost" else pk.room end, case when pk.room > 0 and (it."cost" <= pk.room or place = 0) then place + 1 else place end, it.id, it."cost", pk.room > 0 and (it."cost" <= pk.room or place = 0)
-  from pk join it on it.qid = pk.qid and it.i = pk.i + 1) select qid, id, "cost", place from pk where took""",
+    "context_pack_budget": _PACK + "select qid, id, \"cost\", place from pk where took",
+    "context_must_read": _PACK + """select pk.qid, place, pk.id, case when contains(lower(coalesce(name, '')), query) then 'name match' when contains(lower(coalesce(qname, '')), query) then 'qualified-name match' when contains(lower(coalesce(path, '')), query) then 'path match' else 'full-text match' end why,
+  coalesce(confidence, 'unknown') confidence, least(800, length(coalesce(doc, '')))::int n_doc from pk join q using (qid) join n on n.id = pk.id where took""",
+    "context_related": _TOP + f""", t5 as (select qid, id from tier where "position" <= 5), nb as (select 'in' direction, e.dst center, e.src other, e.* from e union all select 'out', e.src, e.dst, e.* from e),
+nk as (select nb.*, row_number() over (partition by direction, center order by coalesce(n.kind in {EXTERNAL}, false)::int, case lower(nb.confidence) when 'resolved' then 0 when 'strong' then 1 else 2 end, coalesce(n.path, ''), coalesce(n.start_line, 0), nb.kind, other, detail, coalesce(nb.owner_path, '')) o from nb join n on n.id = other)
+select t5.qid, t5.id, direction, other node_id, kind, o "position" from t5 join nk on nk.center = t5.id where o <= 16""",
     "context_summary_confidence": _TOP + """, g as (select qid, count(*) n_hits, count(distinct path) n_paths, count(*) filter (lower(confidence) = 'exact') e, count(*) filter (lower(confidence) = 'strong') s, count(confidence) c from tier join n using (id) group by qid)
 select qid, n_hits, n_paths, case when c = 0 then 'none' when n_hits = 1 and e = 1 then 'exact' when e + s = c then 'strong' else 'mixed' end confidence from g""",
 }
-_RANK = _TOP + """, m as (select tier.qid, tier.id, "position", count(distinct case when field = 'name' then p.term end) nm, count(distinct case when field = 'path' then p.term end) pa, count(distinct case when field = 'doc' then p.term end) bo
-  from tier left join qt using (qid) left join p on p.id = tier.id and p.term = qt.term group by all),
-sc as (select qid, id, "position", round(nm * 8.0 + pa * 6.0 + bo * 1.0 + greatest(0, 12 - "position") * 0.75, 6)::double score from m),
+_RANK = _TOP + f""", qw as (select qid, unnest(w) term, unnest(range(1, len(w) + 1)) k from (select qid, list_filter(ws, lambda x, i: x <> '' and list_position(ws, x) = i) w from (select qid, {sql_terms("query")} ws from q))),
+m as (select tier.qid, tier.id, "position", sum(case when k <= 32 then 1 - (k - 1) / 40.0 else 0 end * case field when 'name' then 4 when 'path' then 3 else 0.35 end + case field when 'name' then 8 when 'path' then 6 else 1 end) s
+  from tier join qw using (qid) join p on p.id = tier.id and p.term = qw.term and field in ('name', 'path', 'doc') group by all),
+sc as (select tier.qid, tier.id, tier."position", round(coalesce(s, 0) + greatest(0, 13 - tier."position") * 0.75, 6)::double score from tier left join m using (qid, id)),
 rk as (select qid, id, score, row_number() over (partition by qid order by score desc, "position", id) rank from sc where score > 0),
 gold as (select q.qid, split_part(n.path, '/', 1) split, (select min(rank) from rk where rk.qid = q.qid and rk.id = q.qid) rank, (select count(*) from rk where rk.qid = q.qid) c from q join n on n.id = q.qid),
 gb as (select *, case when c < 5 then '<5' when c < 10 then '5-9' else '>=10' end bucket from gold)

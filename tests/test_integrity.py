@@ -57,6 +57,18 @@ def test_orphan_states(spark, make):
     assert found(orphan_references(extra, nodes, shared, tombs, files)) == want
 
 
+def test_late_references_are_counted_one_by_one(spark, make):
+    rnd = random.Random(8)
+    nodes = [dict(id=f"n{i}", loaded_at=T + i * DAY) for i in range(20)]
+    edges = [dict(repo_id=rnd.choice(["r", None]), src=f"n{rnd.choice([3, rnd.randrange(20)])}", loaded_at=T + rnd.randrange(25) * DAY) for _ in range(600)]
+    got = {(r.repo_id, r.ref_value, r.ref_month): r.n_refs for r in orphan_references(make(EDGES, edges), make(NODES, nodes), make(NODES, []), make(TOMBS, []), make(FILES, []), heavy_groups=1).collect()}
+    want = defaultdict(int)
+    for e in edges:
+        if e["loaded_at"] < T + int(e["src"][1:]) * DAY:
+            want[e["repo_id"], e["src"], e["loaded_at"].strftime("%Y-%m")] += 1
+    assert got == want
+
+
 def test_orphans_of_empty_tables(spark, make):
     e = make(EDGES, [dict(repo_id="r", src="a", dst="b", owner_path="p", loaded_at=T)])
     empty = [make(NODES, []), make(NODES, []), make(TOMBS, []), make(FILES, [])]
