@@ -58,9 +58,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(posts: DataFrame, queries: DataFrame, every: bool, limit: int | None = None) -> DataFrame:
     """(qid, id, n_hit, score): nodes that hold every (or any) word of a query; less is better, as in SQLite's FTS5.
 
-    Sums run over all searched columns, counts over the whole corpus. A word in more than half of the nodes counts next to nothing.
+    Sums run over all searched columns, counts over the whole corpus. A word in more than half of the nodes counts next to nothing. With a limit, the nodes
+    of the ``limit`` best scores of each query, of equal ones those with the least ids.
     """
-    q = query_terms(queries)
+    q = stored(query_terms(queries), "query-words")
     doc_len = posts.groupBy("id").agg(F.sum("tf").alias("dl"))
     tf = posts.join(q.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -68,18 +69,21 @@ def bm25(posts: DataFrame, queries: DataFrame, every: bool, limit: int | None =
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
-    weighed = q.join(df, "term")
+    # What a word adds to a node is the same for all queries: worked out once, before queries meet it. Few bytes here become many pairs, so they are spread
+    # evenly by node; where the queries' words are small enough for Spark to broadcast them, a node's pairs are made, added up and cut to the limit in one task,
+    # and only the best of each task are shuffled. Beyond that size they are joined by word.
+    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    worth = tf.join(df, "term").join(doc_len, "id").select("id", "term", "df", gain.alias("gain")).repartition(parts, "id")
     if every:
+        worth = stored(worth, "worth")
         # A node with every word has the query's rarest one: only its nodes are looked up for the others. A word nobody has ends the query.
-        known = weighed.withColumn("n_known", F.count("*").over(Window.partitionBy("qid"))).filter("n_known = n_terms")
+        known = q.join(worth.groupBy("term").agg(F.max("df").alias("df")), "term").withColumn("n_known", F.count("*").over(Window.partitionBy("qid"))).filter("n_known = n_terms")
         rarest = known.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("df", "term"))).filter("r = 1").select("qid", "term")
-        pairs = tf.join(rarest, "term").select("qid", "id").join(known.select("qid", "term", "n_terms", "df"), "qid")
-        hits = pairs.join(tf, ["id", "term"])
-        complete = hits.groupBy("qid", "id").agg(F.count("*").alias("c"), F.max("n_terms").alias("n")).filter("c = n").select("qid", "id")
-        hits = hits.join(complete, ["qid", "id"], "left_semi").join(doc_len, "id")
+        hits = worth.select("id", "term").join(rarest, "term").select("qid", "id").join(q, "qid").join(worth, ["id", "term"])
     else:
-        hits = tf.join(weighed, "term").join(doc_len, "id")
-    out = hits.groupBy("qid", "id").agg(F.count("*").alias("n_hit"), F.round(-F.sum(gain), 6).alias("score"))
+        hits = worth.join(q, "term")
+    out = hits.groupBy("qid", "id").agg(F.count("*").alias("n_hit"), F.round(-F.sum("gain"), 6).alias("score"), F.max("n_terms").alias("n_terms"))
+    out = (out.filter("n_hit = n_terms") if every else out).drop("n_terms")
     return out if limit is None else first_per_query(out, [F.col("score"), F.col("id")], limit)
 
 
