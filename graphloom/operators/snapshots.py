@@ -97,6 +97,10 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return h.join(g, "h").select("doc_id", "class_id", "n_copies")
 
 
+#: Queries scored against a batch at a time.
+SCORED = 256
+
+
 def nearest_vectors(vectors: DataFrame, k: int = 5, every: int = 100) -> DataFrame:
     """(query_id, vec_id, similarity, position): the k most similar vectors, by cosine, of each query; the queries are ids divisible by ``every``.
 
@@ -121,13 +125,13 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, every: int = 100) -> DataFra
                     continue
                 v = np.stack(b["embedding"].to_numpy()).astype(np.float64)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
-                sim = np.round(q @ v.T, 6)
                 own = b["vec_id"].to_numpy()
-                sim[ids[:, None] == own[None, :]] = -2
-                for i in range(len(ids)):
-                    best = np.lexsort((own, -sim[i]))[:k]
-                    best = best[sim[i][best] > -2]
-                    yield pd.DataFrame({"query_id": ids[i], "vec_id": own[best], "similarity": sim[i][best]})
+                for at in range(0, len(ids), SCORED):  # so many queries at a time bound the matrix
+                    sim = np.round(q[at : at + SCORED] @ v.T, 6)
+                    sim[ids[at : at + SCORED, None] == own[None, :]] = -2
+                    best = [np.lexsort((own, -s))[:k] for s in sim]
+                    best = [x[s[x] > -2] for x, s in zip(best, sim)]
+                    yield pd.DataFrame({"query_id": np.repeat(ids[at : at + SCORED], list(map(len, best))), "vec_id": np.concatenate([own[x] for x in best]), "similarity": np.concatenate([s[x] for x, s in zip(best, sim)])})
 
         return vectors.filter("embedding is not null").select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, similarity double")
 

@@ -9,19 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# What counts as a source, and which folders are never entered.
+# What counts as a source.
 LANGUAGES = {
-    ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+    ".py": "python", ".pyw": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
     ".md": "markdown", ".mdx": "markdown", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml",
 }
-SKIPPED = {"node_modules", "dist", "build", "target", "venv", "__pycache__", "coverage", "vendor", "site-packages", "bench-results"}
+#: Folders that are not entered unless a caller says otherwise.
+SKIPPED = frozenset({"node_modules", "dist", "build", "venv", "__pycache__", "coverage"})
 
 
-def list_sources(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
+def list_sources(spark: SparkSession, root: str, repo_id: str, skipped: frozenset[str] = SKIPPED) -> DataFrame:
     """(repo_id, path, abspath, language, size, mtime): the sources below root. Spark's file sources would miss names that begin with ``_`` or ``.``."""
     rows = []
     for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(x for x in dirs if x not in SKIPPED and not x.startswith("."))
+        dirs[:] = sorted(x for x in dirs if x not in skipped and not x.startswith("."))
         for n in sorted(names):
             language = LANGUAGES.get(os.path.splitext(n)[1].lower())
             if language:

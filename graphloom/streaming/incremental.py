@@ -38,10 +38,10 @@ def follow_files(files: DataFrame, target: str, parse) -> None:
     """An index that follows a stream of files (repo_id, path, text, indexed_at): each batch replaces the rows of its files in a new version of the target.
 
     parse: DataFrame of files -> DataFrame of rows with repo_id and path. Versions are folders; the batch number names them, so a repeated batch
-    overwrites its own version only.
+    overwrites its own version only. The stream's progress is kept in the target's folder ``marks``: called again, it goes on where it stopped.
     """
     spark = files.sparkSession
-    marks = scratch(spark, "follow-marks")
+    marks = f"{target.rstrip('/')}/marks"
 
     def batch(new: DataFrame, epoch: int) -> None:
         new = last_wins(new, ["repo_id", "path"], ["indexed_at"])
