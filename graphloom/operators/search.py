@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from graphloom.session import stored
 #: Searched columns.
 FIELDS = ("qname", "name", "signature", "doc", "path")
 K1, B = 1.2, 0.75
+#: Queries of at most so many words are answered from the sets of their words; so many sets are looked for at a time.
+SET_WORDS, BLOCK_SETS = 4, 200_000
 #: Letters that are a plain letter with marks, and those plain letters.
 _FOLDS = {chr(i): d[0] for i in range(0xC0, 0xAC00) if unicodedata.category(chr(i))[0] == "L" and len(d := unicodedata.normalize("NFD", chr(i))) > 1 and all(unicodedata.category(x)[0] == "M" for x in d[1:])}
 _PLAIN = "".join(_FOLDS), "".join(_FOLDS.values())
@@ -33,15 +36,18 @@ def query_tokens(c: Column | str) -> Column:
 
 def postings(nodes: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(id, field, term, tf): how often each field of a searchable node holds each word."""
+    return _words(nodes, fields).groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
+
+
+def _words(nodes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     kept = nodes.filter(~F.coalesce(F.col("kind").isin(*EXTERNAL), F.lit(False)))
     parts = F.array(*[F.struct(F.lit(f).alias("field"), terms(F.coalesce(f, F.lit(""))).alias("words")) for f in fields])
-    words = kept.select("id", F.explode(parts).alias("p")).select("id", "p.field", F.explode("p.words").alias("term"))
-    return words.groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
+    return kept.select("id", F.explode(parts).alias("p")).select("id", "p.field", F.explode("p.words").alias("term"))
 
 
 def index(nodes: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """The postings, written once to the shared folder: a search reads them several times."""
-    return stored(postings(nodes, fields), "postings")
+    """The words of each field, written once to the shared folder: a search reads them several times. A word that a field holds twice has two rows of 1, so that nothing is shuffled."""
+    return stored(_words(nodes, fields).withColumn("tf", F.lit(1)), "postings")
 
 
 def corpus_stats(posts: DataFrame) -> DataFrame:
@@ -69,21 +75,89 @@ def bm25(posts: DataFrame, queries: DataFrame, every: bool, limit: int | None =
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
-    # What a word adds to a node is the same for all queries: worked out once, before queries meet it. Few bytes here become many pairs, so they are spread
-    # evenly by node; where the queries' words are small enough for Spark to broadcast them, a node's pairs are made, added up and cut to the limit in one task,
-    # and only the best of each task are shuffled. Beyond that size they are joined by word.
-    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    worth = tf.join(df, "term").join(doc_len, "id").select("id", "term", "df", gain.alias("gain")).repartition(parts, "id")
+    # What a word adds to a node is the same for all queries: worked out once, before queries meet it.
+    worth = tf.join(df, "term").join(doc_len, "id").select("id", "term", "df", gain.alias("gain"))
     if every:
-        worth = stored(worth, "worth")
-        # A node with every word has the query's rarest one: only its nodes are looked up for the others. A word nobody has ends the query.
-        known = q.join(worth.groupBy("term").agg(F.max("df").alias("df")), "term").withColumn("n_known", F.count("*").over(Window.partitionBy("qid"))).filter("n_known = n_terms")
-        rarest = known.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("df", "term"))).filter("r = 1").select("qid", "term")
-        hits = worth.select("id", "term").join(rarest, "term").select("qid", "id").join(q, "qid").join(worth, ["id", "term"])
-    else:
-        hits = worth.join(q, "term")
-    out = hits.groupBy("qid", "id").agg(F.count("*").alias("n_hit"), F.round(-F.sum("gain"), 6).alias("score"), F.max("n_terms").alias("n_terms"))
-    out = (out.filter("n_hit = n_terms") if every else out).drop("n_terms")
+        return _with_every_word(stored(worth, "worth"), q, limit)
+    if limit is None:
+        return _with_any_word(worth, q)
+    worth = stored(worth, "worth")
+    out = _best_by_sets(_held(worth), q.filter(F.col("n_terms") <= SET_WORDS), limit)
+    long = q.filter(F.col("n_terms") > SET_WORDS)
+    return out if long.isEmpty() else out.unionByName(first_per_query(_with_any_word(worth, long), [F.col("score"), F.col("id")], limit))
+
+
+def _with_any_word(worth: DataFrame, q: DataFrame) -> DataFrame:
+    return worth.join(q, "term").groupBy("qid", "id").agg(F.count("*").alias("n_hit"), F.round(-F.sum("gain"), 6).alias("score"))
+
+
+def _held(worth: DataFrame) -> DataFrame:
+    """(id, held): each node with those of its own words that queries ask for, in order."""
+    return stored(worth.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "gain"))).alias("held")), "held")
+
+
+def _key(words: Column) -> Column:
+    """Words in order as one text, each after a blank."""
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit(" "), w)), "")
+
+
+def _holders(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, id, n, score): the nodes that hold all words of a wanted set, n words, and what these add up to. wanted: (key), distinct, and with each key its prefixes.
+
+    A node's sets grow word by word, and only while they begin a wanted one. Wanted sets are broadcast in blocks of about BLOCK_SETS, so a node never leaves its task;
+    a block goes by the first word, which keeps prefixes together, so one word's sets are the least that a block can hold.
+    """
+    blocks = -(-wanted.count() // BLOCK_SETS)
+    first = F.split_part(F.ltrim("key"), F.lit(" "), F.lit(1))
+    found = []
+    for k in range(max(1, blocks)):
+        asked = F.broadcast(wanted if blocks < 2 else wanted.filter(F.pmod(F.xxhash64(first), F.lit(blocks)) == k))
+        level = held.select("id", F.lit("").alias("key"), F.lit(0.0).alias("sum"), F.col("held").alias("rest"))
+        for n in range(1, SET_WORDS + 1):
+            level = level.select("id", "key", "sum", "rest", F.posexplode("rest").alias("i", "h"))
+            level = level.select("id", F.concat("key", F.lit(" "), "h.term").alias("key"), (F.col("sum") + F.col("h.gain")).alias("sum"), F.slice("rest", F.col("i") + 2, F.size("rest")).alias("rest")).join(asked, "key")
+            found.append(level.select("key", "id", F.lit(n).cast("long").alias("n"), F.round(-F.col("sum"), 6).alias("score")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _first_of_sets(holders: DataFrame, limit: int) -> DataFrame:
+    return holders.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("score", "id"))).filter(F.col("_r") <= limit)
+
+
+def _best_by_sets(held: DataFrame, q: DataFrame, limit: int) -> DataFrame:
+    """(qid, id, n_hit, score, position): the best nodes that hold any word of a query, without a pair for every word and node.
+
+    A node among the best of a query is also among the ``limit`` best holders of the set of words that it shares with the query: whatever comes before it there holds
+    these words too, so it scores no worse in the query. So each set of words that is part of a query is cut to its best holders, inside the tasks first, before queries meet it: exact, and
+    work grows with the nodes and the queries, not with their product. A set with ``limit`` holders also says which score a query's best can't be worse than.
+    """
+    subsets = lambda words: F.aggregate(words, F.array(F.lit("")), lambda done, w: F.concat(done, F.transform(done, lambda s: F.concat(s, F.lit(" "), w))))
+    sets = stored(q.groupBy("qid").agg(F.array_sort(F.collect_list("term")).alias("words")).select("qid", F.explode(subsets(F.col("words"))).alias("key")).filter("key <> ''"), "query-sets")
+    best = stored(_first_of_sets(_holders(held, stored(sets.select("key").distinct(), "wanted-sets")), limit), "set-hits")
+    full = best.filter(F.col("_r") == limit).select("key", F.col("score").alias("last"))
+    bound = sets.join(full, "key").groupBy("qid").agg(F.min("last").alias("bound"))
+    hits = sets.join(bound, "qid", "left").join(best, "key").filter(F.col("bound").isNull() | (F.col("score") <= F.col("bound")))
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    whole = hits.select("qid", "id", "n", "score").repartition(parts, "qid").groupBy("qid", "id").agg(F.max("n").alias("n_hit"), F.min("score").alias("score"))
+    return first_per_query(whole, [F.col("score"), F.col("id")], limit)
+
+
+def _with_every_word(worth: DataFrame, q: DataFrame, limit: int | None) -> DataFrame:
+    """(qid, id, n_hit, score[, position]): nodes that hold all words of a query, found by the set of its words; of more than SET_WORDS words by the rarest, the others being looked up after."""
+    known = q.join(worth.groupBy("term").agg(F.max("df").alias("df")), "term")
+    rare = known.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("df", "term"))).withColumn("_n", F.count("*").over(Window.partitionBy("qid"))).filter(F.col("_n") == F.col("n_terms")).filter(F.col("_r") <= SET_WORDS)
+    asked = stored(rare.groupBy("qid").agg(F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_list("term")).alias("words")), "asked-sets")
+    starts = asked.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: _key(F.slice("words", F.lit(1), i)))).alias("key"))
+    holders = _holders(_held(worth), stored(starts.distinct(), "wanted-sets"))
+    asked = asked.withColumn("key", _key(F.col("words"))).drop("words")
+    short, long = asked.filter(F.col("n_terms") <= SET_WORDS), asked.filter(F.col("n_terms") > SET_WORDS)
+    own = holders.join(short.select("key").distinct(), "key", "left_semi")
+    hits = (own if limit is None else _first_of_sets(own, limit)).join(short, "key")
+    out = hits.select("qid", "id", F.col("n").alias("n_hit"), "score")
+    if not long.isEmpty():
+        more = holders.join(long, "key").select("qid", "id", "n_terms").join(q.select("qid", "term"), "qid").join(worth, ["id", "term"])
+        more = more.groupBy("qid", "id").agg(F.count("*").alias("n_hit"), F.round(-F.sum("gain"), 6).alias("score"), F.max("n_terms").alias("n_terms")).filter("n_hit = n_terms").drop("n_terms")
+        out = out.unionByName(more)
     return out if limit is None else first_per_query(out, [F.col("score"), F.col("id")], limit)
 
 
@@ -176,9 +250,18 @@ def promote(hits: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def external_fill(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """(qid, id, qname, position): external symbols one of whose name parts is a word of the query, exact names first."""
-    ext = nodes.filter(F.col("kind").isin(*EXTERNAL)).select("id", "name", "qname", "path", "start_line", F.explode(F.array_distinct(terms("name"))).alias("term"))
-    hits = ext.join(query_terms(queries), "term").join(queries, "qid")
-    hits = hits.groupBy("qid", "id").agg(F.first("name").alias("name"), F.first("qname").alias("qname"), F.first("path").alias("path"), F.first("start_line").alias("start_line"), F.first("query").alias("query"))
-    order = [(F.lower("name") != F.lower("query")).cast("int"), F.length("qname"), F.coalesce("path", F.lit("")), F.col("start_line"), F.col("id")]
-    return first_per_query(hits, order, limit).select("qid", "id", "qname", "position")
+    """(qid, id, qname, position): external symbols one of whose name parts is a word of the query, exact names first.
+
+    Apart from exact names, the order is the same for all queries. So what comes first is among the ``limit`` first symbols of each word and the ``limit`` first of the query's
+    own name: both are cut inside the tasks before queries meet them, and a query meets at most limit symbols for each of its words and for its name.
+    """
+    ext = nodes.filter(F.col("kind").isin(*EXTERNAL)).select("id", F.lower("name").alias("low"), "qname", F.coalesce("path", F.lit("")).alias("path"), "start_line", F.array_distinct(terms("name")).alias("words")).filter(F.size("words") > 0)
+    order = [F.length("qname"), F.col("path"), F.col("start_line"), F.col("id")]
+    first = lambda rows, by: rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_r") <= limit).drop("_r")
+    asked = query_terms(queries)
+    with_word = first(ext.withColumn("term", F.explode("words")).drop("words").join(asked.select("term").distinct(), "term", "left_semi"), "term").join(asked.select("qid", "term"), "term")
+    low = queries.select("qid", F.lower("query").alias("low"))
+    named = first(ext.drop("words").join(low.select("low").distinct(), "low", "left_semi"), "low").join(low, "low").withColumn("exact", F.lit(True))
+    cols = ["qid", "id", "qname", "path", "start_line", "exact"]
+    hits = with_word.join(low.withColumnRenamed("low", "query"), "qid").withColumn("exact", F.col("low") == F.col("query")).select(*cols).unionByName(named.select(*cols)).distinct()
+    return first_per_query(hits, [(~F.col("exact")).cast("int"), *order], limit).select("qid", "id", "qname", "position")
