@@ -24,8 +24,8 @@ def context_pack(hits: DataFrame, nodes: DataFrame, budget: int = 6000) -> DataF
 
     hits: (qid, id, position), bounded per query by the search's limit, so a query's list is small. Hits with the same path and lines count once.
     """
-    n = nodes.select("id", "kind", "qname", "path", "start_line", "end_line", "signature", "doc")
-    rows = hits.join(n, "id").withColumn("cost", item_cost("qname", "path", "signature", "doc"))
+    n = nodes.select("id", "kind", "path", "start_line", "end_line", item_cost("qname", "path", "signature", "doc").alias("cost"))
+    rows = hits.join(n, "id")
     once = Window.partitionBy("qid", "path", "start_line", "end_line").orderBy("position", "id")
     rows = rows.withColumn("_r", F.row_number().over(once)).filter("_r = 1")
     order = F.struct(F.coalesce(F.col("kind").isin(*EXTERNAL), F.lit(False)).cast("int").alias("ext"), F.col("position"), F.col("id"), F.col("cost"))

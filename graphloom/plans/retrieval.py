@@ -31,11 +31,12 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_and_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(search.index(N(spark, d)), Q(spark, d), True)
+    n = _once(spark, d)
+    return search.bm25(search.index(n), _sections(n), True)
 
 
 def search_or_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(search.index(N(spark, d)), Q(spark, d), False, 20)
+    return _best(_once(spark, d))
 
 
 def search_path_tier(spark: SparkSession, d: str) -> DataFrame:
@@ -66,33 +67,40 @@ def substring_fallback(spark: SparkSession, d: str) -> DataFrame:
     return search.containing(n, n.filter("kind = 'ROUTE' and name is not null").groupBy(F.lower("name").alias("query")).agg(F.min("id").alias("qid")), 20)
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """(qid, id, position): the 20 best nodes of each query by BM25; every node with any word of the query is scored before the limit."""
-    return search_or_bm25(spark, d).select("qid", "id", "position")
+def _best(nodes: DataFrame) -> DataFrame:
+    return search.bm25(search.index(nodes), _sections(nodes), False, 20)
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(qid, id, position): the 20 best nodes of each query by BM25; every node with any word of the query is weighed before the limit."""
+    return _best(nodes).select("qid", "id", "position")
 
 
 def search_path_priority(spark: SparkSession, d: str) -> DataFrame:
-    n = N(spark, d)
-    return search.promote(_candidates(spark, d), n)
+    n = _once(spark, d)
+    return search.promote(_candidates(n), n)
 
 
 def external_like_fill(spark: SparkSession, d: str) -> DataFrame:
-    return search.external_fill(N(spark, d), Q(spark, d), 20)
+    n = _once(spark, d)
+    return search.external_fill(n, _sections(n), 20)
 
 
 def context_pack_budget(spark: SparkSession, d: str) -> DataFrame:
-    return context.context_pack(_candidates(spark, d), N(spark, d), 1000)
+    n = _once(spark, d)
+    return context.context_pack(_candidates(n), n, 1000)
 
 
 def context_summary_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return context.confidence_summary(_candidates(spark, d), N(spark, d))
+    n = _once(spark, d)
+    return context.confidence_summary(_candidates(n), n)
 
 
 def context_must_read(spark: SparkSession, d: str) -> DataFrame:
     """The items of each pack with the reason for each."""
     n = _once(spark, d)
     q = _sections(n)
-    packed = context.context_pack(search.bm25(search.index(n), q, False, 20), n, 1000)
+    packed = context.context_pack(_candidates(n), n, 1000)
     return context.context_items(packed, n, q).select("qid", "place", "id", "why", "confidence", F.length("doc").alias("n_doc"))
 
 
@@ -127,24 +135,26 @@ def sample_hits(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.hit_rates(sample_ranks(spark, d))
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    n = N(spark, d)
-    hits = _candidates(spark, d)
-    q = Q(spark, d).select("qid", F.array_distinct(search.terms("query")).alias("query_terms"))
-    words = n.select("id", *[F.array_distinct(search.terms(F.coalesce(c, F.lit("")))).alias(f"{k}_terms") for k, c in (("name", "name"), ("path", "path"), ("body", "doc"))])
-    return evaluation.rerank(hits.join(q, "qid").join(words, "id"))
+def _ranked(n: DataFrame) -> DataFrame:
+    q = _sections(n).select("qid", F.array_distinct(search.terms("query")).alias("query_terms"))
+    words = [F.array_distinct(search.terms(F.coalesce(c, F.lit("")))).alias(f"{k}_terms") for k, c in (("name", "name"), ("path", "path"), ("body", "doc"))]
+    # Only the nodes that are hits are taken apart again, each once.
+    hits = stored(_candidates(n), "candidates")
+    hit_words = n.select("id", "name", "path", "doc").join(hits.select("id").distinct(), "id", "left_semi").select("id", *words)
+    return evaluation.rerank(hits.join(hit_words, "id").join(q, "qid"))
 
 
 def rerank_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d)
+    return _ranked(_once(spark, d))
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     """Where each query's own section came out, with the size of its candidate list."""
-    q = Q(spark, d).select("qid")
-    r = _ranked(spark, d)
+    n = _once(spark, d)
+    q = _sections(n).select("qid")
+    r = _ranked(n)
     found = r.groupBy("qid").agg(F.min(F.when(F.col("id") == F.col("qid"), F.col("rank"))).alias("rank"), F.count("*").alias("n_candidates"))
-    home = N(spark, d).select(F.col("id").alias("qid"), F.substring_index("path", "/", 1).alias("split"))
+    home = n.filter("kind = 'DOCSECTION'").select(F.col("id").alias("qid"), F.substring_index("path", "/", 1).alias("split"))
     return q.join(found, "qid", "left").join(home, "qid").select("qid", "split", "rank", evaluation.size_bucket(F.coalesce("n_candidates", F.lit(0))).alias("bucket"))
 
 
