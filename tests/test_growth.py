@@ -46,7 +46,7 @@ def sections(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["search_or_bm25", "hit_by_bucket_level"])
+@pytest.mark.parametrize("name", ["search_or_bm25", "hit_by_bucket_level", "context_pack_budget"])
 def test_queries_do_not_meet_every_node(spark, sections, name):
     rows, n = moved(spark, lambda: retrieval.QUERIES[name](spark, sections).collect())
     assert rows and n < 110_000
