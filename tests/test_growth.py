@@ -46,7 +46,7 @@ def sections(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["search_or_bm25", "hit_by_bucket_level", "context_pack_budget", "context_related", "rerank_scores", "context_must_read", "context_summary_confidence", "hit_at_k_mrr", "search_path_priority", "external_like_fill"])
+@pytest.mark.parametrize("name", ["search_or_bm25", "search_path_priority", "context_pack_budget", "context_must_read", "context_related", "context_summary_confidence", "rerank_scores", "hit_at_k_mrr", "hit_by_bucket_level", "external_like_fill"])
 def test_queries_do_not_meet_every_node(spark, sections, name):
     rows, n = moved(spark, lambda: retrieval.QUERIES[name](spark, sections).collect())
     assert rows and n < 110_000
