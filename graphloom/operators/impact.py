@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.model import EXPANDABLE, EXTERNAL
+from graphloom.operators.model import EXTERNAL
 from graphloom.operators.neighbors import neighbors
 from graphloom.operators.search import tiered_search
 from graphloom.operators.symbols import find_symbols
-from graphloom.operators.traversal import blast_radius
+from graphloom.operators.traversal import radius_counters
 from graphloom.session import stored
 
-#: Kinds whose files count as reached.
-INTERNAL = (*EXPANDABLE, "DOCSECTION")
-
 
 def impact_targets(nodes: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
     """(query, id, how): the nodes that each name means. A node id means its node; else symbols are looked up; a name without any is searched for. names: (query)."""
@@ -44,19 +41,13 @@ def impact_report(edges: DataFrame, nodes: DataFrame, targets: DataFrame, neighb
     Neighbours are the first ``neighbor_limit`` in each direction, without shadowed calls. files counts the paths of reached internal nodes and the target's own;
     conservative counts reached nodes into which only imports lead; truncated says that a direction held more than ``max_nodes``.
     """
-    targets = stored(targets.select("id").distinct().join(nodes.select("id", "kind", "path"), "id"), "impact-targets")
+    targets = stored(targets.select("id").distinct().join(nodes.select("id"), "id"), "impact-targets")
     count = lambda near, name, calls: unshadowed(near).groupBy(F.col("center_id").alias("id")).agg(F.count("*").alias(name), F.count_if(F.col("kind") == "CALLS").alias(calls))
     into = count(neighbors(edges, nodes, "in", neighbor_limit, targets), "incoming", "callers")
     out = count(neighbors(edges, nodes, "out", neighbor_limit, targets), "outgoing", "callees")
-    radius = stored(blast_radius(edges, nodes, targets.select(F.col("id").alias("seed"), "id"), depth, max_nodes), "radius")
-    own = targets.filter(F.col("kind").isin(*INTERNAL)).select("id", "path")
-    files = own.unionByName(radius.filter(F.col("kind").isin(*INTERNAL)).select(F.col("seed").alias("id"), "path")).filter("path <> ''").groupBy("id").agg(F.countDistinct("path").alias("files"))
-    up = F.col("direction") == "up"
-    reached = radius.groupBy(F.col("seed").alias("id")).agg(
-        F.count_if(up).alias("upstream"), F.count_if(~up).alias("downstream"), F.count_if(up & (F.col("kind") == "ROUTE")).alias("entrypoints"), F.count_if("conservative").alias("conservative"), F.max(F.col("n_reached") > max_nodes).alias("truncated"),
-    )
+    counts = radius_counters(edges, nodes, targets.select(F.col("id").alias("seed"), "id"), depth, max_nodes).drop("files").withColumnsRenamed({"seed": "id", "internal_files": "files"}).withColumn("truncated", F.col("reached") > max_nodes)
     both = targets.select("id")
-    for part in (into, out, reached, files):
+    for part in (into, out, counts):
         both = both.join(part, "id", "left")
     numbers = ["callers", "callees", "incoming", "outgoing", "upstream", "downstream", "files", "entrypoints", "conservative"]
     return both.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers], F.coalesce("truncated", F.lit(False)).alias("truncated"))

@@ -5,16 +5,16 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from conftest import NODES
+from conftest import EDGES, NODES
 
-from graphloom.operators import search
-from graphloom.plans import retrieval
+from graphloom.operators import model, search, traversal
+from graphloom.plans import graph, retrieval
 
 T = datetime(2025, 1, 1)
 
 
-def moved(spark, job):
-    """(result of job, records written to shuffles)."""
+def moved(spark, job, stages_only=False):
+    """(result of job, records written to shuffles, or the stages that ran)."""
     sc = spark.sparkContext
     store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
 
@@ -29,7 +29,8 @@ def moved(spark, job):
         out = job()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
-    return out, sum(n for k, n in stages().items() if k not in before)
+    new = [n for k, n in stages().items() if k not in before]
+    return out, len(new) if stages_only else sum(new)
 
 
 @pytest.fixture(scope="module")
@@ -41,8 +42,7 @@ def sections(spark, tmp_path_factory):
     rows = [dict(id=f"n{i:03}", repo_id="r", kind="DocSection", name=f"usage left{i % 20} right{i // 20}", qname=f"docs/a.md#s{i}", path="docs/a.md", start_line=i + 1, loaded_at=T) for i in range(400)]
     rows += [dict(id=f"x{i:03}", repo_id="r", kind="ExternalSymbol", name=f"usage.m{i}", qname=f"external:usage.m{i}", path="a.py", start_line=1, loaded_at=T) for i in range(400)]
     spark.createDataFrame([tuple(r.get(f.name) for f in t.fields) for r in rows], t).write.parquet(f"{d}/nodes.parquet")
-    edges = "repo_id string, owner_path string, src string, dst string, kind string, confidence string, detail string, loaded_at timestamp_ntz"
-    spark.createDataFrame([("r", "a.py", "n000", "n001", "CALLS", "strong", "x", T)], edges).write.parquet(f"{d}/edges.parquet")
+    spark.createDataFrame([("r", "a.py", "n000", "n001", "CALLS", "strong", "x", T)], EDGES).write.parquet(f"{d}/edges.parquet")
     return d
 
 
@@ -70,3 +70,27 @@ def test_best_by_sets_equals_all_pairs(spark):
     assert {tuple(r) for r in search.bm25(posts, queries, False, 5).select("qid", "id", "n_hit", "score", "position").collect()} == want
     size = {q: len(set(t.split())) for q, t in asked}
     assert {tuple(r) for r in search.bm25(posts, queries, True).select("qid", "id", "n_hit", "score").collect()} == {x for x in every if x[2] == size[x[0]]}
+
+
+@pytest.mark.parametrize("name", ["impact_blast_radius"])
+def test_walks_are_not_a_job_for_each_level(spark, make, tmp_path, name):
+    nodes = [dict(id=f"f{i:02}", repo_id="r", kind="Function", name=f"f{i}", qname=f"a.f{i}", path=f"p{i}.py", start_line=1, loaded_at=T) for i in range(25)]
+    make(NODES, nodes).write.parquet(f"{tmp_path}/nodes.parquet")
+    make(EDGES, [dict(repo_id="r", src=f"f{i:02}", dst=f"f{i + 1:02}", kind="CALLS", confidence="strong", loaded_at=T) for i in range(24)]).write.parquet(f"{tmp_path}/edges.parquet")
+    rows, n = moved(spark, lambda: graph.QUERIES[name](spark, str(tmp_path)).collect(), True)
+    assert len(rows) == (600 if name == "impact_blast_radius" else 25) and n < 150
+
+
+def test_radius_in_tasks_equals_joins(spark, make, monkeypatch, max_nodes=9):
+    import random
+
+    rnd = random.Random(9)
+    kinds = ["File", "Function", "Method", "Class", "Route", "DocSection", "ExternalSymbol", None]
+    nodes = [dict(id=f"n{i:02}", repo_id=rnd.choice(["r", "s", "t", None]), kind=rnd.choice(kinds), name="n", qname=f"q{i}", path=rnd.choice(["a.py", "b.py", "", None]), start_line=rnd.randint(1, 3), loaded_at=T) for i in range(40)]
+    edges = [dict(repo_id=rnd.choice("rst"), owner_path="a", src=f"n{rnd.randint(0, 44):02}", dst=f"n{rnd.randint(0, 44):02}", kind=rnd.choice(["CALLS", "CALLS", "IMPORTS", "DEFINES", "CONTAINS"]), confidence=rnd.choice(["exact", "strong", "resolved", "x", None]), detail=str(i), loaded_at=T) for i in range(110)]
+    n, e = model.valid_nodes(make(NODES, nodes)), model.valid_edges(make(EDGES, edges))
+    seeds = n.filter("kind in ('FILE', 'FUNCTION', 'CLASS', 'DOCSECTION')").selectExpr("id as seed", "id").unionByName(spark.createDataFrame([("n00", "n41")], "seed string, id string"))
+    run = lambda: [sorted(map(str, f(e, n, seeds, None, max_nodes).collect())) for f in (traversal.blast_radius, traversal.radius_counters)]
+    whole = run()
+    monkeypatch.setattr(traversal, "GROUP_ROWS", 0)
+    assert whole == run() and whole[0]
