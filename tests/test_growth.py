@@ -72,7 +72,7 @@ def test_best_by_sets_equals_all_pairs(spark):
     assert {tuple(r) for r in search.bm25(posts, queries, True).select("qid", "id", "n_hit", "score").collect()} == {x for x in every if x[2] == size[x[0]]}
 
 
-@pytest.mark.parametrize("name", ["impact_report", "impact_blast_radius"])
+@pytest.mark.parametrize("name", ["impact_report", "impact_blast_radius", "impact_summary"])
 def test_walks_are_not_a_job_for_each_level(spark, make, tmp_path, name):
     nodes = [dict(id=f"f{i:02}", repo_id="r", kind="Function", name=f"f{i}", qname=f"a.f{i}", path=f"p{i}.py", start_line=1, loaded_at=T) for i in range(25)]
     make(NODES, nodes).write.parquet(f"{tmp_path}/nodes.parquet")
