@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from conftest import EDGES, NODES
 
-from graphloom.operators import model, search, traversal
+from graphloom.operators import model, search, symbols, traversal
 from graphloom.plans import graph, retrieval
 
 T = datetime(2025, 1, 1)
@@ -94,3 +94,24 @@ def test_radius_in_tasks_equals_joins(spark, make, monkeypatch, max_nodes=9):
     whole = run()
     monkeypatch.setattr(traversal, "GROUP_ROWS", 0)
     assert whole == run() and whole[0]
+
+
+@pytest.mark.parametrize("name", ["substring_fallback"])
+def test_texts_are_not_taken_apart_for_the_shuffle(spark, make, tmp_path, name):
+    rows = [dict(id=f"n{i:03}", repo_id="r", kind=k, name=f"get /word{i}/x", qname=f"route:get /word{i}/x", path="a.py", doc="some longer text that is of no use here", start_line=1, loaded_at=T) for i, k in enumerate(["Route", "Function"] * 100)]
+    make(NODES, rows).write.parquet(f"{tmp_path}/nodes.parquet")
+    found, n = moved(spark, lambda: (graph.QUERIES | retrieval.QUERIES)[name](spark, str(tmp_path)).collect())
+    assert len(found) == 100 and n < 2_000
+
+
+def test_substrings_equal_brute_force(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abAB\u00e9\u65e5_") for _ in range(rnd.randint(0, 30))) for _ in range(80)] + [None, ""]
+    asked = sorted({"".join(rnd.choice("abA\u00e9\u65e5") for _ in range(rnd.choice([1, 2, 3, 4, 6, 9, 12]))) for _ in range(40)} | {t[2:14] for t in texts[:20] if t} | {"", "zz"})
+    nodes, names = spark.createDataFrame(list(enumerate(texts)), "id int, t string"), spark.createDataFrame([(q,) for q in asked], "query string")
+    want = sorted((q, i) for q in asked for i, t in enumerate(texts) if q and t is not None and q.lower() in t.lower())
+    for chars in (symbols.BLOCK_CHARS, 100):
+        monkeypatch.setattr(symbols, "BLOCK_CHARS", chars)
+        assert sorted(map(tuple, symbols.substring_hits(nodes, names, "t", ["id"]).collect())) == want
