@@ -96,7 +96,7 @@ def test_radius_in_tasks_equals_joins(spark, make, monkeypatch, max_nodes=9):
     assert whole == run() and whole[0]
 
 
-@pytest.mark.parametrize("name", ["substring_fallback"])
+@pytest.mark.parametrize("name", ["substring_fallback", "symbol_substring"])
 def test_texts_are_not_taken_apart_for_the_shuffle(spark, make, tmp_path, name):
     rows = [dict(id=f"n{i:03}", repo_id="r", kind=k, name=f"get /word{i}/x", qname=f"route:get /word{i}/x", path="a.py", doc="some longer text that is of no use here", start_line=1, loaded_at=T) for i, k in enumerate(["Route", "Function"] * 100)]
     make(NODES, rows).write.parquet(f"{tmp_path}/nodes.parquet")
