@@ -50,6 +50,19 @@ def index(nodes: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return stored(_words(nodes, fields).withColumn("tf", F.lit(1)), "postings")
 
 
+def by_node(nodes: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(id, dl, words): each searchable node that has words, how many they are, and each of them with how often it occurs, in order; written once.
+
+    Words are counted inside the node's own row, so nothing is shuffled for lengths and counts.
+    """
+    kept = nodes.filter(~F.coalesce(F.col("kind").isin(*EXTERNAL), F.lit(False)))
+    rows = kept.select("id", F.array_sort(F.flatten(F.array(*[terms(F.coalesce(f, F.lit(""))) for f in fields]))).alias("held"))
+    placed = F.transform("held", lambda w, i: F.struct(w.alias("term"), i.alias("at")))
+    rows = rows.select("id", F.size("held").alias("dl"), F.filter(placed, lambda x: (x["at"] == 0) | (x["term"] != F.get("held", x["at"] - 1))).alias("firsts"))
+    counts = F.transform("firsts", lambda x, k: F.struct(x["term"].alias("term"), (F.coalesce(F.get("firsts", k + 1)["at"], F.col("dl")) - x["at"]).alias("tf")))
+    return stored(rows.select("id", "dl", counts.alias("words")), "node-words").filter("dl > 0")
+
+
 def corpus_stats(posts: DataFrame) -> DataFrame:
     """(n_docs, n_tokens, avg_len) of the searchable nodes that have words at all."""
     return posts.agg(F.countDistinct("id").alias("n_docs"), F.sum("tf").alias("n_tokens")).withColumn("avg_len", F.col("n_tokens") / F.col("n_docs"))
@@ -62,31 +75,47 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(posts: DataFrame, queries: DataFrame, every: bool, limit: int | None = None) -> DataFrame:
-    """(qid, id, n_hit, score): nodes that hold every (or any) word of a query; less is better, as in SQLite's FTS5.
+    """(qid, id, n_hit, score): nodes that hold every (or any) word of a query; less is better, as in SQLite's FTS5. posts: those of ``postings``, ``index`` or ``by_node``.
 
     Sums run over all searched columns, counts over the whole corpus. A word in more than half of the nodes counts next to nothing. With a limit, the nodes
     of the ``limit`` best scores of each query, of equal ones those with the least ids.
     """
     q = stored(query_terms(queries), "query-words")
-    doc_len = posts.groupBy("id").agg(F.sum("tf").alias("dl"))
-    tf = posts.join(q.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, avg = doc_len.agg(F.count("*").alias("n")).scalar(), doc_len.agg((F.sum("dl") / F.count("*")).alias("a")).scalar()
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
-    # What a word adds to a node is the same for all queries: worked out once, before queries meet it.
-    worth = tf.join(df, "term").join(doc_len, "id").select("id", "term", "df", gain.alias("gain"))
+    grouped = "words" in posts.columns
+    worth = _worth(posts, q) if grouped else _worth_of_postings(posts, q)
     if every:
         return _with_every_word(stored(worth, "worth"), q, limit)
     if limit is None:
         return _with_any_word(worth, q)
-    worth = stored(worth, "worth")
+    worth = worth if grouped else stored(worth, "worth")
     out = _best_by_sets(_held(worth), q.filter(F.col("n_terms") <= SET_WORDS), limit)
     long = q.filter(F.col("n_terms") > SET_WORDS)
     return out if long.isEmpty() else out.unionByName(first_per_query(_with_any_word(worth, long), [F.col("score"), F.col("id")], limit))
 
 
+def _gain(n: Column, avg: Column) -> Column:
+    """What a word adds to a node; the same for all queries, so it is worked out once, before queries meet it."""
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
+
+
+def _worth(nodes: DataFrame, q: DataFrame) -> DataFrame:
+    """(id, term, df, gain) of the words that queries ask for. nodes: those of ``by_node``. Only counts for each word are shuffled, unless queries ask for more words than a block of sets."""
+    each = nodes.select("id", "dl", F.explode("words").alias("w")).select("id", "dl", "w.term", "w.tf")
+    df = stored(each.groupBy("term").agg(F.count("*").alias("df")).join(q.select("term").distinct(), "term", "left_semi"), "known-words")
+    n, avg = nodes.agg(F.count("*").alias("n")).scalar(), nodes.agg((F.sum("dl") / F.count("*")).alias("a")).scalar()
+    return each.join(F.broadcast(df) if df.count() <= BLOCK_SETS else df, "term").select("id", "term", "df", _gain(n, avg).alias("gain"))
+
+
+def _worth_of_postings(posts: DataFrame, q: DataFrame) -> DataFrame:
+    doc_len = posts.groupBy("id").agg(F.sum("tf").alias("dl"))
+    tf = posts.join(q.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    n, avg = doc_len.agg(F.count("*").alias("n")).scalar(), doc_len.agg((F.sum("dl") / F.count("*")).alias("a")).scalar()
+    return tf.join(df, "term").join(doc_len, "id").select("id", "term", "df", _gain(n, avg).alias("gain"))
+
+
 def _with_any_word(worth: DataFrame, q: DataFrame) -> DataFrame:
     return worth.join(q, "term").groupBy("qid", "id").agg(F.count("*").alias("n_hit"), F.round(-F.sum("gain"), 6).alias("score"))
 

@@ -68,7 +68,7 @@ def substring_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _best(nodes: DataFrame) -> DataFrame:
-    return search.bm25(search.index(nodes), _sections(nodes), False, 20)
+    return search.bm25(search.by_node(nodes), _sections(nodes), False, 20)
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:

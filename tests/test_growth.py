@@ -115,3 +115,23 @@ def test_substrings_equal_brute_force(spark, monkeypatch):
     for chars in (symbols.BLOCK_CHARS, 100):
         monkeypatch.setattr(symbols, "BLOCK_CHARS", chars)
         assert sorted(map(tuple, symbols.substring_hits(nodes, names, "t", ["id"]).collect())) == want
+
+
+@pytest.mark.parametrize("name, most", [("context_pack_budget", 55_000)])
+def test_words_are_counted_in_their_node(spark, sections, name, most):
+    rows, n = moved(spark, lambda: retrieval.QUERIES[name](spark, sections).collect())
+    assert rows and n < most
+
+
+def test_words_of_a_node_equal_postings(spark, make):
+    rows = [dict(id="a", kind="Function", name="Run run", qname="b.run", doc="zeta alpha run", path="a/b.py"), dict(id="b", kind="Function", doc="\u00e9t\u00e9 ete"), dict(id="c", kind="Function", name="--"), dict(id="x", kind="ExternalSymbol", name="run")]
+    nodes = model.valid_nodes(make(NODES, [r | dict(loaded_at=T) for r in rows]))
+    got = {(r.id, w.term): (w.tf, r.dl) for r in search.by_node(nodes).collect() for w in r.words}
+    want: dict = {}
+    for r in search.postings(nodes).collect():
+        want[r.id, r.term] = want.get((r.id, r.term), 0) + r.tf
+    size = {i: sum(n for (k, _), n in want.items() if k == i) for i, _ in want}
+    assert got == {k: (n, size[k[0]]) for k, n in want.items()} and want["a", "run"] == 4
+    queries = spark.createDataFrame([("q", "run alpha"), ("p", "ete py b a run")], "qid string, query string")
+    each = [[tuple(r) for r in search.bm25(posts, queries, every, limit).orderBy("qid", "id").collect()] for posts in (search.postings(nodes), search.by_node(nodes)) for every, limit in ((False, 1), (False, None), (True, None))]
+    assert each[:3] == each[3:] and each[0]
