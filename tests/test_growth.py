@@ -135,3 +135,15 @@ def test_words_of_a_node_equal_postings(spark, make):
     queries = spark.createDataFrame([("q", "run alpha"), ("p", "ete py b a run")], "qid string, query string")
     each = [[tuple(r) for r in search.bm25(posts, queries, every, limit).orderBy("qid", "id").collect()] for posts in (search.postings(nodes), search.by_node(nodes)) for every, limit in ((False, 1), (False, None), (True, None))]
     assert each[:3] == each[3:] and each[0]
+
+
+@pytest.mark.parametrize("name", ["impact_summary"])
+def test_starts_that_are_no_nodes_do_not_link_repos(spark, make, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(traversal, "LINKS", 2)
+    nodes = [dict(id=f"{k}{i}", repo_id=f"r{i}", kind=kind, name=f"{k}{i}", qname=f"a.{k}{i}", path=f"p{i}.py", start_line=1, loaded_at=T) for i in range(5) for k, kind in (("f", "File"), ("g", "Function"))]
+    ends = [(f"f{i}", x, "DEFINES") for i in range(5) for x in ("none", f"gone{i}")] + [(f"g{i}", f"gone{i}", "CALLS") for i in range(5)]
+    make(NODES, nodes).write.parquet(f"{tmp_path}/nodes.parquet")
+    make(EDGES, [dict(repo_id=f"r{a[1:]}", src=a, dst=b, kind=k, confidence="strong", loaded_at=T) for a, b, k in ends]).write.parquet(f"{tmp_path}/edges.parquet")
+    n, e, seeds = graph._changes(spark, str(tmp_path))
+    assert traversal._grouped(e, n, seeds) is not None
+    assert {r.seed for r in graph.QUERIES[name](spark, str(tmp_path)).collect()} == {f"f{i}" for i in range(5)}
