@@ -117,7 +117,7 @@ def test_substrings_equal_brute_force(spark, monkeypatch):
         assert sorted(map(tuple, symbols.substring_hits(nodes, names, "t", ["id"]).collect())) == want
 
 
-@pytest.mark.parametrize("name, most", [("context_pack_budget", 55_000), ("context_must_read", 64_000), ("rerank_scores", 57_500), ("context_summary_confidence", 48_000), ("hit_at_k_mrr", 58_500)])
+@pytest.mark.parametrize("name, most", [("context_pack_budget", 55_000), ("context_must_read", 64_000), ("rerank_scores", 57_500), ("context_summary_confidence", 48_000), ("hit_at_k_mrr", 58_500), ("search_path_priority", 55_500)])
 def test_words_are_counted_in_their_node(spark, sections, name, most):
     rows, n = moved(spark, lambda: retrieval.QUERIES[name](spark, sections).collect())
     assert rows and n < most
