@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from graphloom.operators.model import EXTERNAL
 from graphloom.operators.neighbors import neighbors
 
+#: At most so many centres are broadcast.
+BLOCK_CENTERS = 200_000
+
 
 def shortened(c: Column | str, size: int = 800) -> Column:
     c = F.col(c) if isinstance(c, str) else c
@@ -69,9 +72,13 @@ def related(hits: DataFrame, edges: DataFrame, nodes: DataFrame, first: int = 5,
     """
     top = hits.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("position", "id"))).filter(F.col("_r") <= first).select("qid", "id")
     centers, q = top.select("id").distinct(), nodes.select(F.col("id").alias("node_id"), "qname")
+    # Up to BLOCK_CENTERS centres travel to the edges; more of them meet the edges by a shuffle.
+    asked = F.broadcast(centers) if centers.count() <= BLOCK_CENTERS else centers
     parts = []
     for direction in ("in", "out"):
-        there = edges.join(nodes.select(F.col("id").alias("dst" if direction == "out" else "src")), "dst" if direction == "out" else "src", "left_semi")
+        close, far = ("src", "dst") if direction == "out" else ("dst", "src")
+        # Edges of the centres first, which are few, then those of them that lead to a node.
+        there = edges.join(asked.select(F.col("id").alias(close)), close, "left_semi").join(nodes.select(F.col("id").alias(far)), far, "left_semi")
         near = neighbors(there, nodes, direction, limit, centers).join(q, "node_id")
         parts.append(top.join(near.withColumnRenamed("center_id", "id"), "id").select("qid", "id", F.lit(direction).alias("direction"), "node_id", "kind", "qname", "node_kind", F.col("node_path").alias("path"), "confidence", "position"))
     return parts[0].unionByName(parts[1])

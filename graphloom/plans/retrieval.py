@@ -107,7 +107,9 @@ def context_must_read(spark: SparkSession, d: str) -> DataFrame:
 def context_related(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours of the first five hits of each query."""
     n = _once(spark, d)
-    return context.related(search.bm25(search.index(n), _sections(n), False, 5), E(spark, d), n).select("qid", "id", "direction", "node_id", "kind", "position")
+    hits = stored(search.bm25(search.by_node(n), _sections(n), False, 5), "first-hits")
+    e = stored(E(spark, d).drop("loaded_at"), "valid-edges")
+    return context.related(hits, e, n).select("qid", "id", "direction", "node_id", "kind", "position")
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:

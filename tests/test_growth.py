@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from conftest import EDGES, NODES
 
-from graphloom.operators import model, search, symbols, traversal
+from graphloom.operators import context, model, search, symbols, traversal
 from graphloom.plans import graph, retrieval
 
 T = datetime(2025, 1, 1)
@@ -147,3 +147,11 @@ def test_starts_that_are_no_nodes_do_not_link_repos(spark, make, tmp_path, monke
     n, e, seeds = graph._changes(spark, str(tmp_path))
     assert traversal._grouped(e, n, seeds) is not None
     assert {r[0] for r in graph.QUERIES[name](spark, str(tmp_path)).filter("n_upstream > 0" if name == "impact_summary" else "id like 'g%'").collect()} == {("f" if name == "impact_summary" else "g") + str(i) for i in range(5)}
+
+
+def test_edges_without_a_hit_are_not_looked_up(spark, make):
+    nodes = model.valid_nodes(make(NODES, [dict(id=f"n{i}", kind="Function", qname=f"q{i}", loaded_at=T) for i in range(3)]))
+    edges = make(EDGES, [dict(repo_id="r", src=f"n{k}", dst="n1", kind="CALLS", detail=str(i), loaded_at=T) for i, k in enumerate([0] + [2] * 999)]).localCheckpoint()
+    hits = spark.createDataFrame([("q", "n0", 1)], "qid string, id string, position int")
+    rows, n = moved(spark, lambda: context.related(hits, edges, nodes).collect())
+    assert [(r.direction, r.node_id) for r in rows] == [("out", "n1")] and n < 2_500
