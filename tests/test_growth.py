@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
 import pytest
 from conftest import EDGES, NODES
+from pyspark.sql import functions as F
 
-from graphloom.operators import context, model, search, symbols, traversal
+from graphloom.operators import context, impact, model, neighbors, search, symbols, traversal
 from graphloom.plans import graph, retrieval
+from graphloom.session import CLEANED, stored
 
 T = datetime(2025, 1, 1)
 
@@ -155,3 +158,36 @@ def test_edges_without_a_hit_are_not_looked_up(spark, make):
     hits = spark.createDataFrame([("q", "n0", 1)], "qid string, id string, position int")
     rows, n = moved(spark, lambda: context.related(hits, edges, nodes).collect())
     assert [(r.direction, r.node_id) for r in rows] == [("out", "n1")] and n < 2_500
+
+
+def test_neighbors_are_counted_without_lists(spark, make, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    nodes = model.valid_nodes(make(NODES, [dict(id=f"n{i:02}", repo_id="r", kind=rnd.choice(["Function", "ExternalSymbol", "ExternalDependency", None]), name="n", qname=f"q{i}", path="a.py", start_line=i, loaded_at=T) for i in range(30)])).localCheckpoint()
+    rows = [dict(repo_id="r", owner_path=str(i), src=f"n{rnd.randint(0, 33):02}", dst=f"n{rnd.choice([0, 1, rnd.randint(2, 33)]):02}", kind=rnd.choice(["CALLS", "CALLS", "IMPORTS", None]), confidence=rnd.choice(["resolved", "x", None]), detail=rnd.choice(["a", "b", " a", "", None]), loaded_at=T) for i in range(600)]
+    edges, targets = model.valid_edges(make(EDGES, rows), "src").localCheckpoint(), nodes.select("id")
+
+    def listed(name, limit):
+        near = impact.unshadowed(neighbors.neighbors(edges, nodes, name, limit, targets))
+        return {r[0]: (r[1], r[2]) for r in near.groupBy("center_id").agg(F.count("*"), F.count_if(F.col("kind") == "CALLS")).collect()}
+
+    for limit, block in ((200, 100), (15, 100), (15, 0)):
+        monkeypatch.setattr(impact, "BLOCK_CENTERS", block)
+        (into, out), n = moved(spark, lambda: [listed(x, limit) for x in ("in", "out")])  # noqa: B023
+        got, m = moved(spark, lambda: impact.neighbor_counts(edges, nodes, targets, limit).collect())  # noqa: B023
+        assert {r.id: tuple(r)[1:] for r in got} == {i: (*into.get(i, (0, 0)), *out.get(i, (0, 0))) for i in into.keys() | out.keys()}
+    edges, nodes = edges.withColumn("detail", F.concat("owner_path", F.lit("_"))), nodes.withColumn("kind", F.lit("FUNCTION"))
+    n, m = (moved(spark, f)[1] for f in (lambda: [listed(x, 200) for x in ("in", "out")], lambda: impact.neighbor_counts(edges, nodes, targets).collect()))
+    assert m < 0.8 * n
+
+
+def test_what_was_shuffled_for_a_stored_table_is_deleted(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    names = lambda: {x.apply(i).getName() for x in [files.getAllFiles()] for i in range(x.size())}
+    before, was, end = names(), spark.conf.get(CLEANED), time.monotonic() + 10
+    assert len(stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "kept").collect()) == 7
+    while left := {x for x in names() - before if x.startswith("shuffle_")}:
+        assert time.monotonic() < end, left
+        time.sleep(0.1)
+    assert spark.conf.get(CLEANED) == was
