@@ -191,3 +191,10 @@ def test_what_was_shuffled_for_a_stored_table_is_deleted(spark):
         assert time.monotonic() < end, left
         time.sleep(0.1)
     assert spark.conf.get(CLEANED) == was
+
+
+def test_valid_nodes_are_found_once_for_substrings(spark, make, tmp_path):
+    rows = [dict(id=f"n{i:03}", repo_id="r", kind="Function", name=f"word{i}_x", qname=f"a.word{i}_x", path="a.py", doc="text", start_line=1, loaded_at=T) for i in range(400)]
+    make(NODES, rows).write.parquet(f"{tmp_path}/nodes.parquet")
+    found, n = moved(spark, lambda: graph.symbol_substring(spark, str(tmp_path)).collect())
+    assert len(found) == 400 and n < 2_300, n
