@@ -100,7 +100,8 @@ def context_must_read(spark: SparkSession, d: str) -> DataFrame:
     """The items of each pack with the reason for each."""
     n = _once(spark, d)
     q = _sections(n)
-    packed = context.context_pack(_candidates(n), n, 1000)
+    # Written, so that what was shuffled for the packs is deleted before nodes are shuffled with their texts.
+    packed = stored(context.context_pack(_candidates(n), n, 1000), "packs")
     return context.context_items(packed, n, q).select("qid", "place", "id", "why", "confidence", F.length("doc").alias("n_doc"))
 
 

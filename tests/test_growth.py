@@ -198,3 +198,9 @@ def test_valid_nodes_are_found_once_for_substrings(spark, make, tmp_path):
     make(NODES, rows).write.parquet(f"{tmp_path}/nodes.parquet")
     found, n = moved(spark, lambda: graph.symbol_substring(spark, str(tmp_path)).collect())
     assert len(found) == 400 and n < 2_300, n
+
+
+def test_packs_are_done_before_their_items_are_looked_up(spark, sections):
+    items = retrieval.context_must_read(spark, sections)
+    rows, n = moved(spark, items.collect)
+    assert rows and n < 12_000, n
