@@ -72,8 +72,10 @@ def _best(nodes: DataFrame) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """(qid, id, position): the 20 best nodes of each query by BM25; every node with any word of the query is weighed before the limit."""
-    return _best(nodes).select("qid", "id", "position")
+    """(qid, id, position): the 20 best nodes of each query by BM25; every node with any word of the query is weighed before the limit.
+
+    Written, so that what was shuffled for the search is deleted before nodes are shuffled for its hits."""
+    return stored(_best(nodes).select("qid", "id", "position"), "candidates")
 
 
 def search_path_priority(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +144,7 @@ def _ranked(n: DataFrame) -> DataFrame:
     q = _sections(n).select("qid", F.array_distinct(search.terms("query")).alias("query_terms"))
     words = [F.array_distinct(search.terms(F.coalesce(c, F.lit("")))).alias(f"{k}_terms") for k, c in (("name", "name"), ("path", "path"), ("body", "doc"))]
     # Only the nodes that are hits are taken apart again, each once.
-    hits = stored(_candidates(n), "candidates")
+    hits = _candidates(n)
     hit_words = n.select("id", "name", "path", "doc").join(hits.select("id").distinct(), "id", "left_semi").select("id", *words)
     return evaluation.rerank(hits.join(hit_words, "id").join(q, "qid"))
 

@@ -204,3 +204,10 @@ def test_packs_are_done_before_their_items_are_looked_up(spark, sections):
     items = retrieval.context_must_read(spark, sections)
     rows, n = moved(spark, items.collect)
     assert rows and n < 12_000, n
+
+
+@pytest.mark.parametrize("name", ["context_summary_confidence", "search_path_priority"])
+def test_candidates_are_found_before_nodes_are_joined(spark, sections, name):
+    df = retrieval.QUERIES[name](spark, sections)
+    rows, n = moved(spark, df.collect)
+    assert rows and n < 34_000, n
