@@ -152,6 +152,27 @@ def test_starts_that_are_no_nodes_do_not_link_repos(spark, make, tmp_path, monke
     assert {r[0] for r in graph.QUERIES[name](spark, str(tmp_path)).filter("n_upstream > 0" if name == "impact_summary" else "id like 'g%'").collect()} == {("f" if name == "impact_summary" else "g") + str(i) for i in range(5)}
 
 
+@pytest.mark.parametrize("max_nodes", [3, 14])
+def test_shared_starts_that_are_no_nodes_leave_groups_apart(spark, make, monkeypatch, max_nodes):
+    import random
+
+    rnd = random.Random(max_nodes)
+    kinds = ["File", "File", "Function", "Method", "Class", "Route", "DocSection"]
+    ids = {f"{r}{i}": f"r{r}" for r in range(6) for i in range(9)}
+    nodes = [dict(id=x, repo_id=r, kind=rnd.choice(kinds), name="n", qname=x, path=rnd.choice(["a.py", "b.py", "", None]), start_line=rnd.randint(1, 3), loaded_at=T) for x, r in ids.items()]
+    gone = ["none", "unknown", "lost"]
+    ends = [(r, rnd.choice([x for x in ids if ids[x] == r] + gone), rnd.choice([x for x in ids if ids[x] == r] + gone)) for r in sorted(set(ids.values())) for _ in range(40)]
+    edges = [dict(repo_id=r, owner_path="a", src=a, dst=b, kind=rnd.choice(["CALLS", "CALLS", "IMPORTS", "DEFINES"]), confidence=rnd.choice(["exact", "strong", "x"]), detail=str(i), loaded_at=T) for i, (r, a, b) in enumerate(ends)]
+    n, e = model.valid_nodes(make(NODES, nodes)), model.valid_edges(make(EDGES, edges))
+    seeds = n.filter("kind in ('FILE', 'FUNCTION', 'CLASS')").selectExpr("id as seed", "id").unionByName(spark.createDataFrame([("00", "lost"), ("10", "lost"), ("no node", "20")], "seed string, id string"))
+    run = lambda: [sorted(map(str, f(e, n, seeds, None, max_nodes).collect())) for f in (traversal.blast_radius, traversal.radius_counters)]
+    monkeypatch.setattr(traversal, "GROUP_ROWS", 90)
+    assert traversal._grouped(e, n, seeds) is not None
+    parts = run()
+    monkeypatch.setattr(traversal, "GROUP_ROWS", 0)
+    assert parts == run() and parts[0]
+
+
 def test_edges_without_a_hit_are_not_looked_up(spark, make):
     nodes = model.valid_nodes(make(NODES, [dict(id=f"n{i}", kind="Function", qname=f"q{i}", loaded_at=T) for i in range(3)]))
     edges = make(EDGES, [dict(repo_id="r", src=f"n{k}", dst="n1", kind="CALLS", detail=str(i), loaded_at=T) for i, k in enumerate([0] + [2] * 999)]).localCheckpoint()
