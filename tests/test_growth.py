@@ -173,6 +173,17 @@ def test_shared_starts_that_are_no_nodes_leave_groups_apart(spark, make, monkeyp
     assert parts == run() and parts[0]
 
 
+def test_blast_radius_over_placeholders_keeps_repos_apart(spark, make, tmp_path, monkeypatch):
+    monkeypatch.setattr(traversal, "GROUP_ROWS", 12)
+    nodes = [dict(id=f"{k}{i}", repo_id=f"r{i}", kind=kind, name=f"{k}{i}", qname=f"a.{k}{i}", path=f"p{i}.py", start_line=1, loaded_at=T) for i in range(5) for k, kind in (("f", "File"), ("g", "Function"))]
+    ends = [(f"f{i}", "none", "DEFINES") for i in range(4)] + [(f"g{i}", "none", "CALLS") for i in range(5)]
+    make(NODES, nodes).write.parquet(f"{tmp_path}/nodes.parquet")
+    make(EDGES, [dict(repo_id=f"r{a[1:]}", src=a, dst=b, kind=k, confidence="strong", loaded_at=T) for a, b, k in ends]).write.parquet(f"{tmp_path}/edges.parquet")
+    assert traversal._grouped(*(graph._changes(spark, str(tmp_path))[k] for k in (1, 0, 2))) is not None
+    rows = graph.impact_blast_radius(spark, str(tmp_path)).collect()
+    assert sorted((r.seed, r.direction, r.id, r.distance, r.position) for r in rows) == [(f"f{i}", "up", f"g{j}", 1, j + 1) for i in range(4) for j in range(5)]
+
+
 def test_edges_without_a_hit_are_not_looked_up(spark, make):
     nodes = model.valid_nodes(make(NODES, [dict(id=f"n{i}", kind="Function", qname=f"q{i}", loaded_at=T) for i in range(3)]))
     edges = make(EDGES, [dict(repo_id="r", src=f"n{k}", dst="n1", kind="CALLS", detail=str(i), loaded_at=T) for i, k in enumerate([0] + [2] * 999)]).localCheckpoint()
